@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontamination, mixing, quality_rules
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.query,
     "op7_source_mixing": mixing.query,
+    "op9_benchmark_decontamination": decontamination.query,
 }
 
 ORACLES = {
     "op7_source_mixing": mixing.ORACLE,
+    "op9_benchmark_decontamination": decontamination.ORACLE,
 }
