@@ -1,3 +1,67 @@
+"""A corpus pipeline of five operators over ``documents``: STAGES, each written as Parquet and read again.
+
+Every stage works on all rows that its predecessor kept; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerspark.llm import decontamination, jaccard_join, mixing, quality_rules, training_order
+from ledgerspark.llm.common import small, stored, table
+
+
+def _marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """docs with (left_semi) or without (left_anti) the doc_ids in marks."""
+    marks = stored(marks.select(F.col("doc_id").alias("_id")).distinct(), "marks")
+    return docs.join(small(marks), docs["doc_id"].eqNullSafe(marks["_id"]), how)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base test or that a learned rule rejects go."""
+    found = quality_rules.verdicts(docs, table(spark, sf_dir, "labels"))
+    return _marked(docs, found.filter("not kept"), "left_anti")
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    found = stored(jaccard_join.near_duplicates(docs), "near")
+    left = _marked(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_anti")
+    repeated = found.groupBy("doc_id").count().filter("count > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark passages make up a share go."""
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _marked(docs, found.filter("contaminated"), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight asks for."""
+    return mixing.repeated(docs)
+
+
+def materialise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in shards in training order; returns where each sequence is."""
+    return training_order.ordered(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", deduplicate),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix),
+    ("token-ID / binary output", materialise),
+]
+
+#: Learned rules and token ids can't be had in SQL.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.split()[0].replace("/", "-"))
+    return docs
