@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import usage
+
+QUERIES = {**usage.QUERIES}
+ORACLES: dict[str, str] = {**usage.ORACLES}
