@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import usage
+from .plans import accounting, usage
 
-QUERIES = {**usage.QUERIES}
-ORACLES: dict[str, str] = {**usage.ORACLES}
+QUERIES = {**usage.QUERIES, **accounting.QUERIES}
+ORACLES: dict[str, str] = {**usage.ORACLES, **accounting.ORACLES}

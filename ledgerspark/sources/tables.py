@@ -61,3 +61,38 @@ buckets AS (
          count(*) AS record_count, count(DISTINCT coalesce(session_id, id)) AS session_count
   FROM records GROUP BY ALL)"""
 )
+
+
+def counter_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a session with a counter that is reset by errors: total is missing in a quarter of the rows,
+    an increment is given in a third."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "concat('s', cast(user_id as string)) as session",
+        "event_id as event_index",
+        """datediff(ts, date'1970-01-01') * 86400000L + hour(ts) * 3600000L + minute(ts) * 60000L
+           + cast(floor(extract(second from ts) * 1000) as bigint) as ts_ms""",
+        "event_type",
+        "cast(get_json_object(props, '$.k') as bigint) as k",
+        "concat('r', cast(event_id div 3 as string)) as response_id",
+        "case when event_id % 5 = 0 then null else concat('m', cast(event_id % 2 as string)) end as model",
+    )
+    segments = events.selectExpr(
+        "*", "sum(case when event_type = 'error' then 1 else 0 end) over (partition by session order by event_index) as _segment"
+    )
+    summed = segments.selectExpr("*", "sum(k) over (partition by session, _segment order by event_index) as _total")
+    return summed.selectExpr(
+        "session", "event_index", "ts_ms", "event_type", "k", "response_id", "model",
+        "case when event_index % 4 <> 1 then _total end as total",
+        "case when event_index % 3 = 0 then k end as last",
+    )
+
+
+COUNTERS_SQL = """counters AS (
+  SELECT session, event_index, ts_ms, event_type, k, response_id, model, CASE WHEN event_index % 4 <> 1 THEN CAST(t AS BIGINT) END AS total,
+         CASE WHEN event_index % 3 = 0 THEN k END AS last
+  FROM (SELECT *, sum(k) OVER (PARTITION BY session, segment ORDER BY event_index) AS t
+    FROM (SELECT 's' || CAST(user_id AS VARCHAR) AS session, event_id AS event_index, epoch_us(ts) // 1000 AS ts_ms, event_type,
+            CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'r' || CAST(event_id // 3 AS VARCHAR) AS response_id,
+            CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'm' || CAST(event_id % 2 AS VARCHAR) END AS model,
+            sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS segment
+          FROM events)))"""
