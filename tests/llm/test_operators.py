@@ -238,7 +238,7 @@ def test_divide_skip():
         sets = [np.unique(np.concatenate([rng.permutation(query)[: rng.integers(50, len(query) + 1)], rng.integers(300, 400, rng.integers(0, 30)).astype(np.uint64)])) for _ in range(20)]
         sizes = np.array([len(x) for x in sets])
         want = [i for i, x in enumerate(sets) if 100 * len(np.intersect1d(x, query)) >= 80 * len(np.union1d(x, query))]
-        assert sorted(jaccard_join._divide_skip(query, len(query), sets, sizes).tolist()) == want
+        assert sorted(jaccard_join.Index(sets, sizes).search(query, len(query)).tolist()) == want
 
 
 def test_mixing(spark):
@@ -324,7 +324,7 @@ def test_repeated_bytes(spark):
     texts = {}
     for doc, text, *_ in rows:
         texts[-1 if doc is None else doc] = (text or "").encode()
-    want = {(-1 if False else k): v for k, v in repeated_bytes.brute_force(texts).items()}
+    want = repeated_bytes.brute_force(texts)
     found = repeated_bytes.remove_repeats(frame(spark, rows)).collect()
     assert len(found) == len(rows)
     for r in found:
