@@ -165,7 +165,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, **op
     teachers = F.broadcast(sampled_labels(labels, "quality", sample_rows))  # bounded by sample_rows
     taught = with_stats(docs.join(teachers, "doc_id"), "doc_id", "_label")
     rules = learn(taught.select("doc_id", (1 - F.col("_label")).cast("int").alias("bad"), *features()), **options)
-    stats = with_stats(docs, "doc_id").select("*", *features())
+    # stored, a hundred bytes a document: else each use of a verdict would count all the words again
+    stats = stored(with_stats(docs, "doc_id"), "rule-stats").select("*", *features())
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return stats.withColumns({"base_failed": failed, "rule": rules.rejects()}).withColumn(
         "kept", ~F.col("base_failed") & (F.col("rule") == 0)
