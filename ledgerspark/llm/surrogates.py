@@ -27,7 +27,7 @@ from .common import let, small, stored, table
 FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Mme|Madame|Señora|Sra|Госпожа|Κυρία"
 MALE_TITLES = "Mr|Herr|M|Monsieur|Señor|Sr|Господин|Κύριος"
 
-EMAIL = r"[\p{L}0-9][\p{L}0-9._%+-]*@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.\p{L}{2,}"
+EMAIL = r"(?<![\p{L}0-9])[\p{L}0-9][\p{L}0-9._%+-]*+@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.\p{L}{2,}"
 SECRET = r"(?:password|passwd|pwd|secret|token|api_key)\s?[=:]\s?\"?[A-Za-z0-9_/+-]{8,}"
 ACCESS_KEY = r"\bAKIA[A-Z0-9]{16}\b"
 CARD = r"\b[3-6](?:[ -]?[0-9]){12,18}\b"
@@ -35,6 +35,8 @@ PHONE = r"(?<![\p{L}0-9])\+?(?:[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-
 IP = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 NAME = rf"\b(?:{FEMALE_TITLES}|{MALE_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
 PATTERN = "|".join([EMAIL, SECRET, ACCESS_KEY, CARD, PHONE, IP, NAME])
+#: What a text with any entity has; most texts have none of it and need no closer look.
+LIKELY = rf"[@0-9=:]|AKIA|\b(?:{FEMALE_TITLES}|{MALE_TITLES})\b"
 MAX_TRIES = 30
 
 # Letters by script and sort, in alphabetical order.
@@ -190,26 +192,31 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
 
 def replace(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     """doc_id, n_entities, text with surrogates."""
-    found = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
-    rows = docs.select("doc_id", "text", F.coalesce(found, F.array()).alias("_found"))
-    with_some = rows.filter(F.size("_found") > 0)
-    each = with_some.select("doc_id", F.xxhash64("text").alias("_hash"), F.explode(F.array_distinct("_found")).alias("entity"))
-    each = stored(each.distinct(), "found")
+    found = F.when(F.col("text").rlike(LIKELY), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    lists = docs.select("doc_id", F.xxhash64("text").alias("_hash"), found.alias("_found")).filter(F.size("_found") > 0)
+    lists = stored(lists.dropDuplicates(["doc_id", "_hash"]), "found")  # the one close look at the texts
+    each = lists.select("doc_id", "_hash", F.explode(F.array_distinct("_found")).alias("entity"))
     names = surrogate_table(each.select("entity"), key)
     pairs = each.join(small(names), "entity").groupBy("doc_id", "_hash")
     pairs = pairs.agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_names"))
-    pairs = pairs.select(F.col("doc_id").alias("_id"), "_hash", "_names")
-    at = with_some["doc_id"].eqNullSafe(pairs["_id"]) & (F.xxhash64(with_some["text"]) == pairs["_hash"])
-    between = F.split("text", PATTERN, -1)
-    filled = F.transform(F.col("_found"), lambda x, i: F.concat(F.col("_between")[i], F.col("_names")[x]))
-    replaced = with_some.join(pairs, at).withColumn("_between", between)
-    replaced = replaced.select(
+    pairs = pairs.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_same"), "_names")
+    same = lists["doc_id"].eqNullSafe(pairs["_id"]) & (lists["_hash"] == pairs["_same"])
+    known = lists.join(pairs, same).select("_id", "_hash", "_found", "_names")
+    known = stored(known, "named")
+    at = docs["doc_id"].eqNullSafe(known["_id"]) & (F.xxhash64(docs["text"]) == known["_hash"])
+    joined = docs.select("doc_id", "text").join(known, at, "left")
+
+    def filled(between: Column) -> Column:
+        """The stretches between entities, each with the surrogate that follows it."""
+        names = F.transform(F.col("_found"), lambda x, i: F.concat(between[i], F.col("_names")[x]))
+        return F.concat(F.array_join(names, ""), F.element_at(between, -1))
+
+    replaced = let(F.split("text", PATTERN, -1), filled)
+    return joined.select(
         "doc_id",
-        F.size("_found").cast("long").alias("n_entities"),
-        F.concat(F.array_join(filled, ""), F.element_at("_between", -1)).alias("text"),
+        F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_entities"),
+        F.when(F.col("_found").isNull(), F.col("text")).otherwise(replaced).alias("text"),
     )
-    clean = rows.filter(F.size("_found") == 0).select("doc_id", F.lit(0).cast("long").alias("n_entities"), "text")
-    return replaced.unionByName(clean)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
