@@ -9,9 +9,10 @@
    inverted lists. Lists with the same members are looked at once.
 4. In each list that still spans several components, a pivot is the query against the others: DivideSkip
    merges the short inverted lists of the sets it meets, probes the long ones by binary search, and keeps
-   those that reach the overlap. What links is united. After PIVOT_ROUNDS rounds the pairs that are left
-   in lists across components are searched in full. A pair within a component needs no search, so a group
-   of thousands of near copies takes about one search a copy, and no link between components is lost.
+   those that reach the overlap. What links is united, so most of a group of near copies is one component
+   after a round or two, with about one search a copy.
+5. After PIVOT_ROUNDS rounds each set that isn't in the largest component of a list is a query to all
+   sets that its lists hold and whose sizes allow it, by blocks of about CHUNK sets, so no link between components is lost. No pair is ever a row.
 
 Cases: null and empty texts have an empty set and no partner; a null doc_id is taken as one document of its
 own, before all others; rows that share a doc_id count as one document that has all their links. Very long
@@ -38,6 +39,7 @@ NULL_ID = -(2**63)
 PIVOT_ROUNDS = 4
 #: Sets that one search compares with its query.
 CHUNK = 512
+SLICE_BYTES = 6_000_000
 BYTES_A_PART = 24_000_000
 
 
@@ -46,6 +48,17 @@ def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
     return -(-PERCENT * n // 100)
 
 
+def slices(batches: Iterator[pa.RecordBatch], least: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of about SLICE_BYTES of text, or of one longer text: a task's memory is bounded by those."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        k = 0
+        while k < len(batch):
+            m = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + least, "right")))
+            yield batch.slice(k, m - k)
+            k = m
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
 
@@ -54,7 +67,7 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """A row a document: doc, n (shingles), sig (hash of the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             owner, values = shingles.shingle_sets(batch.column("text").to_pylist(), width)
             n, sig = shingles.set_hashes(owner, values, len(batch))
             yield pa.RecordBatch.from_pydict({"doc": batch.column("doc"), "n": n, "sig": sig})
@@ -105,7 +118,7 @@ def shared_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BYTES_A_PART)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             owner, values = shingles.shingle_sets(batch.column("text").to_pylist(), width)
             n, sig = shingles.set_hashes(owner, values, len(batch))
             ids = batch.column("doc").to_numpy()
@@ -221,67 +234,115 @@ def inverted_lists(sets: DataFrame) -> DataFrame:
     return stored(entries.join(lists, "hash", "left_semi"), "lists")
 
 
-def _divide_skip(query: np.ndarray, n: int, sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """Places of the sets that overlap query enough, by T-occurrence on the inverted lists of sets."""
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    at = np.searchsorted(query, flat)
-    inside = query[np.minimum(at, len(query) - 1)] == flat
-    at, owner = at[inside], owner[inside]
-    order = np.lexsort((owner, at))
-    at, owner = at[order], owner[order]
-    ends = np.searchsorted(at, np.arange(len(query) + 1))
-    lengths = np.diff(ends)
-    most = max(int(lengths.max(initial=0)), 1)
-    need = least_overlap(n)
-    n_long = min(int(need / (0.01 * np.log2(most) + 1)), need - 1, len(query))
-    by_length = np.argsort(lengths, kind="stable")
-    short, long = by_length[: len(query) - n_long], by_length[len(query) - n_long :]
-    merged = np.bincount(np.concatenate([owner[:0], *[owner[ends[i] : ends[i + 1]] for i in short]]), minlength=len(sets))
-    likely = np.flatnonzero(merged >= need - n_long)
-    counts = merged[likely]
-    for i in long:
-        listed = owner[ends[i] : ends[i + 1]]
-        if len(listed):
+class Index:
+    """Inverted lists of some sets, for T-occurrence searches."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(flat, kind="stable")
+        self.sizes, self.owner = sizes, owner[order]
+        self.hashes, begins = np.unique(flat[order], return_index=True)
+        self.ends = np.append(begins, len(flat))
+
+    def search(self, query: np.ndarray, n: int) -> np.ndarray:
+        """DivideSkip: places of the sets that overlap query, the shared hashes of a set of n, enough."""
+        at = np.minimum(np.searchsorted(self.hashes, query), len(self.hashes) - 1)
+        at = at[self.hashes[at] == query]
+        lengths = self.ends[at + 1] - self.ends[at]
+        need = least_overlap(n)
+        if len(at) < need:
+            return at[:0]
+        by_length = at[np.argsort(lengths, kind="stable")]
+        n_long = min(int(need / (0.01 * np.log2(lengths.max()) + 1)), need - 1)
+        short, long = by_length[: len(at) - n_long], by_length[len(at) - n_long :]
+        merged = np.concatenate([self.owner[self.ends[i] : self.ends[i + 1]] for i in short])
+        merged = np.bincount(merged, minlength=len(self.sizes))
+        likely = np.flatnonzero(merged >= need - n_long)
+        counts = merged[likely]
+        for k, i in enumerate(long):
+            listed = self.owner[self.ends[i] : self.ends[i + 1]]
             found = np.searchsorted(listed, likely)
             counts += listed[np.minimum(found, len(listed) - 1)] == likely
-    return likely[100 * counts >= PERCENT * (n + sizes[likely] - counts)]
+            enough = counts + (len(long) - 1 - k) >= need
+            likely, counts = likely[enough], counts[enough]
+            if not len(likely):
+                break
+        return likely[100 * counts >= PERCENT * (n + self.sizes[likely] - counts)]
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (pivot, rep) those that link, as (a, b). Each pivot is the query of searches among CHUNK sets or so."""
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    queries = sizes.join(sets, sizes["pivot"] == sets["rep"]).select(
-        "pivot", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"), "rep", "n", "hashes"
-    )
-    others = pairs.join(sizes, "pivot").join(sets, "rep")
+    queries = sizes.select("pivot", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"))
+    queries = queries.select(F.xxhash64("pivot", "chunk").alias("block"), F.col("pivot").alias("rep"), F.lit(0).cast("long").alias("component"))
     chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    others = others.select("pivot", chunk.alias("chunk"), "rep", "n", "hashes")
-    both = queries.withColumn("first", F.lit(0)).unionByName(others.withColumn("first", F.lit(1)))
-    both = both.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "first")
+    others = pairs.join(sizes, "pivot").select(F.xxhash64("pivot", chunk).alias("block"), "rep", F.col("rep").alias("component"))
+    return searched(others, queries, sets)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, n, pivot, reps, sizes, found = None, 0, 0, [], [], []
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if query is not None and reps:
-                at = _divide_skip(query, n, found, np.array(sizes))
-                yield pa.RecordBatch.from_pydict({"a": np.full(len(at), pivot), "b": np.array(reps)[at]})
+def searched(members: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links from queries (block, rep, component) to members (block, rep, component) of the same block, one to each
+    component other than the query's own."""
+    both = members.withColumn("query", F.lit(0)).unionByName(queries.withColumn("query", F.lit(1)))
+    both = both.join(sets, "rep").repartition("block").sortWithinPartitions("block", "query")
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, index, rows = None, None, []
         for batch in batches:
+            a, b = [], []
             for r in batch.to_pylist():
-                if not r["first"]:
-                    yield from done()
-                    query, n, pivot, reps, sizes, found = shingles.unpack(r["hashes"]), r["n"], r["pivot"], [], [], []
-                else:
-                    reps.append(r["rep"])
-                    sizes.append(r["n"])
-                    found.append(shingles.unpack(r["hashes"]))
-        yield from done()
+                if r["block"] != block:
+                    block, index, rows = r["block"], None, []
+                if not r["query"]:
+                    rows.append(r)
+                    continue
+                if index is None and rows:
+                    index = Index([shingles.unpack(x["hashes"]) for x in rows], np.array([x["n"] for x in rows]))
+                    reps, components_ = (np.array([x[c] for x in rows]) for c in ("rep", "component"))
+                if index is None:
+                    continue
+                at = index.search(shingles.unpack(r["hashes"]), r["n"])
+                at = at[components_[at] != r["component"]]
+                at = at[np.unique(components_[at], return_index=True)[1]]
+                a += [r["rep"]] * len(at)
+                b += reps[at].tolist()
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return both.mapInArrow(search, "a long, b long")
 
 
+def rest_linked(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components in lists (hash, rep, n, component), all of them but for more than one to a component.
+
+    Members are dealt to blocks of about CHUNK that lie close together. Those outside their list's largest
+    component are queries to all blocks of their lists; lists with the same blocks are looked at once."""
+    of_list = lists.groupBy("hash", "component").agg(F.count("*").alias("k"))
+    of_list = of_list.groupBy("hash").agg(F.max_by("component", "k").alias("largest"), F.min("component").alias("least"))
+    placed = stored(lists.join(of_list, "hash"), "rest")
+    homes = placed.groupBy("rep", "component", "n").agg(F.min("least").alias("home"))
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).alias("k"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("k")))
+    members = stored(homes.join(sizes, "home").select("rep", "component", "n", block.alias("block")), "blocks")
+    spans = members.groupBy("block").agg(F.min("n").alias("small"), F.max("n").alias("large"))
+    members = members.drop("n")
+    blocks = placed.select("hash", "rep").join(members, "rep").select("hash", "block").distinct()
+    looks = blocks.groupBy("hash").agg(F.sum(F.xxhash64("block").cast("decimal(38,0)")).alias("look"), F.count("*").alias("m"))
+    looks = stored(looks, "looks")
+    one = looks.groupBy("look", "m").agg(F.min("hash").alias("hash"))
+    to_blocks = one.join(blocks, "hash").join(spans, "block").select("look", "m", "block", "small", "large")
+    asking = placed.filter("component <> largest").join(looks, "hash").select("look", "m", "rep", "n", "component").distinct()
+    fits = (100 * F.col("n") >= PERCENT * F.col("small")) & (100 * F.col("large") >= PERCENT * F.col("n"))
+    visits = asking.join(to_blocks, ["look", "m"]).filter(fits).select("block", "rep", "component").distinct()
+    # a block that very many queries visit is laid out several times
+    salts = visits.groupBy("block").agg(F.ceil(F.count("*") / (4 * CHUNK)).alias("salts"))
+    visits = visits.join(salts, "block").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
+    visits = visits.select(F.xxhash64("block", "salt").alias("block"), "rep", "component")
+    laid = members.join(salts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    laid = laid.select(F.xxhash64("block", "salt").alias("block"), "rep", "component")
+    return searched(laid, visits, sets)
+
+
 def near_size(a: str, b: str) -> Column:
     return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
 
@@ -289,31 +350,26 @@ def near_size(a: str, b: str) -> Column:
 def join_components(sets: DataFrame) -> DataFrame:
     """(node, component) of the sets that have a partner."""
     lists = inverted_lists(sets)
-    united = stored(components(lists.select(F.col("rep").alias("a"), F.col("rep").alias("b"))), "components")
+    united = sets.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(PIVOT_ROUNDS + 1):
         placed = lists.join(united.withColumnRenamed("node", "rep"), "rep", "left")
         placed = placed.withColumn("component", F.coalesce("component", "rep"))
-        spread = placed.groupBy("hash").agg(
-            F.min("component").alias("least"), F.max("component").alias("most"), F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(turn))).alias("p")
-        )
-        spread = stored(spread.filter("least <> most").select("hash", "p.*"), "open-lists").toDF("hash", "pivot", "pn", "pc")
+        least, most = F.min("component").alias("least"), F.max("component").alias("most")
+        pivot = F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(turn))).alias("p")
+        spread = placed.groupBy("hash").agg(least, most, pivot).filter("least <> most").select("hash", "p.*")
+        spread = stored(spread, "open-lists").toDF("hash", "pivot", "pn", "pc")
         if spread.isEmpty():
             break
-        last = turn == PIVOT_ROUNDS
-        if last:
-            spread = placed.join(spread.select("hash"), "hash", "left_semi").select(
-                "hash", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc")
-            )
-        met = placed.join(spread, "hash").filter((F.col("component") != F.col("pc")) & near_size("n", "pn"))
-        if last:
-            met = met.filter("rep < pivot")
-        pairs = stored(met.select("pivot", "rep").distinct(), "pairs")
-        links = linked(pairs, sets)
+        if turn < PIVOT_ROUNDS:
+            met = placed.join(spread, "hash").filter((F.col("component") != F.col("pc")) & near_size("n", "pn"))
+            links = linked(stored(met.select("pivot", "rep").distinct(), "pairs"), sets)
+            used = spread.select("hash", F.col("pivot").alias("rep"))
+            still = lists.join(spread.select("hash"), "hash", "left_semi")
+            lists = stored(still.join(used, ["hash", "rep"], "left_anti"), "lists")
+        else:
+            links = rest_linked(placed.join(spread.select("hash"), "hash", "left_semi"), sets)
         edges = links.unionByName(united.select(F.col("node").alias("a"), F.col("component").alias("b")))
         united = stored(components(edges), "components")
-        if not last:
-            used = spread.select("hash", F.col("pivot").alias("rep"))
-            lists = stored(lists.join(spread.select("hash"), "hash", "left_semi").join(used, ["hash", "rep"], "left_anti"), "lists")
     return united
 
 
@@ -345,7 +401,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH RECURSIVE doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^ 	-]+') AS w FROM documents),
+                                    '[^ 	-
+]+') AS w FROM documents),
 shingle AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
