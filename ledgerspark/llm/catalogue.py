@@ -21,4 +21,5 @@ ORACLES = {
     "op6_jaccard_join": jaccard_join.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
     "op9_benchmark_decontamination": decontamination.ORACLE,
+    "op10_repeated_bytes": repeated_bytes.ORACLE,
 }

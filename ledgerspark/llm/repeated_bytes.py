@@ -359,3 +359,27 @@ def brute_force(texts: dict[int, bytes]) -> dict[int, tuple[int, int, int, str]]
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
+
+
+#: By hexadecimal digits, two a byte: all strings, runs of those that go, and what lies between the runs.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+gone AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE first_id < doc_id),
+marked AS (
+  SELECT *, sum(is_new) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS is_new FROM gone)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM marked GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, a AS place, substr(h, 2 * before + 1, 2 * (a - before)) AS piece
+  FROM (SELECT spans.*, h, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans JOIN d USING (doc_id))
+  UNION ALL
+  SELECT doc_id, 1000000000, substr(h, 2 * coalesce(last_b, 0) + 1)
+  FROM d LEFT JOIN (SELECT doc_id, max(b) AS last_b FROM spans GROUP BY doc_id) USING (doc_id)),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(piece, '' ORDER BY place))) AS kept_sha256 FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, kept_sha256
+FROM d JOIN kept USING (doc_id)
+LEFT JOIN (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id) USING (doc_id)
+"""
