@@ -204,7 +204,8 @@ def replace(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     known = lists.join(pairs, same).select("_id", "_hash", "_found", "_names")
     known = stored(known, "named")
     at = docs["doc_id"].eqNullSafe(known["_id"]) & (F.xxhash64(docs["text"]) == known["_hash"])
-    joined = docs.select("doc_id", "text").join(known, at, "left")
+    # a shuffle join at every size: a broadcast of what few entities a small input has would end at some size
+    joined = docs.select("doc_id", "text").join(known.hint("merge"), at, "left")
 
     def filled(between: Column) -> Column:
         """The stretches between entities, each with the surrogate that follows it."""
