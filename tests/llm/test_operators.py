@@ -351,6 +351,32 @@ def test_near_passages(spark):
         assert doc is None or any(shared[tuple(words[doc][i : i + 20])] > 1 for i in range(len(words[doc]) - 19))
 
 
+def fresh(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+
+
+def test_near_passages_of_many_documents(spark):
+    """Short equal passages, and copies with an edit each of one that comes last, all in more than ten documents."""
+    import random
+
+    rng = random.Random(5)
+    rows, families, near = [], [], []
+    for length in [51] * 6 + [60] * 3:
+        passage, family = fresh(rng, length), []
+        for k in range(12):
+            piece, doc = list(passage), len(rows)
+            if length == 60 and k:
+                piece[26 + k % 8] = "edited" + "abcdefghijkl"[k]
+            rows.append((1000 - doc, " ".join(fresh(rng, 20) + piece + fresh(rng, 30)), "", "", 0, 0, "", 0))
+            family.append(1000 - doc)
+        (near if length == 60 else families).append(family)
+    found = {(r["doc_id"], r["other_id"]) for r in near_passages.near_passages(frame(spark, rows)).collect()}
+    for family in families:
+        assert {(a, b) for a in family for b in family if a > b} <= found
+    for original, *copies in near:  # two copies with edits far apart are less alike than SIMILAR
+        assert sum((original, c) in found for c in copies) >= len(copies) - 1
+
+
 def test_compact_windows_hold_every_subsequence_once():
     rng = np.random.default_rng(1)
     values = rng.permutation(80)
