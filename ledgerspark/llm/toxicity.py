@@ -12,7 +12,9 @@ to learn, other words the counterpart; landmarks are some of both. The machine i
 of the landmarks. A text scores by its two worst words, on a logistic scale fitted to the labels.
 
 As the kernel has an explicit map (four letters are hashed to a place in a table), the machine's weight of each four letters is a table of 2**21 numbers,
-and a word's margin is a sum of table entries: whole texts are scored in linear time.
+and a word's margin is a sum of table entries: whole texts are scored in linear time. A word of over PIECE characters, as a text
+without spaces is one, is read to its end in pieces that overlap, as one insult would be lost in the whole. Its two worst pieces that
+don't overlap count as words.
 
 Cases: null and empty texts score as texts without a bad word; a null label teaches nothing; a null
 doc_id counts as held out; without toxic training rows all texts score 0. Repeated rows are scored each.
@@ -37,6 +39,9 @@ from .common import stored, table
 LAMBDA = 0.5
 MAX_SPAN = 7
 CODE_BITS = 21
+PIECE = 24
+#: An insult of up to so many letters lies whole in a piece.
+OVERLAP = 16
 LANDMARKS = 300
 #: Rounds of adding the words of clean documents that the machine takes for insults.
 HARD_ROUNDS = 3
@@ -52,7 +57,7 @@ _spaced = re.compile(r"(?<!\S)(?:\w ){2,}\w(?!\S)").findall
 def letters(word: str) -> np.ndarray:
     """Codes below 64: 1 start, 2 end, 3 to 28 a to z, above that all other letters, folded."""
     code = [_START]
-    for c in word.lower().translate(STAND_FOR)[:200]:
+    for c in word.lower().translate(STAND_FOR):
         if "a" <= c <= "z":
             code.append(ord(c) - 94)
         elif c.isalnum():
@@ -60,6 +65,14 @@ def letters(word: str) -> np.ndarray:
     return np.array([*code, _END], np.uint32)
 
 
+def pieces(word: str) -> list[str]:
+    """The word, or if it is long its parts of PIECE letters, each OVERLAP into the one before."""
+    if len(word) <= PIECE:
+        return [word]
+    word = "".join(filter(str.isalnum, word.lower().translate(STAND_FOR)))
+    return [word[k : k + PIECE] for k in range(0, max(len(word) - OVERLAP, 1), PIECE - OVERLAP)]
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word's place, code of four letters, weight) of all subsequences within spans; a word's weights have norm 1."""
     coded = [letters(w) for w in words]
@@ -87,13 +100,34 @@ class Machine:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias, self.slopes, self.shift = weights, bias, np.array([1.0, 0.0]), 0.0
         self.known: dict[str, float] = {}
+        self.seconds: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "seconds": {}}
 
     def margins(self, words: list[str]) -> np.ndarray:
-        owner, code, weight = subsequences(words)
-        return np.bincount(owner, self.weights[code] * weight, minlength=len(words)) + self.bias
+        return self._margins(words)[0]
+
+    def _margins(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word the highest margin of its pieces, and the next of a piece that doesn't overlap that one."""
+        split = [pieces(w) for w in words]
+        first = np.cumsum([0, *map(len, split)])[:-1]
+        flat = [x for part in split for x in part]
+        found = []
+        for k in range(0, len(flat), 20_000):
+            some = flat[k : k + 20_000]
+            owner, code, weight = subsequences(some)
+            found.append(np.bincount(owner, self.weights[code] * weight, minlength=len(some)) + self.bias)
+        if not found:
+            return np.zeros(0), np.zeros(0)
+        every = np.concatenate(found)
+        second = np.full(len(words), FLOOR)
+        for i, part in enumerate(split):
+            if len(part) > 1:
+                own = every[first[i] : first[i] + len(part)]
+                apart = np.abs(np.arange(len(own)) - own.argmax()) * (PIECE - OVERLAP) >= PIECE
+                second[i] = own[apart].max(initial=FLOOR)
+        return np.maximum.reduceat(every, first), second
 
     def worst(self, texts: list) -> np.ndarray:
         """Of each text, the two highest margins among its words."""
@@ -102,13 +136,16 @@ class Machine:
             words = text.lower().split() if text else []
             split.append(words + [x.replace(" ", "") for x in _spaced(text.lower())] if words else words)
         if len(self.known) > CACHED_WORDS:
-            self.known = {}
+            self.known, self.seconds = {}, {}
         new = [*{w for words in split for w in words if w not in self.known}]
         for k in range(0, len(new), 20_000):
             some = new[k : k + 20_000]
-            self.known.update(zip(some, self.margins(some).tolist(), strict=True))
+            first, second = self._margins(some)
+            self.known.update(zip(some, first.tolist(), strict=True))
+            self.seconds.update((w, x) for w, x in zip(some, second.tolist(), strict=True) if x > FLOOR)
         look = self.known.__getitem__
-        two = [heapq.nlargest(2, map(look, words)) + [FLOOR, FLOOR] for words in split]
+        more = [[self.seconds[w] for w in words if len(w) > PIECE and w in self.seconds] for words in split]
+        two = [heapq.nlargest(2, [*map(look, words), *x]) + [FLOOR, FLOOR] for words, x in zip(split, more, strict=True)]
         return np.clip([x[:2] for x in two], FLOOR, 2.0).reshape(-1, 2)
 
     def scores(self, texts: list) -> np.ndarray:
@@ -254,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, n_words:
         best = int(machine.slopes.argmax())
         slope, machine.shift = _logistic(margins_seen[:, best : best + 1], toxic)
         machine.slopes = np.where(np.arange(2) == best, slope[0], 0.0)
-    machine.known = {}
+    machine.known, machine.seconds = {}, {}
     return machine
 
 

@@ -186,6 +186,23 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score(frame(spark), none).collect()} == {0}
 
 
+def test_toxicity_reads_long_words_to_their_end():
+    import random
+
+    rng = random.Random(3)
+    stock = ["".join(rng.choice("aeioulmnrst") for _ in range(6)) for _ in range(400)]
+    insults = ["blockhead", "numbskull", "dimwitted"]
+    machine = toxicity.fit_words(insults, stock)
+    clean = "".join(rng.sample(stock, 150))
+    texts = [clean, "日本語文" * 200] + [clean[:k] + w + clean[k:] for k in range(190, 700, 37) for w in insults]
+    texts += ["日本語文" * 80 + "blockhead" + "日本語文" * 80, " ".join(clean[:300] + "numbskull")]
+    found = machine.worst(texts)
+    assert found[:2].max() < -0.5 and found[2:, 0].min() > 0
+    assert found[2:, 1].max() < 0  # one insult counts once
+    twice = machine.worst([clean[:300] + "blockhead" + clean[300:600] + "numbskull" + clean[600:]])
+    assert twice.min() > 0
+
+
 def brute_components(rows):
     sets, names = {}, collections.defaultdict(list)
     for k, (doc, text, *_) in enumerate(rows):
