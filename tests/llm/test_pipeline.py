@@ -1,5 +1,8 @@
 """Every stage of the pipeline on its own input, beside SQL or a brute-force version of it."""
 
+import collections
+import random
+
 import duckdb
 import pytest
 
@@ -80,3 +83,44 @@ def test_run_gives_all_rows(spark, steps):
 
 def test_every_operator_has_a_query():
     assert sorted(int(x[2:].split("_")[0]) for x in catalogue.QUERIES) == list(range(1, 11))
+
+
+@pytest.fixture(scope="module")
+def shared_ids(spark, tmp_path_factory):
+    """Rows of which a third have no doc_id and some share one, with benchmark and labels in a folder."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    item = " ".join(word() for _ in range(60))
+    rows = []
+    for i in range(30):
+        text = " ".join(word() for _ in range(80))
+        name = None if i % 3 == 0 else i // 6 if i % 3 == 1 else 100 + i
+        rows.append((name, text, "clean"))
+        if i in (3, 4, 5):  # the same id, or none, and to be dropped
+            rows += [(name, "too short", "short"), (name, item + " " + word(), "leak")]
+        if i in (6, 12):  # a named copy of a row without id
+            rows.append((200 + i, text + " " + word(), "copy"))
+    rng.shuffle(rows)
+    folder = str(tmp_path_factory.mktemp("shared"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = [(name, text, "en", kind, len(text)) for name, text, kind in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(
+        f"{folder}/documents.parquet"
+    )
+    return folder, rows
+
+
+@pytest.mark.parametrize("stage, goes", [("quality", "short"), ("decontaminate", "leak"), ("deduplicate", "copy")])
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, shared_ids, stage, goes):
+    folder, rows = shared_ids
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = getattr(corpus_pipeline, stage)(spark, docs, folder).collect()
+    want = [(name, text) for name, text, kind in rows if kind != goes]
+    if stage == "deduplicate":  # the equal short texts and the near equal leaks are one each
+        want = [(name, text) for name, text, kind in rows if kind == "clean"]
+        kinds = collections.Counter(r["source"] for r in got)
+        assert kinds["short"] == 1 and kinds["leak"] == 1 and kinds["copy"] == 0
+        got = [r for r in got if r["source"] == "clean"]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter(want)
+    assert all(set(r.asDict()) == set(docs.columns) for r in got)
