@@ -128,20 +128,21 @@ def reconcile(files: DataFrame, events: DataFrame) -> DataFrame:
 
     Files of one session must agree on the parent. If all have the same events, the first that isn't archived stays;
     if all are prefixes of the longest, that stays; else the session is in conflict."""
-    identities = F.transform(F.array_sort(F.collect_list(F.struct("event_index", "identity"))), lambda x: x["identity"])
-    sequences = events.groupBy("path").agg(identities.alias("ids"))
-    each = files.join(sequences, "path", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
-    each = each.withColumn("n", F.size("ids"))
+    numbered = events.withColumn("at", F.row_number().over(Window.partitionBy("path").orderBy("event_index", "identity")))
+    each = files.join(events.groupBy("path").agg(F.count("*").alias("n")), "path", "left").fillna(0, ["n"])
     own = each.groupBy("session").agg(
         F.min_by("path", F.struct("archived", "path")).alias("first"),
-        F.min_by(F.struct("path", "ids"), F.struct((-F.col("n")).alias("n"), "archived", "path")).alias("longest"),
+        F.min_by("path", F.struct((-F.col("n")).alias("n"), "archived", "path")).alias("longest"),
         (F.count_distinct(F.coalesce("parent", F.lit(""))) > 1).alias("parents_differ"),
         F.min("n").alias("least"),
         F.max("n").alias("most"),
     )
     rows = each.join(own, "session", "left")
-    prefix = F.slice(F.col("longest.ids"), F.lit(1), F.col("n")) == F.col("ids")
-    verdict = rows.withColumn("prefix", F.when(F.col("n") == 0, True).otherwise(prefix))
+    # events meet those of the longest file by number, so no file's events are gathered in one row
+    theirs = numbered.select(F.col("path").alias("longest"), "at", F.col("identity").alias("theirs"))
+    asked = rows.select("path", "longest").join(numbered, "path").join(theirs, ["longest", "at"])
+    equal = asked.groupBy("path").agg(F.count_if(F.col("identity").eqNullSafe(F.col("theirs"))).alias("n_equal"))
+    verdict = rows.join(equal, "path", "left").withColumn("prefix", F.coalesce("n_equal", F.lit(0)) == F.col("n"))
     agreed = verdict.groupBy("session").agg(F.bool_and("prefix").alias("all_prefixes"))
     rows = verdict.join(agreed, "session", "left")
     status = (
@@ -149,7 +150,7 @@ def reconcile(files: DataFrame, events: DataFrame) -> DataFrame:
         .when(F.col("parents_differ"), "metadata-conflict")
         .when(~F.col("all_prefixes"), "divergent-events")
         .when(F.col("least") == F.col("most"), F.when(F.col("path") == F.col("first"), "kept").otherwise("exact-duplicate"))
-        .when(F.col("path") == F.col("longest.path"), "kept")
+        .when(F.col("path") == F.col("longest"), "kept")
         .otherwise("prefix-shadowed")
     )
     return rows.select("path", "session", F.col("n").cast("long").alias("n_events"), status.alias("status"))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerspark.operators import lineage
 from ledgerspark import catalogue
 from ledgerspark.functions import usage as fn
 from ledgerspark.operators import contributions, counters, periods, pricing, rollup, store
@@ -250,3 +251,11 @@ def test_counters(spark):
 def test_queries_run(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
     assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+
+
+def test_reconcile_gathers_no_file_in_a_row(spark):
+    files = spark.createDataFrame([("a", "s", None, False), ("b", "s", None, False), ("c", "t", None, False), ("d", "t", None, True)], "path string, session string, parent string, archived boolean")
+    rows = [(p, i, f"e{i}" if (p, i) != ("b", 480) else "x") for p, n in (("a", 500), ("b", 490), ("c", 300), ("d", 200)) for i in range(n)]
+    found = lineage.reconcile(files, spark.createDataFrame(rows, "path string, event_index long, identity string"))
+    assert {r["path"]: r["status"] for r in found.collect()} == {"a": "divergent-events", "b": "divergent-events", "c": "kept", "d": "prefix-shadowed"}
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
