@@ -1,18 +1,23 @@
 """N-gram Jaccard join: all documents whose shingle sets overlap enough, as components, by T-occurrence search.
 
+Two sets of which one has n shingles link only if they share T = 0.8 n of them, rounded up, or more.
+
 1. Documents with equal sets become one set, with the smallest doc_id for a name.
-2. A shingle that one set alone has can't be shared. Hashes are dealt by value to tasks that tell which are
-   shared; a batch of documents sends a hash it has several times once only, so a common shingle costs a
-   task as many entries as there are batches. A set keeps its shared hashes; with fewer than the least
-   overlap T = 0.8 of its size, it has no partner.
-3. Of n shared hashes, two partners have one of the first n - T + 1 in common, in the order of hashes. These make the
+2. Of the first 0.3 n hashes of a set, in the order of hashes, a partner lacks at most n - T. Only these are dealt, by value,
+   to tasks that tell which are shared; a set that shares too few of them has no partner. A batch of documents
+   sends a hash it has several times once only, so a common shingle costs a task as many entries as there are batches.
+3. What is left, a small share of the texts, is dealt in the same way with all hashes; a set stays with those it shares, if
+   they are T or more.
+4. Of n shared hashes, two partners have one of the first n - T + 1 in common, in the order of hashes. These make the
    inverted lists. Lists with the same members are looked at once.
-4. In each list that still spans several components, a pivot is the query against the others: DivideSkip
+5. In each list that still spans several components, a pivot is the query against the others: DivideSkip
    merges the short inverted lists of the sets it meets, probes the long ones by binary search, and keeps
    those that reach the overlap. What links is united, so most of a group of near copies is one component
    after a round or two, with about one search a copy.
-5. After PIVOT_ROUNDS rounds each set that isn't in the largest component of a list is a query to all
-   sets that its lists hold and whose sizes allow it, by blocks of about CHUNK sets, so no link between components is lost. No pair is ever a row.
+6. After PIVOT_ROUNDS rounds each set that isn't in the largest component of a list is a query to all
+   sets that its lists hold and whose sizes allow it, by blocks of about CHUNK sets, so no link between components is lost.
+
+Shingles are told apart by 64 bits of hash, sets by their size and 64 more.
 
 Cases: null and empty texts have an empty set and no partner; a null doc_id is taken as one document of its
 own, before all others; rows that share a doc_id count as one document that has all their links. Very long
@@ -29,18 +34,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shingles
+from . import packed, shingles
 from .common import stored, table
 from .components import components
 
 WIDTH = 5
 PERCENT = 80
 NULL_ID = -(2**63)
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
+#: Of a set's hashes, how many in a hundred are dealt first.
+FIRST_PERCENT = 30
 #: Sets that one search compares with its query.
 CHUNK = 512
-SLICE_BYTES = 6_000_000
-BYTES_A_PART = 24_000_000
+SLICE_BYTES = 4_000_000
+BYTES_A_PART = 48_000_000
 
 
 def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
@@ -48,6 +55,11 @@ def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
     return -(-PERCENT * n // 100)
 
 
+def first_hashes(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+    """How many hashes of a set of n are dealt: percent of them, but more than a partner may lack."""
+    return np.minimum(n, np.maximum(percent * n // 100, n - least_overlap(n)) + 1)
+
+
 def slices(batches: Iterator[pa.RecordBatch], least: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in stretches of about SLICE_BYTES of text, or of one longer text: a task's memory is bounded by those."""
     for batch in batches:
@@ -60,7 +72,13 @@ def slices(batches: Iterator[pa.RecordBatch], least: int = SLICE_BYTES) -> Itera
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.col("text").cast("binary").alias("text"))
+
+
+def _sets(batch: pa.RecordBatch, width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The sets of a batch's texts, their sizes and hashes."""
+    found = shingles.shingle_sets(batch.column("text").to_pylist(), width)
+    return found, np.array([len(x) for x in found], np.int64), np.array([shingles.set_hash(x) for x in found], np.int64)
 
 
 def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -68,149 +86,137 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            owner, values = shingles.shingle_sets(batch.column("text").to_pylist(), width)
-            n, sig = shingles.set_hashes(owner, values, len(batch))
+            _, n, sig = _sets(batch, width)
             yield pa.RecordBatch.from_pydict({"doc": batch.column("doc"), "n": n, "sig": sig})
 
     return stored(_texts(docs).mapInArrow(run, "doc long, n long, sig long"), "sets")
 
 
-#: In column own of an entry: a table of sig, doc_id and size; or hashes that are known to be shared.
-OWN, SEVERAL = b"o", b"s"
-ENTRY = "part int, own binary, sigs binary, counts binary, hashes binary"
-
-
-def _entry(part: int, own: bytes, sigs: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> tuple:
-    return part, own, sigs.astype("<i8").tobytes(), counts.astype("<i4").tobytes(), shingles.pack(hashes)
+#: Kinds of entries: names and sizes of sets; hashes that are known to be shared; hashes to look up; hashes that several sets
+#: of the batch have, which are shared wherever another batch has them.
+OWN, SEVERAL, ASKED, KNOWN = b"o", b"s", b"a", b"k"
+ENTRY = "part int, kind binary, sigs binary, hashes binary"
+NAMES = [x.split()[0] for x in ENTRY.split(", ")]
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
-        names=["part", "own", "sigs", "counts", "hashes"],
-    )
-
-
-def _grouped(sigs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by sig: each sig once, how many hashes it has, the hashes."""
-    order = np.argsort(sigs, kind="stable")
-    each, counts = np.unique(sigs, return_counts=True)
-    return each, counts, hashes[order]
+def _entries(kind: bytes, part: np.ndarray, sigs: np.ndarray, hashes: np.ndarray) -> list[tuple]:
+    return [(p, kind, packed.raw(sigs[at], "<i8"), packed.raw(hashes[at], "<u8")) for p, at in packed.by_part(part)]
 
 
 def _parts_of(x: np.ndarray, parts: int) -> np.ndarray:
     return (shingles.mix(x.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
-def _by_part(part: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple]:
-    order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(ends)):
-        at = order[ends[p] : ends[p + 1]]
-        yield int(p), *[c[at] for c in columns]
+def _fresh(sigs: np.ndarray, hashes: np.ndarray, by_hash: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, in order of hash or of sig first."""
+    order = np.lexsort((sigs, hashes) if by_hash else (hashes, sigs))
+    sigs, hashes = sigs[order], hashes[order]
+    new = np.ones(len(sigs), bool)
+    new[1:] = (sigs[1:] != sigs[:-1]) | (hashes[1:] != hashes[:-1])
+    return sigs[new], hashes[new]
+
+
+def _several(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values: where a new one begins, and which occur more than once."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    counts = np.diff(np.append(np.flatnonzero(new), len(values)))
+    return new, np.repeat(counts > 1, counts)
 
 
-def shared_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(rep, n, hashes): of each distinct set that may have a partner, the hashes that other sets have too."""
+def shared_sets(docs: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
+    """(rep, n, hashes): of each distinct set that may have a partner, those of its first hashes that other sets have too."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BYTES_A_PART)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            owner, values = shingles.shingle_sets(batch.column("text").to_pylist(), width)
-            n, sig = shingles.set_hashes(owner, values, len(batch))
+            sets, n, sig = _sets(batch, width)
             ids = batch.column("doc").to_numpy()
             order = np.lexsort((ids, sig))
             first = order[np.flatnonzero(np.diff(sig[order], prepend=sig[order][:1] - 1))] if len(order) else order
             first = first[n[first] > 0]  # the smallest doc_id of each set
-            chosen = np.zeros(len(batch), bool)
-            chosen[first] = True
-            at = chosen[owner]
-            values, sigs = values[at], sig[owner[at]]
-            rows = []
+            if not len(first):
+                continue
+            counts = first_hashes(n[first], percent)
+            values = np.concatenate([sets[i][:m] for i, m in zip(first, counts, strict=True)])
+            sigs = np.repeat(sig[first], counts)
+            sets.clear()
+            order = np.argsort(values, kind="stable")
+            values, sigs = values[order], sigs[order]
+            new, several = _several(values)
             # names and sizes go where a set is put together, with the hashes that several sets here have
-            sorted_at = np.argsort(values, kind="stable")
-            values, sigs = values[sorted_at], sigs[sorted_at]
-            new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
-            counts = np.diff(np.append(np.flatnonzero(new), len(values)))
-            several = np.repeat(counts > 1, counts)
-            for p, s, d, m in _by_part(_parts_of(sig[first], parts), parts, sig[first], ids[first], n[first]):
-                rows.append(_entry(p, OWN + np.stack([s, d, m]).astype("<i8").tobytes(), s[:0], s[:0], values[:0]))
-            for p, s, h in _by_part(_parts_of(sigs[several], parts), parts, sigs[several], values[several]):
-                rows.append(_entry(p, SEVERAL, *_grouped(s, h)))
-            for p, s, h in _by_part(_parts_of(values[~several], parts), parts, sigs[~several], values[~several]):
-                rows.append(_entry(p, b"", *_grouped(s, h)))
+            rows = []
+            for p, at in packed.by_part(_parts_of(sig[first], parts)):
+                own = first[at]
+                rows.append((p, OWN, packed.raw(np.stack([sig[own], ids[own], n[own]]), "<i8"), b""))
+            rows += _entries(SEVERAL, _parts_of(sigs[several], parts), sigs[several], values[several])
+            rows += _entries(ASKED, _parts_of(values[~several], parts), sigs[~several], values[~several])
             once = values[several & new]
-            for p, h in _by_part(_parts_of(once, parts), parts, once):
-                rows.append(_entry(p, b"", h[:0].astype(np.int64), h[:0].astype(np.int64), h))
-            if rows:
-                yield _rows(rows)
+            rows += [(p, KNOWN, b"", packed.raw(once[at], "<u8")) for p, at in packed.by_part(_parts_of(once, parts))]
+            yield packed.batch(rows, NAMES)
 
     def tell_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, hashes, known = [], [], []
+        sigs, hashes, known = [], [], [np.zeros(0, np.uint64)]
         for batch in batches:
-            passed = pc.not_equal(batch.column("own"), b"")
+            passed = pc.or_(pc.equal(batch.column("kind"), OWN), pc.equal(batch.column("kind"), SEVERAL))
             if pc.any(passed).as_py():
                 yield batch.filter(passed)
             for r in batch.filter(pc.invert(passed)).to_pylist():
-                h = shingles.unpack(r["hashes"])
-                if r["counts"]:
-                    sigs.append(np.repeat(np.frombuffer(r["sigs"], "<i8"), np.frombuffer(r["counts"], "<i4")))
-                    hashes.append(h)
+                if r["kind"] == ASKED:
+                    sigs.append(np.frombuffer(r["sigs"], "<i8"))
+                    hashes.append(np.frombuffer(r["hashes"], "<u8"))
                 else:
-                    known.append(h)
+                    known.append(np.frombuffer(r["hashes"], "<u8"))
         if not hashes:
             return
-        s, h = np.concatenate(sigs), np.concatenate(hashes)
-        order = np.lexsort((s, h))
-        s, h = s[order], h[order]
-        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
-        s, h = s[fresh], h[fresh]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        counts = np.diff(np.append(np.flatnonzero(new), len(h)))
-        shared = np.repeat(counts > 1, counts)
-        if known:
-            shared |= np.isin(h, np.unique(np.concatenate(known)))
-        s, h = s[shared], h[shared]
-        rows = [_entry(p, b"", *_grouped(ps, ph)) for p, ps, ph in _by_part(_parts_of(s, parts), parts, s, h)]
+        s, h = _fresh(np.concatenate(sigs), np.concatenate(hashes), True)
+        _, shared = _several(h)
+        shared |= np.isin(h, np.unique(np.concatenate(known)))
+        # hashes that one batch alone has several times are shared there already; those that others have too are known here
+        rows = _entries(SEVERAL, _parts_of(s[shared], parts), s[shared], h[shared])
         if rows:
-            yield _rows(rows)
+            yield packed.batch(rows, NAMES)
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, hashes, own = [], [], []
         for batch in batches:
             for r in batch.to_pylist():
-                if r["own"][:1] == OWN:
-                    own.append(np.frombuffer(r["own"], "<i8", offset=1).reshape(3, -1))
+                if r["kind"] == OWN:
+                    own.append(np.frombuffer(r["sigs"], "<i8").reshape(3, -1))
                 else:
-                    sigs.append(np.repeat(np.frombuffer(r["sigs"], "<i8"), np.frombuffer(r["counts"], "<i4")))
-                    hashes.append(shingles.unpack(r["hashes"]))
+                    sigs.append(np.frombuffer(r["sigs"], "<i8"))
+                    hashes.append(np.frombuffer(r["hashes"], "<u8"))
         if not hashes:
             return
         sig, doc, n = np.concatenate(own, axis=1)
-        order = np.lexsort((doc, sig))
+        order = np.lexsort((doc, n, sig))
         sig, doc, n = sig[order], doc[order], n[order]
-        keep = np.concatenate([[True], sig[1:] != sig[:-1]])
+        keep = np.ones(len(sig), bool)
+        keep[1:] = sig[1:] != sig[:-1]
         sig, doc, n = sig[keep], doc[keep], n[keep]
-        s, h = np.concatenate(sigs), np.concatenate(hashes)
-        order = np.lexsort((h, s))
-        s, h = s[order], h[order]
-        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
-        s, h = s[fresh], h[fresh]
+        s, h = _fresh(np.concatenate(sigs), np.concatenate(hashes), False)
         begins, ends = np.searchsorted(s, sig), np.searchsorted(s, sig, "right")
-        likely = np.flatnonzero(ends - begins >= least_overlap(n))
-        for k in range(0, len(likely), 2000):
-            some = likely[k : k + 2000]
-            packed = [shingles.pack(h[begins[i] : ends[i]]) for i in some]
-            yield pa.RecordBatch.from_pydict({"rep": doc[some], "n": n[some], "hashes": pa.array(packed, pa.binary())})
+        likely = np.flatnonzero(ends - begins >= first_hashes(n, percent) - (n - least_overlap(n)))
+        for k in range(0, len(likely), 500):
+            some = likely[k : k + 500]
+            content = [packed.raw(h[begins[i] : ends[i]], "<u8") for i in some]
+            yield pa.RecordBatch.from_pydict({"rep": doc[some], "n": n[some], "hashes": pa.array(content, pa.binary())})
 
     sent = _texts(docs).mapInArrow(send, ENTRY).repartitionById(parts, F.col("part"))
     told = sent.mapInArrow(tell_shared, ENTRY).repartitionById(parts, F.col("part"))
     return stored(told.mapInArrow(put_together, "rep long, n long, hashes binary"), "shared-sets")
 
 
+def likely_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(rep, n, hashes): of each distinct set that shares T hashes or more, those it shares."""
+    first = shared_sets(docs, FIRST_PERCENT, width).select(F.col("rep").alias("doc")).distinct()
+    # a shuffle at every size: what is left of the texts grows with them
+    left = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "doc_id", "text").join(first.hint("merge"), "doc", "left_semi")
+    return shared_sets(stored(left.select("doc_id", "text"), "likely-texts"), 100, width)
+
+
 def inverted_lists(sets: DataFrame) -> DataFrame:
     """(hash, rep, n): the lists by the first hashes of each set, of which only one in each group of lists with the
     same members stays."""
@@ -218,10 +224,12 @@ def inverted_lists(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column("n").to_numpy()
-            found = [shingles.unpack(x.as_py()) for x in batch.column("hashes")]
+            if not len(batch):
+                continue
+            found = [hashes_of(x.as_py()) for x in batch.column("hashes")]
             found = [h[: len(h) - least_overlap(int(m)) + 1] for h, m in zip(found, n, strict=True)]
             lengths = [len(h) for h in found]
-            flat = np.concatenate(found).astype(np.int64)
+            flat = np.concatenate(found).view(np.int64)
             reps = np.repeat(batch.column("rep").to_numpy(), lengths)
             for k in range(0, len(flat), 200_000):
                 part = slice(k, k + 200_000)
@@ -230,10 +238,15 @@ def inverted_lists(sets: DataFrame) -> DataFrame:
     entries = stored(sets.mapInArrow(run, "hash long, rep long, n long"), "lists")
     members = F.sum(F.xxhash64("rep").cast("decimal(38,0)"))
     lists = entries.groupBy("hash").agg(F.count("*").alias("m"), members.alias("s"), F.min("rep").alias("r"))
-    lists = lists.filter("m > 1").groupBy("m", "s", "r").agg(F.min("hash").alias("hash"))
+    # stored before a join on hash, here and below: then both sides are dealt for the join alone, which splits a hot hash
+    lists = stored(lists.filter("m > 1").groupBy("m", "s", "r").agg(F.min("hash").alias("hash")).select("hash"), "lists-once")
     return stored(entries.join(lists, "hash", "left_semi"), "lists")
 
 
+def hashes_of(content: bytes) -> np.ndarray:
+    return np.frombuffer(content, "<u8")
+
+
 class Index:
     """Inverted lists of some sets, for T-occurrence searches."""
 
@@ -273,7 +286,7 @@ class Index:
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (pivot, rep) those that link, as (a, b). Each pivot is the query of searches among CHUNK sets or so."""
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    sizes = stored(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "chunks")
     queries = sizes.select("pivot", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"))
     queries = queries.select(F.xxhash64("pivot", "chunk").alias("block"), F.col("pivot").alias("rep"), F.lit(0).cast("long").alias("component"))
     chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
@@ -298,11 +311,11 @@ def searched(members: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFra
                     rows.append(r)
                     continue
                 if index is None and rows:
-                    index = Index([shingles.unpack(x["hashes"]) for x in rows], np.array([x["n"] for x in rows]))
+                    index = Index([hashes_of(x["hashes"]) for x in rows], np.array([x["n"] for x in rows]))
                     reps, components_ = (np.array([x[c] for x in rows]) for c in ("rep", "component"))
                 if index is None:
                     continue
-                at = index.search(shingles.unpack(r["hashes"]), r["n"])
+                at = index.search(hashes_of(r["hashes"]), r["n"])
                 at = at[components_[at] != r["component"]]
                 at = at[np.unique(components_[at], return_index=True)[1]]
                 a += [r["rep"]] * len(at)
@@ -319,23 +332,24 @@ def rest_linked(lists: DataFrame, sets: DataFrame) -> DataFrame:
     component are queries to all blocks of their lists; lists with the same blocks are looked at once."""
     of_list = lists.groupBy("hash", "component").agg(F.count("*").alias("k"))
     of_list = of_list.groupBy("hash").agg(F.max_by("component", "k").alias("largest"), F.min("component").alias("least"))
-    placed = stored(lists.join(of_list, "hash"), "rest")
-    homes = placed.groupBy("rep", "component", "n").agg(F.min("least").alias("home"))
-    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).alias("k"))
+    placed = stored(lists.join(stored(of_list, "rest-lists"), "hash"), "rest")
+    homes = stored(placed.groupBy("rep", "component", "n").agg(F.min("least").alias("home")), "homes")
+    sizes = stored(homes.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).alias("k")), "home-sizes")
     block = F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("k")))
     members = stored(homes.join(sizes, "home").select("rep", "component", "n", block.alias("block")), "blocks")
     spans = members.groupBy("block").agg(F.min("n").alias("small"), F.max("n").alias("large"))
     members = members.drop("n")
-    blocks = placed.select("hash", "rep").join(members, "rep").select("hash", "block").distinct()
+    blocks = stored(placed.select("hash", "rep").join(members, "rep").select("hash", "block").distinct(), "list-blocks")
     looks = blocks.groupBy("hash").agg(F.sum(F.xxhash64("block").cast("decimal(38,0)")).alias("look"), F.count("*").alias("m"))
     looks = stored(looks, "looks")
-    one = looks.groupBy("look", "m").agg(F.min("hash").alias("hash"))
-    to_blocks = one.join(blocks, "hash").join(spans, "block").select("look", "m", "block", "small", "large")
+    one = stored(looks.groupBy("look", "m").agg(F.min("hash").alias("hash")), "looks-once")
+    to_blocks = one.join(blocks, "hash").join(stored(spans, "spans"), "block").select("look", "m", "block", "small", "large")
     asking = placed.filter("component <> largest").join(looks, "hash").select("look", "m", "rep", "n", "component").distinct()
     fits = (100 * F.col("n") >= PERCENT * F.col("small")) & (100 * F.col("large") >= PERCENT * F.col("n"))
     visits = asking.join(to_blocks, ["look", "m"]).filter(fits).select("block", "rep", "component").distinct()
+    visits = stored(visits, "visits")
     # a block that very many queries visit is laid out several times
-    salts = visits.groupBy("block").agg(F.ceil(F.count("*") / (4 * CHUNK)).alias("salts"))
+    salts = stored(visits.groupBy("block").agg(F.ceil(F.count("*") / (4 * CHUNK)).alias("salts")), "salts")
     visits = visits.join(salts, "block").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
     visits = visits.select(F.xxhash64("block", "salt").alias("block"), "rep", "component")
     laid = members.join(salts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
@@ -376,7 +390,7 @@ def join_components(sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """A row a document: doc_id, n_shingles, component_id."""
     table = set_table(docs, width)
-    united = join_components(shared_sets(docs, width))
+    united = join_components(likely_sets(docs, width))
     names = table.filter("n > 0").groupBy("sig", "n").agg(F.min("doc").alias("rep"))
     # rows that share a doc_id are one document: they unite the components of all their sets
     twice = table.filter("n > 0").groupBy("doc").agg(F.count_distinct("sig").alias("k")).filter("k > 1")
