@@ -82,3 +82,12 @@ def words(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of its own for each row, in the order of doc_id (null first): doc_id itself where all differ."""
+    n = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named")).first()
+    if n["rows"] == n["named"] and docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id"))
+    ordered = docs.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    return stored(ordered.withColumn("_row", F.monotonically_increasing_id()), "numbered")
