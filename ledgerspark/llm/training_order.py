@@ -40,7 +40,7 @@ END = 50256
 
 ROUNDS = 8
 #: Words that a Python worker remembers the ids of; about 200 bytes each. The first to come are mostly the common ones.
-CACHED_PIECES = 1_400_000
+CACHED_PIECES = 400_000
 #: A space before a character that is none starts a new piece for the vocabulary's pattern in any context.
 _cut = re.compile(r" (?=\S)").split
 _has_other_space = re.compile(r" (?:\s|$)").search
