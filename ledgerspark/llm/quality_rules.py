@@ -27,6 +27,8 @@ from .textstats import FEATURES, features, with_stats
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: An accuracy far above the rows of a sample, so that percentiles don't depend on the order of tasks and reruns agree.
+EXACT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -106,7 +108,7 @@ def learn(
     labelled = stored(labelled.repartition(4, "doc_id"), "rule-rows")
     percents = [k / n_cuts for k in range(1, n_cuts)]
     probed = labelled.groupBy("bad").agg(
-        *[F.percentile_approx(f"f_{x}", percents, 1000).alias(x) for x in names], F.count("*").alias("n")
+        *[F.percentile_approx(f"f_{x}", percents, EXACT).alias(x) for x in names], F.count("*").alias("n")
     )
     by_class = probed.collect()  # two rows
     if len(by_class) < 2:
