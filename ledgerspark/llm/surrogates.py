@@ -25,7 +25,7 @@ from .common import let, small, stored, table
 
 # Titles, by the gender they tell.
 FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Mme|Madame|Señora|Sra|Госпожа|Κυρία"
-MALE_TITLES = "Mr|Herr|M|Monsieur|Señor|Sr|Господин|Κύριος"
+MALE_TITLES = r"Mr|Herr|M(?=\.)|Monsieur|Señor|Sr|Господин|Κύριος"
 
 EMAIL = r"(?<![\p{L}0-9])[\p{L}0-9][\p{L}0-9._%+-]*+@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.\p{L}{2,}"
 SECRET = r"(?:password|passwd|pwd|secret|token|api_key)\s?[=:]\s?\"?[A-Za-z0-9_/+-]{8,}"
@@ -37,7 +37,8 @@ NAME = rf"\b(?:{FEMALE_TITLES}|{MALE_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}
 PATTERN = "|".join([EMAIL, SECRET, ACCESS_KEY, CARD, PHONE, IP, NAME])
 #: What a text with any entity has; most texts have none of it and need no closer look.
 LIKELY = rf"[@0-9=:]|AKIA|\b(?:{FEMALE_TITLES}|{MALE_TITLES})\b"
-MAX_TRIES = 30
+#: A surrogate that still collides after so many draws gets one more letter, and another after as many again.
+TRIES_A_LETTER = 4
 
 # Letters by script and sort, in alphabetical order.
 LETTERS = {
@@ -116,9 +117,12 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), value), F.lit(0), lambda a, b: a + b) % 10
 
 
-def replacement(entity: Column, kind: Column, gender: Column, digest: Column) -> Column:
+def replacement(entity: Column, kind: Column, gender: Column, digest: Column, tries: Column) -> Column:
     """entity with the characters between kept prefix and suffix redrawn from digest (128 hexadecimal digits).
 
+    Words (names, addresses, secrets) that have been drawn often grow by letters of their script and case, as short ones may
+    have fewer values than there are entities.
+
     Places count from the end in characters that aren't separators, so layouts of one number agree."""
     first, last = kept_prefix(kind, entity), F.length(entity) - kept_suffix(kind, entity)
     hexadecimal = (kind == "secret") & entity.rlike("[=:]\\s?\"?[0-9a-f]+$")
@@ -137,7 +141,8 @@ def replacement(entity: Column, kind: Column, gender: Column, digest: Column) ->
             F.when((i <= first) | (i > last), c)
             .when(hexadecimal, draw("hex", number))
             .when(c.rlike("[0-9]"), draw("digit", number))
-            .when(end & c.rlike(r"\p{IsLatin}"), ending)
+            .when(end & c.rlike(r"\p{IsLatin}"), F.when(c.rlike(r"\p{Lu}"), F.upper(ending)).otherwise(ending))
+            .when(end & c.rlike(r"[\p{IsCyrillic}&&\p{Lu}]"), F.when(gender == "female", "А").otherwise("Н"))
             .when(end & c.rlike(r"\p{IsCyrillic}"), F.when(gender == "female", "а").otherwise("н"))
             .when(c.rlike(r"\p{IsCyrillic}"), F.when(c.rlike(r"\p{Lu}"), draw("cyrillic_upper", number)).otherwise(draw("cyrillic_lower", number)))
             .when(c.rlike(r"\p{IsGreek}"), F.when(c.rlike(r"\p{Lu}"), draw("greek_upper", number)).otherwise(draw("greek_lower", number)))
@@ -147,6 +152,16 @@ def replacement(entity: Column, kind: Column, gender: Column, digest: Column) ->
         )
 
     drawn = F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), one), "")
+    body = F.substring(entity, first + 1, F.length(entity))
+    more = F.substring(digest, F.lit(1), F.floor(tries / TRIES_A_LETTER).cast("int"))
+    sixteen = {"cyrillic_lower": r"\p{IsCyrillic}", "greek_lower": r"\p{IsGreek}"}
+    letters = F.translate(more, LETTERS["hex"], LETTERS["lower"][:16])
+    for alphabet, test in sixteen.items():
+        letters = F.when(body.rlike(test), F.translate(more, LETTERS["hex"], LETTERS[alphabet][:16])).otherwise(letters)
+    letters = F.when(hexadecimal, more).when(body.rlike(r"\p{Lu}") & ~body.rlike(r"\p{Ll}"), F.upper(letters)).otherwise(letters)
+    # after the first letter drawn, so that capitals and endings stay where they are
+    grown = F.concat(F.substring(drawn, F.lit(1), first + 1), letters, F.substring(drawn, first + 2, F.length(drawn)))
+    drawn = F.when(kind.isin("name", "email", "secret"), grown).otherwise(drawn)
     octets = [(F.conv(F.substring(digest, F.lit(1 + 4 * k), F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string") for k in range(4)]
 
     def checked(card: Column) -> Column:
@@ -165,10 +180,10 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     each = each.withColumns({"normal": normal(F.col("kind"), own), "gender": gender(F.col("kind"), own), "tries": F.lit(0)})
     open_rows, settled = stored(each, "entities"), None
     real = open_rows.select("kind", F.col("normal").alias("real")).distinct()
-    for _ in range(MAX_TRIES):
+    while True:
         digest = F.sha2(F.concat_ws("|", F.lit(key), "kind", "normal", F.col("tries").cast("string")), 512)
         drawn = open_rows.withColumn("_digest", digest)
-        drawn = drawn.withColumn("surrogate", replacement(F.col("entity"), F.col("kind"), F.col("gender"), F.col("_digest")))
+        drawn = drawn.withColumn("surrogate", replacement(F.col("entity"), F.col("kind"), F.col("gender"), F.col("_digest"), F.col("tries")))
         drawn = stored(drawn.drop("_digest").withColumn("drawn", normal(F.col("kind"), F.col("surrogate"))), "drawn")
         taken = drawn.select("kind", "drawn", "normal", "tries")
         if settled is not None:
@@ -187,7 +202,6 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         if bad.isEmpty():
             return stored(settled.select("entity", "surrogate"), "surrogates")
         open_rows = open_rows.join(bad, ["kind", "normal"], "left_semi").withColumn("tries", F.col("tries") + 1)
-    raise RuntimeError("surrogates still collide: a kind has too few values for its entities")
 
 
 def replace(docs: DataFrame, key: str = "surrogates") -> DataFrame:
