@@ -20,13 +20,12 @@ length at a time, and about BYTES_A_PART / 16 triggers.
 
 Cases: a null text is empty; texts under LENGTH bytes lose nothing; a null doc_id counts as one smaller than
 all others; repeated rows (one doc_id, one text) get the same result each and don't remove each other.
-Rows that share a doc_id but not a text lose what either of them would. An empty table gives an
-empty result. Other columns play no part.
+Rows that share a doc_id but not a text are told apart by a hash of the text (up to 31 bits, what the doc_ids leave of 64) and
+lose nothing to each other. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,12 +143,21 @@ def _entries(kind: bytes, part: np.ndarray, doc: np.ndarray, place: np.ndarray,
     return rows
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, doc, content) and the number of low bits of doc that tell texts of one doc_id apart: none where doc_ids differ."""
     content = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), content.alias("content"))
-
-
-def removed_places(docs: DataFrame) -> DataFrame:
+    n = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    if n["rows"] == n["named"] and docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs.select("doc_id", F.col("doc_id").alias("doc"), content.alias("content")), 0
+    low, high = n["low"] or 0, n["high"] or 0
+    bits = max(0, min(31, 62 - (high - low + 2).bit_length()))
+    if not bits:
+        return docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), content.alias("content")), 0
+    number = F.coalesce(F.col("doc_id") - low + 1, F.lit(0)).cast("long") * (1 << bits) + F.pmod(F.xxhash64("text"), F.lit(1 << bits))
+    return docs.select("doc_id", number.alias("doc"), content.alias("content")), bits
+
+
+def removed_places(docs: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
     """(doc, triggers, strings): places of triggers whose contexts go, and of LENGTH-byte strings that go."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, size // BYTES_A_PART)
@@ -172,7 +180,7 @@ def removed_places(docs: DataFrame) -> DataFrame:
             doc, place, key, context = doc[order], place[order], key[order], context[order]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])])[: len(key)]
             first = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
-            later = doc > first
+            later = doc >> bits > first >> bits
             rows = _entries(REMOVED, _part(doc[later], parts), doc[later], place[later])
             own = ~later
             rows += _entries(DICTIONARY, _part(key[own], parts), doc[own], place[own], key[own], context[own])
@@ -198,10 +206,10 @@ def removed_places(docs: DataFrame) -> DataFrame:
         new = new_key.copy()
         new[1:] |= context[1:] != context[:-1]
         first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        later = doc > first
+        later = doc >> bits > first >> bits
         group = np.cumsum(new_key) - 1
         begins = np.flatnonzero(new_key)
-        several = np.maximum.reduceat(doc, begins) > np.minimum.reduceat(doc, begins)
+        several = np.maximum.reduceat(doc, begins) >> bits > np.minimum.reduceat(doc, begins) >> bits
         several &= np.add.reduceat(new.astype(np.int64), begins) > 1
         asked = several[group] & ~later
         rows = _entries(REMOVED, _part(doc[later], parts), doc[later], place[later])
@@ -237,7 +245,6 @@ def removed_places(docs: DataFrame) -> DataFrame:
                 names=["doc", "triggers", "asked", "keys"],
             )
 
-    texts = _texts(docs)
     parsed = texts.select("doc", "content").mapInArrow(parse, ENTRY).repartitionById(parts, F.col("part"))
     told = parsed.mapInArrow(dictionary, ENTRY).repartitionById(parts, F.col("part"))
     marks = stored(told.mapInArrow(by_document, "doc long, triggers binary, asked binary, keys binary"), "marks")
@@ -290,7 +297,7 @@ def removed_places(docs: DataFrame) -> DataFrame:
         order = np.lexsort((doc, string))
         string, doc, begin = string[order], doc[order], begin[order]
         new = np.concatenate([[True], string[1:] != string[:-1]])
-        later = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        later = doc >> bits > doc[np.flatnonzero(new)][np.cumsum(new) - 1] >> bits
         rows = _entries(REMOVED, _part(doc[later], parts), doc[later], begin[later])
         if rows:
             yield packed.batch(rows, NAMES)
@@ -329,7 +336,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    joined = _texts(docs).join(removed_places(docs), "doc", "left").select("doc_id", "content", "triggers", "strings")
+    texts, bits = _texts(docs)
+    joined = texts.join(removed_places(docs, texts, bits), "doc", "left").select("doc_id", "content", "triggers", "strings")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary"
     return joined.mapInArrow(cut, schema)
 
@@ -339,24 +347,6 @@ def digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def brute_force(texts: dict[int, bytes]) -> dict[int, tuple[int, int, int, str]]:
-    """n_bytes, n_removed, n_spans and kept_sha256 by doc_id, from a table of all strings; for tests."""
-    first: dict[bytes, int] = {}
-    for doc in sorted(texts):
-        for i in range(len(texts[doc]) - LENGTH + 1):
-            first.setdefault(texts[doc][i : i + LENGTH], doc)
-    out = {}
-    for doc, text in texts.items():
-        gone = bytearray(len(text))
-        for i in range(len(text) - LENGTH + 1):
-            if first[text[i : i + LENGTH]] < doc:
-                gone[i : i + LENGTH] = b"\1" * LENGTH
-        left = bytes(c for c, g in zip(text, gone, strict=True) if not g)
-        n_spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
-        out[doc] = (len(text), sum(gone), n_spans, hashlib.sha256(left).hexdigest())
-    return out
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 

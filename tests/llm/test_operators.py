@@ -341,7 +341,7 @@ def test_repeated_bytes(spark):
     texts = {}
     for doc, text, *_ in rows:
         texts[-1 if doc is None else doc] = (text or "").encode()
-    want = repeated_bytes.brute_force(texts)
+    want = brute_removed(texts)
     found = repeated_bytes.remove_repeats(frame(spark, rows)).collect()
     assert len(found) == len(rows)
     for r in found:
@@ -352,6 +352,36 @@ def test_repeated_bytes(spark):
         assert bytes(c for i, c in enumerate(texts[doc]) if i not in gone) == r["kept"]
 
 
+def brute_removed(texts, length=repeated_bytes.LENGTH):
+    """n_bytes, n_removed, n_spans and kept_sha256 by doc_id, from a table of all strings."""
+    first = {}
+    for doc in sorted(texts):
+        for i in range(len(texts[doc]) - length + 1):
+            first.setdefault(texts[doc][i : i + length], doc)
+    out = {}
+    for doc, text in texts.items():
+        gone = bytearray(len(text))
+        for i in range(len(text) - length + 1):
+            if first[text[i : i + length]] < doc:
+                gone[i : i + length] = b"\1" * length
+        left = bytes(c for c, g in zip(text, gone, strict=True) if not g)
+        n_spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out[doc] = (len(text), sum(gone), n_spans, hashlib.sha256(left).hexdigest())
+    return out
+
+
+def test_texts_of_one_doc_id_lose_nothing_to_each_other(spark):
+    import random
+
+    rng = random.Random(4)
+    shared, own, twin = (" ".join(fresh(rng, 14)) for _ in range(3))
+    rows = [(1, shared), (5, "x" + shared), (5, own), (5, own + "y"), (None, twin), (None, twin + twin)]
+    got = repeated_bytes.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    removed = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got)
+    want = [(1, len(shared), 0), (5, len(shared) + 1, len(shared)), (5, len(own), 0), (5, len(own) + 1, 0)]
+    assert removed == collections.Counter([*want, (None, len(twin), 0), (None, 2 * len(twin), 0)])
+
+
 def test_near_passages(spark):
     rows = awkward(6, 60)
     found = near_passages.near_passages(frame(spark, rows)).collect()
@@ -451,3 +481,14 @@ def test_empty_tables(spark):
         assert found.collect() == []
     found = decontamination.contamination(frame(spark), benchmark.limit(0)).collect()
     assert not any(r["contaminated"] for r in found)
+
+
+def test_short_names_get_distinct_surrogates(spark):
+    """More names than there are values of their length: some surrogates grow; case and endings stay."""
+    names = [f"{a}{b}" for a in "ABCDEFG" for b in "bcdefgh"]
+    rows = [(i, f"met Ms. {n} and Mr. {n.upper()} today") for i, n in enumerate(names)]
+    table = surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = [re.fullmatch(r"met Ms\. (\S+) and Mr\. (\S+) today", r["text"]).groups() for r in table]
+    women, men = zip(*found, strict=True)
+    assert len({*women, *men}) == 2 * len(names) and not {*women, *men} & {*names}
+    assert all(w[0].isupper() and w.endswith("a") for w in women) and all(m.isupper() for m in men)
