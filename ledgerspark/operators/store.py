@@ -1,7 +1,8 @@
 """A store of versioned tables: a source is replaced as a whole or not at all, and readers see one version.
 
-Every publish writes new folders and then one pointer file by a rename; what was there stays readable until
-then, and an unsafe scan publishes nothing.
+Every publish writes new folders and then one numbered file that names them, under another name first; the version with the
+highest number is current. Older ones stay until then and after, so there is always one to read, and an unsafe scan or a
+publish that fails on the way changes nothing.
 """
 
 from __future__ import annotations
@@ -25,36 +26,45 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _current(self) -> tuple[int, dict]:
+        """The highest version's number and content: folders of tables, and marks of what has been applied."""
+        fs, pattern = self._fs("version-*.json")
+        found = [x.getPath().getName() for x in (fs.globStatus(pattern) or [])]
+        if not found:
+            return 0, {"tables": {}, "marks": {}}
+        content = self.spark.read.text(f"{self.path}/{max(found)}", wholetext=True).first()[0]
+        return int(max(found)[len("version-") : -len(".json")]), json.loads(content)
+
     def versions(self) -> dict[str, str]:
         """The folder of each table that is current."""
-        fs, path = self._fs("current.json")
-        if not fs.exists(path):
-            return {}
-        return json.loads(self.spark.read.text(f"{self.path}/current.json", wholetext=True).first()[0])
+        return self._current()[1]["tables"]
+
+    def marks(self) -> dict[str, int]:
+        """The number of the last batch applied, by stream."""
+        return self._current()[1]["marks"]
 
     def table(self, name: str) -> DataFrame | None:
         folder = self.versions().get(name)
         return self.spark.read.parquet(f"{self.path}/{folder}") if folder else None
 
-    def publish(self, **tables: DataFrame | None) -> None:
-        """All the given tables at once; None drops a table."""
-        now = self.versions()
+    def publish(self, marks: dict[str, int] | None = None, **tables: DataFrame | None) -> None:
+        """All the given tables and marks at once; None drops a table."""
+        number, now = self._current()
         for name, df in tables.items():
             if df is None:
-                now.pop(name, None)
+                now["tables"].pop(name, None)
                 continue
             folder = f"{name}-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.path}/{folder}")
-            now[name] = folder
-        fs, draft = self._fs(f".current-{uuid.uuid4().hex}.json")
+            now["tables"][name] = folder
+        now["marks"] |= marks or {}
+        fs, draft = self._fs(f".draft-{uuid.uuid4().hex}.json")
         out = fs.create(draft)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        _, target = self._fs("current.json")
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(draft, target):
-            raise RuntimeError("the new version could not be made current")
+        _, target = self._fs(f"version-{number + 1:012d}.json")
+        if fs.exists(target) or not fs.rename(draft, target):
+            raise RuntimeError(f"version {number + 1} has been published by another writer")
 
     def replace_source(self, source: str, records: DataFrame, cursors: DataFrame, safe: bool = True) -> dict[str, int]:
         """The records and cursors of one source as they are now, and buckets anew if anything changed.
@@ -73,8 +83,7 @@ class Store:
             diff = matching.snapshot_diff(old.filter(F.col("source") == source), new.select(*old.columns), key)
             changes[name] = diff.filter("change <> 'same'").count()
         if any(changes.values()):
-            self.publish(records=now["records"], cursors=now["cursors"])
-            self.publish(buckets=rollup.buckets(self.table("records")))
+            self.publish(records=now["records"], cursors=now["cursors"], buckets=rollup.buckets(now["records"]))
         return {"record_changes": changes["records"], "cursor_changes": changes["cursors"]}
 
     def move_file(self, old_path: str, new_path: str) -> None:

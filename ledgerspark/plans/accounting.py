@@ -120,10 +120,10 @@ def _files(spark, d):
 
 def _reconciled(spark, d):
     rows = spark.read.parquet(f"{d}/events.parquet").selectExpr(
-        "user_id as base", "event_id", "row_number() over (partition by user_id order by event_id) as n"
+        "user_id as base", "event_id", "row_number() over (partition by user_id order by event_id) as n", "count(*) over (partition by user_id) as total"
     )
     files = _files(spark, d)
-    took = "n <= case user_id % 3 when 1 then 10 else 20 end"
+    took = "user_id % 3 <> 1 or 2 * n <= total"  # a copy that ends half-way through the file
     held = files.selectExpr("path", "user_id", "user_id - user_id % 3 as base").join(rows, "base").filter(took)
     changed = "user_id % 3 = 2 and user_id div 3 % 4 = 0 and n = 5"
     events = held.selectExpr("path", "cast(n as bigint) as event_index", f"concat('e', cast(event_id as string), case when {changed} then 'x' else '' end) as identity")
@@ -320,9 +320,9 @@ FROM child c LEFT JOIN par p ON p.child = c.session AND p.n = c.n""",
     "fork_cycles": """WITH RECURSIVE s AS (SELECT DISTINCT user_id AS u, CASE WHEN user_id % 10 < 4 THEN user_id - user_id % 10 + (user_id % 10 + 1) % 4 WHEN user_id % 30 > 25 THEN user_id - 1 END AS p FROM events),
 walk(start, pos, depth) AS (SELECT u, p, 1 FROM s WHERE p IS NOT NULL UNION SELECT w.start, s.p, w.depth + 1 FROM walk w JOIN s ON s.u = w.pos WHERE s.p IS NOT NULL AND w.depth < 12 AND w.pos <> w.start)
 SELECT DISTINCT CAST(start AS VARCHAR) AS session FROM walk WHERE pos = start""",
-    "logical_session_reconcile": f"""WITH {_FILES_SQL}, r AS (SELECT user_id AS base, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    "logical_session_reconcile": f"""WITH {_FILES_SQL}, r AS (SELECT user_id AS base, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events),
 e AS (SELECT path, list('e' || event_id || CASE WHEN user_id % 3 = 2 AND user_id // 3 % 4 = 0 AND n = 5 THEN 'x' ELSE '' END ORDER BY n) AS ids
-  FROM files f JOIN r ON r.base = f.user_id - f.user_id % 3 WHERE n <= CASE user_id % 3 WHEN 1 THEN 10 ELSE 20 END GROUP BY path),
+  FROM files f JOIN r ON r.base = f.user_id - f.user_id % 3 WHERE user_id % 3 <> 1 OR 2 * r.n <= total GROUP BY path),
 f AS (SELECT files.*, coalesce(ids, []) AS ids, len(coalesce(ids, [])) AS n FROM files LEFT JOIN e USING (path)),
 o AS (SELECT session, arg_min(path, (CASE WHEN archived THEN 'b' ELSE 'a' END) || path) AS first, max(n) AS most, min(n) AS least, count(DISTINCT coalesce(parent, '')) > 1 AS differ FROM f GROUP BY session),
 l AS (SELECT session, path AS longest, ids AS lids FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC, archived, path) AS rn FROM f) WHERE rn = 1),

@@ -136,7 +136,7 @@ QUERIES = {
     "activity_weekly": _grid(activity.weekly_grid),
     "activity_monthly": _grid(activity.monthly_grid),
     "activity_cumulative": _grid(activity.cumulative),
-    "activity_streaks": lambda s, d: activity.streaks(_daily(s, d).filter("total_tokens % 5 <> 0"), TODAY),
+    "activity_streaks": lambda s, d: activity.streaks(_daily(s, d), TODAY),
     "activity_summary": lambda s, d: activity.grid_summary(activity.daily_grid(_daily(s, d), TODAY)),
     "activity_month_labels": lambda s, d: activity.month_labels(activity.daily_grid(_daily(s, d), TODAY), 7),
     "session_summaries": _summaries,
@@ -289,7 +289,7 @@ SELECT dimension, key, current_tokens, previous_tokens, current_tokens - previou
 r AS (SELECT *, CAST(sum(total_tokens) OVER (ORDER BY day) AS BIGINT) AS cumulative_tokens, max(total_tokens) OVER () AS most FROM days)
 SELECT * EXCLUDE (most), CAST(CASE WHEN cumulative_tokens > 0 THEN least(4, greatest(1, ceil(cumulative_tokens / most * 4))) ELSE 0 END AS INTEGER) AS intensity FROM r""",
     "activity_streaks": f"""{_DAILY}, runs AS (SELECT count(*) AS n, min(day) AS first, max(day) AS last FROM
-  (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM daily WHERE total_tokens > 0 AND total_tokens % 5 <> 0) GROUP BY island)
+  (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM daily WHERE total_tokens > 0) GROUP BY island)
 SELECT coalesce(max(CASE WHEN first <= DATE '2024-01-20' AND last >= DATE '2024-01-20' THEN DATE '2024-01-20' - first + 1 END), 0) AS current_streak, coalesce(max(n), 0) AS longest_streak FROM runs""",
     "activity_summary": f"""{_spine('2023-01-16', '2024-01-22')} SELECT CAST(sum(total_tokens) AS BIGINT) AS range_tokens, max(total_tokens) AS peak_tokens,
   (SELECT day FROM days ORDER BY total_tokens DESC, day LIMIT 1) AS peak_day FROM days""",

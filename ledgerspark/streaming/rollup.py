@@ -36,26 +36,29 @@ def windowed(records: DataFrame, late: str = "1 day", width: str = "30 minutes")
     )
 
 
-def apply_batch(store: Store, batch: DataFrame) -> None:
-    """One micro-batch: upsert by id, the last of a batch by time wins, then recompute the touched buckets."""
+def apply_batch(store: Store, batch: DataFrame, number: int | None = None, stream: str = "records") -> None:
+    """One micro-batch: upsert by id, the last of a batch by time wins, and the touched buckets anew, in one publish.
+
+    A numbered batch is applied once: one that comes again after it was published is left alone, and one that failed on the way
+    has changed nothing, so what it touches is found anew."""
     from ..operators.rollup import buckets
 
-    if batch.isEmpty():
+    if batch.isEmpty() or number is not None and store.marks().get(stream, -1) >= number:
         return
     old = store.table("records")
     old = old if old is not None else batch.limit(0)
     before = old.join(batch.select("id").distinct(), "id", "left_semi")
     touched = before.unionByName(batch.select(*old.columns)).select("source", "model", "project_key", bucket_start(F.col("ts_ms")).alias("bucket_start")).distinct()
-    store.publish(records=matching.upserted(old, batch.select(*old.columns), "id", ["ts_ms", *COUNTERS]))
-    records = store.table("records")
+    records = matching.upserted(old, batch.select(*old.columns), "id", ["ts_ms", *COUNTERS])
     keys = ["source", "model", "project_key", "bucket_start"]
     fresh = buckets(records.withColumn("bucket_start", bucket_start(F.col("ts_ms"))).join(touched, keys, "left_semi").drop("bucket_start"))
     known = store.table("buckets")
-    store.publish(buckets=fresh if known is None else known.join(touched, keys, "left_anti").unionByName(fresh.select(*known.columns)))
+    summed = fresh if known is None else known.join(touched, keys, "left_anti").unionByName(fresh.select(*known.columns))
+    store.publish(marks=None if number is None else {stream: number}, records=records, buckets=summed)
 
 
 def run(spark: SparkSession, path: str, store: Store, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Feeds the store from a folder: once through what is there, or again and again."""
-    stream = read_records(spark, path).writeStream.foreachBatch(lambda batch, _: apply_batch(store, batch))
+    stream = read_records(spark, path).writeStream.foreachBatch(lambda batch, number: apply_batch(store, batch, number, checkpoint))
     stream = stream.option("checkpointLocation", checkpoint)
     return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()

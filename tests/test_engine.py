@@ -226,6 +226,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert kept.table("records").count() == 4
 
 
+def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path, monkeypatch):
+    """A publish fails after its tables are written; the batch comes again, and once more after it was published."""
+    kept = store.Store(spark, str(tmp_path / "store"))
+    streaming.apply_batch(kept, records(spark, (1, "codex", "a", 0, 10), (2, "codex", "a", 5, 20)), 0)
+    before = kept.versions()
+    moved = records(spark, (1, "codex", "a", 4_000_000, 11))
+    with monkeypatch.context() as m:
+        m.setattr(store.json, "dumps", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            streaming.apply_batch(kept, moved, 1)
+    assert kept.versions() == before
+    for _ in range(2):
+        streaming.apply_batch(kept, moved, 1)
+        found = {(r["bucket_start"], r["record_count"], r["input_tokens"]) for r in kept.table("buckets").withColumn("bucket_start", F.col("bucket_start").cast("string")).collect()}
+        assert sorted(x[1:] for x in found) == [(1, 11), (1, 20)]
+    assert kept.marks() == {"records": 1} and kept.table("records").count() == 2
+    streaming.apply_batch(kept, records(spark, (2, "codex", "a", 5, 99)), 1)  # a number that has been applied
+    assert kept.table("records").agg(F.sum("input_tokens")).first()[0] == 31
+
+
 def test_csv(spark, tmp_path):
     rows = spark.createDataFrame([("=1+1", 'a "b", c', None), ("-x", "", "é")], "a string, b string, c string")
     rollup.write_csv(rows.select(*[fn.csv_safe(F.col(c)).alias(c) for c in rows.columns]).coalesce(1), str(tmp_path / "out"))
