@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.usage import redacted, total_tokens
+
 HISTOGRAM = ((0, "0"), (1_000, "1-1K"), (10_000, "1K-10K"), (100_000, "10K-100K"), (1_000_000, "100K-1M"))
 
 
@@ -74,3 +76,49 @@ def methods_side_by_side(contributions: DataFrame) -> DataFrame:
         F.count_if(F.col("relation") == "reset").alias("resets"),
         F.count_if(F.col("method") == "duplicate-zero").alias("repeats"),
     )
+
+
+def usage_source(is_token_count: Column, nested: Column, payload_usage: Column, flat: Column) -> Column:
+    """What an event's usage was read from, the first that applies; null if there is none."""
+    return (
+        F.when(is_token_count, "token-count")
+        .when(nested, "nested-info-non-token-count")
+        .when(payload_usage, "payload-usage")
+        .when(flat, "flat-payload")
+    )
+
+
+def event_context(events: DataFrame) -> DataFrame:
+    """events (session, event_index, ts_ms, event_type, model) with the type and time gap of the session's previous event, the last
+    model named before, and whether it is the session's first."""
+    order = Window.partitionBy("session").orderBy("event_index")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    return events.select(
+        "session",
+        "event_index",
+        F.lag("event_type").over(order).alias("previous_type"),
+        (F.col("ts_ms") - F.lag("ts_ms").over(order)).alias("gap_ms"),
+        F.last("model", ignorenulls=True).over(before).alias("model_before"),
+        (F.row_number().over(order) == 1).alias("is_first"),
+    )
+
+
+def largest_differences(rows: DataFrame, key: str, one: str, other: str, n: int = 20) -> DataFrame:
+    """The n rows in which one and other are furthest apart, with the difference; ties by key."""
+    difference = (F.col(one) - F.col(other)).alias("difference")
+    return rows.select(key, one, other, difference).orderBy(F.abs("difference").desc(), key).limit(n)
+
+
+def rebuild_difference(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Records and tokens of two record tables (before and after a rebuild), the difference, and its percentage of before."""
+    sides = []
+    for name, df in (("before", before), ("after", after)):
+        sides.append(df.agg(F.count("*").alias(f"{name}_records"), F.coalesce(F.sum(total_tokens()), F.lit(0)).alias(f"{name}_tokens")))
+    joined = sides[0].join(F.broadcast(sides[1]))  # one row each
+    found = joined.withColumns({f"{x}_difference": F.col(f"after_{x}") - F.col(f"before_{x}") for x in ("records", "tokens")})
+    return found.withColumn("tokens_percent", F.when(F.col("before_tokens") > 0, 100 * F.col("tokens_difference") / F.col("before_tokens")))
+
+
+def recent_diagnostics(rows: DataFrame, limit: int = 500) -> DataFrame:
+    """The newest diagnostics (ts_ms, level, message, source), with user folders redacted: a bounded report."""
+    return rows.orderBy(F.col("ts_ms").desc(), "message").limit(limit).withColumn("message", redacted(F.col("message")))

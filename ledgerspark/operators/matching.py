@@ -106,3 +106,24 @@ def replaced_source(old: DataFrame, new: DataFrame, source: str) -> DataFrame:
     if not wrong.isEmpty():
         raise ValueError("SOURCE_SNAPSHOT_RECORD_MISMATCH")
     return old.filter(~F.col("source").eqNullSafe(F.lit(source))).unionByName(new.select(*old.columns))
+
+
+def moved_files(files: DataFrame, cursors: DataFrame) -> DataFrame:
+    """path, logical_id, cursor_path, state of each file (source, path, logical_id): `known` by its own cursor (source, path,
+    logical_id); `changed` if that one names another session; `moved` if only a cursor of another path has its session, which
+    one file alone, the first by path, takes over; else `new`."""
+    own = cursors.select("source", "path", F.col("logical_id").alias("own_id"), F.lit(True).alias("has_own"))
+    placed = files.join(own, ["source", "path"], "left")
+    elsewhere = cursors.filter("logical_id is not null").groupBy("source", "logical_id").agg(F.min("path").alias("elsewhere"))
+    placed = placed.join(elsewhere, ["source", "logical_id"], "left")
+    may_move = F.col("has_own").isNull() & F.col("elsewhere").isNotNull() & (F.col("elsewhere") != F.col("path"))
+    first = placed.filter(may_move).groupBy("source", "logical_id").agg(F.min("path").alias("path"), F.lit(True).alias("takes"))
+    placed = placed.join(first, ["source", "logical_id", "path"], "left")
+    state = (
+        F.when(F.col("has_own") & (F.col("own_id") != F.col("logical_id")), "changed")
+        .when(F.col("has_own"), "known")
+        .when(F.col("takes"), "moved")
+        .otherwise("new")
+    )
+    cursor = F.when(F.col("has_own"), F.col("path")).when(F.col("takes"), F.col("elsewhere"))
+    return placed.select("path", "logical_id", cursor.alias("cursor_path"), state.alias("state"))

@@ -86,6 +86,20 @@ class Store:
             self.publish(records=now["records"], cursors=now["cursors"], buckets=rollup.buckets(now["records"]))
         return {"record_changes": changes["records"], "cursor_changes": changes["cursors"]}
 
+    def commit_scan(self, source: str, path: str, records: DataFrame, cursor: DataFrame, replace: bool = False) -> int:
+        """One file's scan: its records by id and its cursor; with replace its older rows go first. Returns how many rows changed."""
+        old, cursors = self.table("records"), self.table("cursors")
+        old = records.limit(0) if old is None else old
+        cursors = cursor.limit(0) if cursors is None else cursors
+        mine = F.col("source").eqNullSafe(F.lit(source)) & F.col("source_path").eqNullSafe(F.lit(path))
+        kept = old.filter(~mine) if replace else old
+        diff = matching.snapshot_diff(kept.join(records.select("id"), "id", "left_semi"), records.select(*old.columns), "id")
+        changed = diff.filter("change <> 'same'").count() + (old.filter(mine).count() if replace else 0)
+        now = matching.upserted(kept, records.select(*old.columns))
+        others = cursors.filter(~(F.col("source").eqNullSafe(F.lit(source)) & (F.col("path") == path)))
+        self.publish(records=now, cursors=others.unionByName(cursor.select(*cursors.columns)), buckets=rollup.buckets(now))
+        return changed
+
     def move_file(self, old_path: str, new_path: str) -> None:
         """A file that was moved keeps its rows under its new path."""
 

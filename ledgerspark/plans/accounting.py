@@ -215,7 +215,29 @@ def _reconciliation(spark, d):
     return audits.reconciliation(expected, actual, ["source", "model", "total_tokens"])
 
 
+def _usage_sources(spark, d):
+    rows = counter_events(spark, d)
+    n = F.col("event_index")
+    found = audits.usage_source(n % 3 == 0, F.col("total").isNotNull() & (n % 7 == 0), n % 5 == 0, F.col("last").isNotNull() | (n % 2 == 0))
+    return rows.groupBy(found.alias("usage_source")).agg(F.count("*").alias("n"))
+
+
+def _moved_files(spark, d):
+    """Each user's log, of which some share a session, with cursors of which some are of other paths or sessions."""
+    users = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct()
+    files = users.selectExpr("'codex' as source", "concat('/new/', cast(user_id as string)) as path", "case when user_id % 7 <> 0 then concat('s', cast(user_id div 2 as string)) end as logical_id")
+    cursors = users.selectExpr(
+        "'codex' as source", "concat(case when user_id % 3 = 0 then '/new/' else '/old/' end, cast(user_id as string)) as path",
+        "case when user_id % 9 = 0 then 'other' else concat('s', cast(user_id div 2 as string)) end as logical_id",
+    )
+    return matching.moved_files(files, cursors)
+
+
 QUERIES = {
+    "usage_sources": _usage_sources,
+    "event_context": lambda s, d: audits.event_context(counter_events(s, d)),
+    "largest_differences": lambda s, d: audits.largest_differences(audits.methods_side_by_side(_contributions(s, d)), "session", "segmented_delta", "terminal"),
+    "moved_files": _moved_files,
     "cumulative_delta": _delta,
     "seeded_delta": _seeded,
     "counter_segments": _segments,
@@ -286,6 +308,24 @@ diff AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'insert'
   WHEN a.customer IS NOT DISTINCT FROM b.customer AND a.status IS NOT DISTINCT FROM b.status THEN 'same' ELSE 'update' END AS change FROM old a FULL JOIN new b ON a.id = b.id)"""
 
 ORACLES = {
+    "usage_sources": f"""WITH {COUNTERS_SQL} SELECT CASE WHEN event_index % 3 = 0 THEN 'token-count' WHEN total IS NOT NULL AND event_index % 7 = 0 THEN 'nested-info-non-token-count'
+  WHEN event_index % 5 = 0 THEN 'payload-usage' WHEN last IS NOT NULL OR event_index % 2 = 0 THEN 'flat-payload' END AS usage_source, count(*) AS n FROM counters GROUP BY 1""",
+    "event_context": f"""WITH {COUNTERS_SQL} SELECT session, event_index, lag(event_type) OVER o AS previous_type, ts_ms - lag(ts_ms) OVER o AS gap_ms,
+  last_value(model IGNORE NULLS) OVER (PARTITION BY session ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS model_before,
+  row_number() OVER o = 1 AS is_first FROM counters WINDOW o AS (PARTITION BY session ORDER BY event_index)""",
+    "largest_differences": f"""WITH {COUNTERS_SQL}, {_contributed('counters')}, m AS (SELECT session,
+  CAST(coalesce(sum(CASE WHEN relation = 'increased' THEN total - previous WHEN relation IN ('initial', 'reset') THEN total END), 0) AS BIGINT) AS segmented_delta,
+  CAST(coalesce(arg_max(total, CASE WHEN total IS NOT NULL THEN event_index END), 0) AS BIGINT) AS terminal FROM x GROUP BY session)
+SELECT session, segmented_delta, terminal, segmented_delta - terminal AS difference FROM m ORDER BY abs(segmented_delta - terminal) DESC, session LIMIT 20""",
+    "moved_files": """WITH u AS (SELECT DISTINCT user_id FROM events),
+f AS (SELECT '/new/' || user_id AS path, CASE WHEN user_id % 7 <> 0 THEN 's' || (user_id // 2) END AS logical_id FROM u),
+c AS (SELECT CASE WHEN user_id % 3 = 0 THEN '/new/' ELSE '/old/' END || user_id AS path, CASE WHEN user_id % 9 = 0 THEN 'other' ELSE 's' || (user_id // 2) END AS logical_id FROM u),
+p AS (SELECT f.path, f.logical_id, c.path IS NOT NULL AS own, c.logical_id AS own_id, (SELECT min(e.path) FROM c e WHERE e.logical_id = f.logical_id) AS elsewhere
+  FROM f LEFT JOIN c ON c.path = f.path),
+q AS (SELECT *, NOT own AND elsewhere IS NOT NULL AND elsewhere <> path AS may FROM p),
+r AS (SELECT *, may AND row_number() OVER (PARTITION BY logical_id, may ORDER BY path) = 1 AS takes FROM q)
+SELECT path, logical_id, CASE WHEN own THEN path WHEN takes THEN elsewhere END AS cursor_path,
+  CASE WHEN own AND own_id <> logical_id THEN 'changed' WHEN own THEN 'known' WHEN takes THEN 'moved' ELSE 'new' END AS state FROM r""",
     "cumulative_delta": f"WITH {COUNTERS_SQL}, {_contributed('counters')} SELECT session, event_index, total, last, previous, relation, method, tokens FROM x",
     "seeded_delta": f"WITH {COUNTERS_SQL}, {_contributed('counters', '40')} SELECT session, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) FILTER (method = 'total-initial') AS initial FROM x GROUP BY session",
     "counter_segments": f"""WITH {COUNTERS_SQL}, {_contributed('counters')} SELECT session, event_index,

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ledgerspark.operators import lineage
 from ledgerspark import catalogue
 from ledgerspark.functions import usage as fn
-from ledgerspark.operators import contributions, counters, periods, pricing, rollup, store
-from ledgerspark.sources import decoders, jsonl
+from ledgerspark.operators import audits, contributions, counters, periods, pricing, rollup, store
+from ledgerspark.sources import decoders, discovery, jsonl
 from ledgerspark.streaming import rollup as streaming
 
 SF = "/root/testdata/sf0.001"
@@ -279,3 +279,38 @@ def test_reconcile_gathers_no_file_in_a_row(spark):
     found = lineage.reconcile(files, spark.createDataFrame(rows, "path string, event_index long, identity string"))
     assert {r["path"]: r["status"] for r in found.collect()} == {"a": "divergent-events", "b": "divergent-events", "c": "kept", "d": "prefix-shadowed"}
     assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_discovery(spark, tmp_path):
+    (tmp_path / ".codex" / "sessions" / "deep").mkdir(parents=True)
+    (tmp_path / ".claude").mkdir()
+    found = {r["source"]: (r["status"], r["installed"], r["data_available"]) for r in discovery.detected(spark, str(tmp_path)).collect()}
+    assert found == {"claude": ("Ready", True, False), "codex": ("Ready", True, False)}
+    head = {"type": "session_meta", "payload": {"id": " one ", "forked_from_id": "zero"}}
+    lines = [{"type": "other"}, head, {"type": "session_meta", "payload": {"id": "two"}}]
+    (tmp_path / ".codex" / "sessions" / "deep" / "a.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    (tmp_path / ".codex" / "sessions" / "b.JSONL").write_text(json.dumps({"type": "session_meta", "sessionId": "flat"}) + "\n")
+    (tmp_path / ".codex" / "sessions" / "c.jsonl").write_text(json.dumps(head))  # a line that isn't ended
+    found = {r["source"]: r["status"] for r in discovery.detected(spark, str(tmp_path)).collect()}
+    assert found == {"claude": "Ready", "codex": "Active"}
+    heads = discovery.session_heads(jsonl.files(spark, discovery.roots(str(tmp_path), "codex"))).collect()
+    assert {r["path"].rsplit("/", 1)[1]: (r["session_id"], r["parent_id"]) for r in heads} == {
+        "a.jsonl": ("one", "zero"), "b.JSONL": ("flat", None), "c.jsonl": (None, None),
+    }
+
+
+def test_one_files_scan_is_committed(spark, tmp_path):
+    kept = store.Store(spark, str(tmp_path / "store"))
+    cursor = spark.createDataFrame([("codex", "/codex/a", 7)], "source string, path string, size long")
+    assert kept.commit_scan("codex", "/codex/a", records(spark, (1, "codex", "a", 0, 10), (2, "codex", "a", 5, 20)), cursor) == 2
+    assert kept.commit_scan("codex", "/codex/a", records(spark, (2, "codex", "a", 5, 20), (3, "codex", "a", 6, 1)), cursor) == 1
+    assert kept.commit_scan("codex", "/codex/a", records(spark, (9, "codex", "a", 6, 4)), cursor, replace=True) == 4
+    assert [r["id"] for r in kept.table("records").collect()] == ["9"] and kept.table("cursors").count() == 1
+    assert kept.table("buckets").agg(F.sum("input_tokens")).first()[0] == 4
+
+
+def test_rebuild_and_diagnostics(spark):
+    found = audits.rebuild_difference(records(spark, (1, "codex", "a", 0, 10)), records(spark, (1, "codex", "a", 0, 10), (2, "codex", "a", 0, 5))).first()
+    assert (found["records_difference"], found["tokens_difference"], found["tokens_percent"]) == (1, 5, 50.0)
+    rows = spark.createDataFrame([(i, "warn", f"/home/jo/{i}", None) for i in range(6)], "ts_ms long, level string, message string, source string")
+    assert [r["message"] for r in audits.recent_diagnostics(rows, 2).collect()] == ["~/5", "~/4"]
