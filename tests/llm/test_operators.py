@@ -451,6 +451,27 @@ def test_near_passages_are_all_given(spark):
         assert any(w[0] == a and w[1] <= begin and end <= w[2] and w[3] == b and w[4] <= low and high <= w[5] for w in want + again)
 
 
+def test_near_passages_recall(spark):
+    """Beside all pairs: passages with edits at several similarities, each in two documents of their own."""
+    import random
+
+    rng = random.Random(3)
+    rows, want = [], collections.defaultdict(set)
+    for percent, length in ((80, 96), (84, 120), (89, 180), (94, 360)):
+        for _ in range(40):
+            one, doc = fresh(rng, length), len(rows)
+            two = [w if i not in (length // 4, 3 * length // 4) else "edited" for i, w in enumerate(one)]
+            s, u = ({tuple(x[i : i + 5]) for i in range(length - 4)} for x in (one, two))
+            assert 0 <= 100 * len(s & u) / len(s | u) - percent < 2
+            for k, x in enumerate((one, two)):
+                rows.append((doc + k, " ".join(fresh(rng, 30) + x + fresh(rng, 30)), "", "", 0, 0, "", 0))
+            want[percent].add((doc + 1, doc))
+    found = {(r["doc_id"], r["other_id"]) for r in near_passages.near_passages(frame(spark, rows)).collect()}
+    assert found <= set.union(*want.values())
+    for percent, pairs in want.items():
+        assert len(pairs & found) >= 0.9 * len(pairs), percent
+
+
 def test_compact_windows_hold_every_subsequence_once():
     rng = np.random.default_rng(1)
     values = rng.permutation(80)
