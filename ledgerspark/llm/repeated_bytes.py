@@ -1,22 +1,25 @@
 """Suffix-array dedup by prefix-free parsing: bytes of passages that an earlier document has already.
 
 Every byte covered by a ``LENGTH``-byte string that also starts in a document with a smaller doc_id is
-removed. Comparing the suffixes at all bytes would move the corpus many times over, so texts are parsed
-first. A rolling hash of K bytes triggers a phrase wherever it is the least of some window of
-W = LENGTH - K + 1 places; so each string of LENGTH bytes holds a trigger, equal strings hold it at the
-same place, and suffixes need to be ordered only by what stands around triggers:
-
-1. Dictionary: triggers are dealt by their hash. Suffixes that agree in the whole context of a trigger (all strings of LENGTH
-   bytes that can hold it) are one entry with its first document; in later documents all of the entry is
-   removed. A batch of documents sends an entry for its first document there only, so a passage in a
-   third of all documents costs a task one entry a batch.
-2. Where different entries share a trigger, the contexts themselves are fetched, once for each entry, and
-   all strings of LENGTH bytes in them are sorted with their documents: the order of suffixes of the dictionary. A
-   string that an earlier document has is removed from the entry's own document too.
-3. The removed stretches of each document are put together and cut out.
-
-Strings are compared by 64-bit hashes of their bytes. Memory: a task holds a text and some arrays of its
-length at a time, and about BYTES_A_PART / 16 triggers.
+removed. Sorting the suffixes at all bytes would move the corpus many times over, so texts are parsed first:
+
+1. Parse: a K-byte string whose rolling hash is a multiple of EVERY triggers the end of a phrase and the start of the next,
+   which share these K bytes. So no suffix of a phrase that is longer than K begins another, and a LENGTH-byte string either
+   lies in one phrase, wherever it occurs, or goes on from one phrase to the next around the same trigger.
+2. Dictionary: phrases, and joints of the parse (the last bytes of a phrase and the first of those that follow, as far as
+   strings of LENGTH bytes reach over the trigger), each with its first document. Later documents lose all of it, as each of its strings
+   is in the first document. So what is equal for long stretches is compared by phrases and not by bytes.
+3. Order: suffixes of the dictionary's phrases and joints, up to LENGTH bytes, are sorted by their bytes. A suffix shorter than a phrase
+   allows is followed in the parse by its joint, so both together are the order of the corpus. Where neighbours agree
+   in LENGTH bytes, all but those in the first document go.
+4. The removed stretches of each document are put together and cut out.
+
+Suffixes are dealt to tasks by the least K-byte hash of their LENGTH bytes, which neighbouring suffixes mostly share: a
+stretch of them moves as one string, about four bytes a suffix, before compression. A task first drops suffixes whose 64-bit hash occurs once there,
+as they agree with none, and sorts the rest. Phrases and joints are told apart by 128 bits of hash, suffixes by their bytes.
+
+Memory: a task holds CHUNK bytes of text (one text at least) and some arrays of that length, or the suffixes of about BYTES_A_PART bytes of
+text. All suffixes with one least hash meet in one task.
 
 Cases: a null text is empty; texts under LENGTH bytes lose nothing; a null doc_id counts as one smaller than
 all others; repeated rows (one doc_id, one text) get the same result each and don't remove each other.
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +43,12 @@ from .common import stored, table
 LENGTH = 50
 K = 20
 W = LENGTH - K + 1
+EVERY = 512
 NULL_ID = -(2**63)
-BYTES_A_PART = 24_000_000
+BYTES_A_PART = 8_000_000
 CHUNK = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -92,25 +95,42 @@ def _extreme(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def triggers(content: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, Rolling]:
-    """Of documents laid end to end: places of triggers and their hashes."""
-    rolling = Rolling(content)
-    n = len(content)
-    if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), rolling
-    hashes = rolling.all(K)
-    least = _extreme(hashes, W, np.minimum)  # one for each string of LENGTH bytes
-    last = np.repeat(ends, ends - begins)[: len(least)]
-    inside = np.arange(len(least)) + LENGTH <= last
-    least = np.where(inside, least, np.uint64(0))
-    padded = np.concatenate([np.zeros(W - 1, np.uint64), least, np.zeros(W - 1, np.uint64)])
-    best = _extreme(padded, W, np.maximum)[: len(hashes)]
-    at = np.flatnonzero(best == hashes)
-    return at, hashes[at], rolling
-
-
-def chunks(ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Some documents at a time: ids, bytes end to end, begins, ends."""
+def pieces(content: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents laid end to end: begin, end and owner of each phrase and joint that has LENGTH bytes or more."""
+    hashes = Rolling(content).all(K) if len(content) >= K else np.zeros(0, np.uint64)
+    at = np.flatnonzero(hashes % np.uint64(EVERY) == 0)
+    owner = np.searchsorted(ends, at, "right")
+    inside = at + K <= ends[owner]
+    point = np.concatenate([begins, at[inside]])
+    owner = np.concatenate([np.arange(len(begins)), owner[inside]])
+    order = np.lexsort((point, owner))  # stable: a document's begin stays before a trigger there
+    point, owner = point[order], owner[order]
+    goes_on = np.append(owner[1:] == owner[:-1], False)
+    trigger = np.append(point[1:], 0)
+    phrase_end = np.where(goes_on, trigger + K, ends[owner])
+    joint = np.maximum(point, trigger + K - LENGTH + 1)[goes_on]
+    joint_end = np.minimum(ends[owner], trigger + LENGTH - 1)[goes_on]
+    begin, end, owner = np.append(point, joint), np.append(phrase_end, joint_end), np.append(owner, owner[goes_on])
+    full = end - begin >= LENGTH
+    return begin[full], end[full], owner[full]
+
+
+def stretches(content: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of places that are wanted and whose LENGTH bytes have the same least K-byte hash: first place, number, hash."""
+    least = _extreme(Rolling(content).all(K), W, np.minimum)
+    at = np.flatnonzero(wanted[: len(least)])
+    key = least[at]
+    begins = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (key[1:] != key[:-1])])[: len(at)])
+    return at[begins], np.diff(np.append(begins, len(at))), key[begins]
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 and so on, size of them, for each begin."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some documents at a time: the number of the first, bytes end to end, begins, ends."""
     k = 0
     while k < len(texts):
         m, size = k, 0
@@ -119,30 +139,42 @@ def chunks(ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np
             m += 1
         lengths = np.array([len(x) for x in texts[k:m]])
         ends = np.cumsum(lengths)
-        yield ids[k:m], np.frombuffer(b"".join(texts[k:m]), np.uint8), ends - lengths, ends
+        yield k, np.frombuffer(b"".join(texts[k:m]), np.uint8), ends - lengths, ends
         k = m
 
 
-ENTRY = "part int, kind binary, docs binary, counts binary, places binary, keys binary, contexts binary"
+ENTRY = "part int, kind binary, docs binary, counts binary, places binary, sizes binary, content binary"
 NAMES = [x.split()[0] for x in ENTRY.split(", ")]
-DICTIONARY, REMOVED, ASKED = b"", b"r", b"a"
+REMOVED, ASKED = b"r", b"a"
+MARKS = "doc long, gone binary, gone_sizes binary, asked binary, asked_sizes binary"
 
 
 def _part(x: np.ndarray, parts: int) -> np.ndarray:
     return (_mix(x.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
-def _entries(kind: bytes, part: np.ndarray, doc: np.ndarray, place: np.ndarray, *more: np.ndarray) -> list[tuple]:
+def _entries(kind: bytes, part: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, ids: np.ndarray | None = None) -> list[tuple]:
     """Packed by part; in each, sorted by document."""
     rows = []
     for p, at in packed.by_part(part):
         at = at[np.lexsort((place[at], doc[at]))]
-        ids, counts = packed.runs(doc[at])
-        extra = [packed.raw(x[at], "<u8") for x in more] + [b""] * (2 - len(more))
-        rows.append((p, kind, packed.raw(ids, "<i8"), packed.raw(counts, "<i4"), packed.raw(place[at], "<u4"), *extra))
+        docs, counts = packed.runs(doc[at])
+        content = b"" if ids is None else packed.raw(ids[at], "<u8")
+        rows.append((p, kind, packed.raw(docs, "<i8"), packed.raw(counts, "<i4"), packed.raw(place[at], "<u4"), packed.raw(size[at], "<u4"), content))
     return rows
 
 
+def _opened(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, places and sizes of a packed row."""
+    places, sizes = (np.frombuffer(r[x], "<u4").astype(np.int64) for x in ("places", "sizes"))
+    return packed.owners(r["docs"], r["counts"]), places, sizes
+
+
+def _runs_of(new: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each of some sorted rows the value at the begin of its group; new marks the begins."""
+    return values[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
 def _texts(docs: DataFrame) -> tuple[DataFrame, int]:
     """(doc_id, doc, content) and the number of low bits of doc that tell texts of one doc_id apart: none where doc_ids differ."""
     content = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -158,156 +190,153 @@ def _texts(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def removed_places(docs: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
-    """(doc, triggers, strings): places of triggers whose contexts go, and of LENGTH-byte strings that go."""
+    """(doc, gone, gone_sizes, late, late_sizes): stretches of documents that go, by the dictionary and by the order."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, size // BYTES_A_PART)
 
+    def first_come(doc: np.ndarray, place: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple:
+        """The same, sorted by id and document, and which of them are in a later document than the first with the id."""
+        order = np.lexsort((doc, ids[:, 1], ids[:, 0]))
+        doc, place, size, ids = doc[order], place[order], size[order], ids[order]
+        new = np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])[: len(doc)]
+        return doc, place, size, ids, doc >> bits > _runs_of(new, doc) >> bits
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, places, keys, contexts = [], [], [], []
-            for ids, content, begins, ends in chunks(batch.column("doc").to_numpy(), batch.column("content").to_pylist()):
-                at, key, rolling = triggers(content, begins, ends)
-                owner = np.searchsorted(ends, at, "right")
-                first = np.maximum(begins[owner], at - (W - 1))
-                last = np.minimum(ends[owner], at + LENGTH)
-                shape = ((at - first) * 1000 + (last - at)).astype(np.uint64)
-                docs_.append(ids[owner])
-                places.append(at - begins[owner])
-                keys.append(key)
-                contexts.append(_mix(rolling.at(first, last) + shape))
-            doc, place, key, context = map(np.concatenate, (docs_, places, keys, contexts))
-            order = np.lexsort((doc, context, key))
-            doc, place, key, context = doc[order], place[order], key[order], context[order]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])])[: len(key)]
-            first = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
-            later = doc >> bits > first >> bits
-            rows = _entries(REMOVED, _part(doc[later], parts), doc[later], place[later])
+            names, found = batch.column("doc").to_numpy(), []
+            for k, content, begins, ends in chunks(batch.column("content").to_pylist()):
+                begin, end, owner = pieces(content, begins, ends)
+                held = memoryview(content)
+                ids = b"".join([xxhash.xxh3_128_digest(held[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+                found.append((names[k + owner], begin - begins[owner], end - begin, np.frombuffer(ids, "<u8").reshape(-1, 2)))
+            if not found:
+                continue
+            doc, place, size, ids, later = first_come(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            rows = _entries(REMOVED, _part(doc[later], parts), doc[later], place[later], size[later])
             own = ~later
-            rows += _entries(DICTIONARY, _part(key[own], parts), doc[own], place[own], key[own], context[own])
+            rows += _entries(b"", _part(ids[own, 0], parts), doc[own], place[own], size[own], ids[own])
             if rows:
                 yield packed.batch(rows, NAMES)
 
     def dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for batch in batches:
-            passed = pc.not_equal(batch.column("kind"), DICTIONARY)
-            if pc.any(passed).as_py():
+            passed = pa.array([x == REMOVED for x in batch.column("kind").to_pylist()], pa.bool_())
+            if passed.true_count:
                 yield batch.filter(passed)
-            for r in batch.filter(pc.invert(passed)).to_pylist():
-                columns = (np.frombuffer(r[x], k) for x, k in (("places", "<u4"), ("keys", "<u8"), ("contexts", "<u8")))
-                found.append((packed.owners(r["docs"], r["counts"]), *columns))
+            for r in batch.to_pylist():
+                if r["kind"] != REMOVED:
+                    found.append((*_opened(r), np.frombuffer(r["content"], "<u8").reshape(-1, 2)))
         if not found:
             return
-        doc, place, key, context = (np.concatenate(x) for x in zip(*found, strict=True))
-        found.clear()
-        order = np.lexsort((doc, context, key))
-        doc, place, key, context = doc[order], place[order], key[order], context[order]
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        new = new_key.copy()
-        new[1:] |= context[1:] != context[:-1]
-        first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        later = doc >> bits > first >> bits
-        group = np.cumsum(new_key) - 1
-        begins = np.flatnonzero(new_key)
-        several = np.maximum.reduceat(doc, begins) >> bits > np.minimum.reduceat(doc, begins) >> bits
-        several &= np.add.reduceat(new.astype(np.int64), begins) > 1
-        asked = several[group] & ~later
-        rows = _entries(REMOVED, _part(doc[later], parts), doc[later], place[later])
-        rows += _entries(ASKED, _part(doc[asked], parts), doc[asked], place[asked], key[asked])
-        if rows:
-            yield packed.batch(rows, NAMES)
+        doc, place, size, _, later = first_come(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        rows = _entries(REMOVED, _part(doc[later], parts), doc[later], place[later], size[later])
+        rows += _entries(ASKED, _part(doc[~later], parts), doc[~later], place[~later], size[~later])
+        yield packed.batch(rows, NAMES)
 
     def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = {REMOVED: [], ASKED: []}
+        none = np.zeros(0, np.int64)
+        found = {REMOVED: [(none, none, none)], ASKED: [(none, none, none)]}
         for batch in batches:
             for r in batch.to_pylist():
-                doc, place = packed.owners(r["docs"], r["counts"]), np.frombuffer(r["places"], "<u4")
-                key = np.frombuffer(r["keys"], "<u8") if r["keys"] else np.zeros(len(doc), np.uint64)
-                found[r["kind"]].append((doc, place, key))
-        none = (np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint64))
+                found[r["kind"]].append(_opened(r))
         sides = []
         for kind in (REMOVED, ASKED):
-            doc, place, key = (np.concatenate(x) for x in zip(none, *found[kind], strict=True))
+            doc, place, size = (np.concatenate(x) for x in zip(*found.pop(kind), strict=True))
             order = np.lexsort((place, doc))
-            sides.append((doc[order], place[order], key[order]))
-        (gone, gone_at, _), (asked, asked_at, keys) = sides
-        ids = np.unique(np.concatenate([gone, asked]))
-        cuts = [np.searchsorted(x, ids, side) for x in (gone, asked) for side in ("left", "right")]
+            sides.append((doc[order], place[order], size[order]))
+        ids = np.unique(np.concatenate([sides[0][0], sides[1][0]]))
         for k in range(0, len(ids), 2000):
-            rows = [(ids[i], *(c[i] for c in cuts)) for i in range(k, min(k + 2000, len(ids)))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([packed.raw(gone_at[r[1] : r[2]], "<u4") for r in rows], pa.binary()),
-                    pa.array([packed.raw(asked_at[r[3] : r[4]], "<u4") for r in rows], pa.binary()),
-                    pa.array([packed.raw(keys[r[3] : r[4]], "<u8") for r in rows], pa.binary()),
-                ],
-                names=["doc", "triggers", "asked", "keys"],
-            )
+            some = ids[k : k + 2000]
+            columns = [pa.array(some, pa.int64())]
+            for doc, place, size in sides:
+                cuts = list(zip(np.searchsorted(doc, some, "left"), np.searchsorted(doc, some, "right"), strict=True))
+                columns += [pa.array([packed.raw(x[a:b], "<u4") for a, b in cuts], pa.binary()) for x in (place, size)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in MARKS.split(", ")])
 
     parsed = texts.select("doc", "content").mapInArrow(parse, ENTRY).repartitionById(parts, F.col("part"))
     told = parsed.mapInArrow(dictionary, ENTRY).repartitionById(parts, F.col("part"))
-    marks = stored(told.mapInArrow(by_document, "doc long, triggers binary, asked binary, keys binary"), "marks")
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Contexts in LENGTH + W - 1 bytes each, and in keys how many of them come before and after the trigger."""
-        for batch in batches:
-            docs_, places, keys, shapes, contexts = [], [], [], [], []
-            for r in batch.to_pylist():
-                content = np.frombuffer(r["content"], np.uint8)
-                at = np.frombuffer(r["asked"], "<u4").astype(np.int64)
-                key = np.frombuffer(r["keys"], "<u8")
-                ok = at < len(content)
-                at, key = at[ok], key[ok]
-                before, after = np.minimum(at, W - 1), np.minimum(len(content) - at, LENGTH)
-                wide = np.concatenate([np.zeros(W - 1, np.uint8), content, np.zeros(LENGTH, np.uint8)])
-                contexts.append(wide[at[:, None] + np.arange(LENGTH + W - 1)])
-                docs_.append(np.full(len(at), r["doc"]))
-                places.append(at)
-                keys.append(key)
-                shapes.append(before * 1000 + after)
-            doc, place, key, shape = map(np.concatenate, (docs_, places, keys, shapes))
-            context = np.concatenate(contexts)
-            rows = []
-            for p, at in packed.by_part(_part(key, parts)):
-                ids, counts = packed.runs(doc[at])
-                parts_ = (packed.raw(ids, "<i8"), packed.raw(counts, "<i4"), packed.raw(place[at], "<u4"))
-                rows.append((p, b"", *parts_, packed.raw(shape[at], "<i4"), context[at].tobytes()))
-            if rows:
-                yield packed.batch(rows, NAMES)
+    marks = stored(told.mapInArrow(by_document, MARKS), "marks")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
+        """The suffixes at all places of the dictionary's phrases and joints, in stretches."""
+        for batch in batches:
+            names = batch.column("doc").to_numpy()
+            asked, sizes = batch.column("asked").to_pylist(), batch.column("asked_sizes").to_pylist()
+            for k, content, begins, ends in chunks(batch.column("content").to_pylist()):
+                if len(content) < LENGTH:
+                    continue
+                change = np.zeros(len(content) + 1, np.int32)
+                for j, (begin, end) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True), k):
+                    place, size = (np.frombuffer(x, "<u4").astype(np.int64) for x in (asked[j], sizes[j]))
+                    ok = begin + place + size <= end
+                    np.add.at(change, begin + place[ok], 1)
+                    np.add.at(change, begin + (place + size)[ok] - LENGTH + 1, -1)
+                first, n, key = stretches(content, np.cumsum(change) > 0)
+                owner = np.searchsorted(ends, first, "right")
+                rows = []
+                for p, at in packed.by_part(_part(key, parts)):
+                    docs_, counts = packed.runs(names[k + owner[at]])
+                    flat = content[ranges(first[at], n[at] + LENGTH - 1)].tobytes()
+                    place = packed.raw(first[at] - begins[owner[at]], "<u4")
+                    small = len(flat).to_bytes(8, "little") + pa.compress(flat, "zstd", asbytes=True)
+                    rows.append((p, b"", packed.raw(docs_, "<i8"), packed.raw(counts, "<i4"), place, packed.raw(n[at], "<u4"), small))
+                if rows:
+                    yield packed.batch(rows, NAMES)
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, flats, hashes, at = [], [], [], []
+        base = run = 0
         for batch in batches:
             for r in batch.to_pylist():
-                flat = np.frombuffer(r["contexts"], np.uint8)
-                place, shape = np.frombuffer(r["places"], "<u4").astype(np.int64), np.frombuffer(r["keys"], "<i4").astype(np.int64)
-                doc = packed.owners(r["docs"], r["counts"])
-                rolling = Rolling(flat)
-                # strings that begin 0 to W - 1 bytes before the trigger and end within the document
-                back = np.arange(W)
-                fits = (back <= (shape // 1000)[:, None]) & (LENGTH - back <= (shape % 1000)[:, None])
-                row, b = np.nonzero(fits)
-                begin = row * (LENGTH + W - 1) + (W - 1) - b
-                found.append((rolling.at(begin, begin + LENGTH), doc[row], place[row] - b))
-        if not found:
+                doc, place, n = _opened(r)
+                flat = np.frombuffer(pa.decompress(r["content"][8:], int.from_bytes(r["content"][:8], "little"), "zstd", asbytes=True), np.uint8)
+                begin = np.cumsum(n + LENGTH - 1) - n - LENGTH + 1
+                pos = ranges(begin, n)
+                hashes.append(Rolling(flat).at(pos, pos + LENGTH))
+                at.append(pos + base)
+                runs.append((doc, place, begin + base))
+                flats.append(flat)
+                base += len(flat)
+                run += len(n)
+        if not run:
+            return
+        doc, place, begin = (np.concatenate(x) for x in zip(*runs, strict=True))
+        flat, string, pos = np.concatenate(flats), np.concatenate(hashes), np.concatenate(at)
+        flats.clear(), hashes.clear(), at.clear()
+        sorted_ = np.argsort(string)
+        string = string[sorted_]
+        equal = string[1:] == string[:-1]
+        pos = pos[sorted_[np.append(equal, False) | np.insert(equal, 0, False)]]
+        owner = np.searchsorted(begin, pos, "right") - 1
+        doc, place = doc[owner], place[owner] + pos - begin[owner]
+        # eight bytes at a time as numbers, so that their order is that of the bytes
+        words = np.ndarray((max(0, len(flat) - 7),), ">u8", flat.data, strides=(1,))
+        keys = [words[pos + k].astype(np.uint64) for k in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
+        suffix = np.lexsort((doc, *reversed(keys)))
+        doc, place = doc[suffix], place[suffix]
+        new = np.ones(len(doc), bool)
+        new[1:] = False
+        for key in keys:
+            new[1:] |= key[suffix[1:]] != key[suffix[:-1]]
+        later = doc >> bits > _runs_of(new, doc) >> bits
+        doc, place = doc[later], place[later]
+        if not len(doc):
             return
-        string, doc, begin = (np.concatenate(x) for x in zip(*found, strict=True))
-        found.clear()
-        order = np.lexsort((doc, string))
-        string, doc, begin = string[order], doc[order], begin[order]
-        new = np.concatenate([[True], string[1:] != string[:-1]])
-        later = doc >> bits > doc[np.flatnonzero(new)][np.cumsum(new) - 1] >> bits
-        rows = _entries(REMOVED, _part(doc[later], parts), doc[later], begin[later])
-        if rows:
-            yield packed.batch(rows, NAMES)
-
-    asking = marks.filter(F.length("asked") > 0).select("doc", "asked", "keys")
-    fetched = texts.select("doc", "content").join(asking, "doc").mapInArrow(fetch, ENTRY).repartitionById(parts, F.col("part"))
-    late = fetched.mapInArrow(suffixes, ENTRY).repartitionById(parts, F.col("part"))
-    strings = late.mapInArrow(by_document, "doc long, triggers binary, asked binary, keys binary")
-    strings = stored(strings.select("doc", F.col("triggers").alias("strings")), "strings")
-    return marks.select("doc", "triggers").join(strings, "doc", "full")
+        by_place = np.lexsort((place, doc))
+        doc, place = doc[by_place], place[by_place]
+        begins = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)]))
+        last = np.append(begins[1:], len(doc)) - 1
+        rows = _entries(REMOVED, _part(doc[begins], parts), doc[begins], place[begins], place[last] - place[begins] + LENGTH)
+        yield packed.batch(rows, NAMES)
+
+    # joined by a shuffle at every size: a broadcast would be of marks of all documents
+    asking = marks.filter(F.length("asked") > 0).select("doc", "asked", "asked_sizes")
+    fetched = texts.select("doc", "content").join(asking.hint("merge"), "doc")
+    dealt = fetched.mapInArrow(suffixes, ENTRY).repartitionById(parts, F.col("part"))
+    late = dealt.mapInArrow(order, ENTRY).repartitionById(parts, F.col("part")).mapInArrow(by_document, MARKS)
+    late = stored(late.select("doc", F.col("gone").alias("late"), F.col("gone_sizes").alias("late_sizes")), "late")
+    return marks.select("doc", "gone", "gone_sizes").join(late.hint("merge"), "doc", "full")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -320,13 +349,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 content = r["content"]
                 n = len(content)
                 change = np.zeros(n + 1, np.int64)
-                at = np.frombuffer(r["triggers"] or b"", "<u4").astype(np.int64)
-                first, last = np.maximum(at - (W - 1), 0), np.minimum(at, n - LENGTH) + LENGTH
-                begin = np.frombuffer(r["strings"] or b"", "<u4").astype(np.int64)
-                first, last = np.concatenate([first, begin]), np.concatenate([last, begin + LENGTH])
-                ok = (last <= n) & (first < last)
-                np.add.at(change, first[ok], 1)
-                np.add.at(change, last[ok], -1)
+                place, size = (np.frombuffer((r[a] or b"") + (r[b] or b""), "<u4").astype(np.int64) for a, b in (("gone", "late"), ("gone_sizes", "late_sizes")))
+                ok = place + size <= n
+                np.add.at(change, place[ok], 1)
+                np.add.at(change, (place + size)[ok], -1)
                 gone = np.cumsum(change)[:n] > 0
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 spans = [[int(a), int(b)] for a, b in edges.reshape(-1, 2)]
@@ -337,9 +363,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     texts, bits = _texts(docs)
-    joined = texts.join(removed_places(docs, texts, bits), "doc", "left").select("doc_id", "content", "triggers", "strings")
+    joined = texts.join(removed_places(docs, texts, bits).hint("merge"), "doc", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary"
-    return joined.mapInArrow(cut, schema)
+    return joined.select("doc_id", "content", "gone", "gone_sizes", "late", "late_sizes").mapInArrow(cut, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

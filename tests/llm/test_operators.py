@@ -382,6 +382,50 @@ def test_texts_of_one_doc_id_lose_nothing_to_each_other(spark):
     assert removed == collections.Counter([*want, (None, len(twin), 0), (None, 2 * len(twin), 0)])
 
 
+def test_every_string_is_in_one_phrase_or_joint():
+    import random
+
+    rng = random.Random(8)
+    texts = [bytes(rng.choices(b"ab", k=n)) for n in (0, 49, 50, 3000, 0, 7000)]
+    texts[3] = texts[3][:2000] + texts[5][3000:4000]
+    ends = np.cumsum([len(x) for x in texts])
+    begins = ends - [len(x) for x in texts]
+    content = np.frombuffer(b"".join(texts), np.uint8)
+    begin, end, owner = repeated_bytes.pieces(content, begins, ends)
+    assert len(begin) > 20
+    count = np.zeros(len(content), int)
+    holder = {}
+    for a, b, o in zip(begin, end, owner, strict=True):
+        assert begins[o] <= a and b <= ends[o]
+        count[a : b - repeated_bytes.LENGTH + 1] += 1
+        for i in range(a, b - repeated_bytes.LENGTH + 1):
+            holder[i] = (a, b)
+    for o, (a, b) in enumerate(zip(begins, ends, strict=True)):
+        full = max(0, len(texts[o]) - repeated_bytes.LENGTH + 1)
+        assert (count[a : a + full] == 1).all() and not count[a + full : b].any()
+    # the phrases and joints inside what is repeated are the same in both texts
+    shared = {bytes(content[x:y]) for i, (x, y) in holder.items() if begins[3] + 2100 < x and y < ends[3] - 100}
+    assert shared and shared <= {bytes(content[x:y]) for i, (x, y) in holder.items() if x >= begins[5]}
+
+
+def test_repeated_bytes_over_phrases(spark):
+    import random
+
+    rng = random.Random(9)
+    blocks = [" ".join(fresh(rng, 300)) for _ in range(6)] + ["ab" * 400, "x" * 900, "é" * 300]
+    texts = {}
+    for doc in range(40):
+        made = ""
+        for _ in range(3):
+            block = rng.choice(blocks)
+            a = rng.randrange(len(block))
+            made += block[a : a + rng.choice([30, 49, 50, 51, 120, 900, 4000])] + rng.choice(["", "!", " ".join(fresh(rng, 5))])
+        texts[doc] = made
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_bytes.digest(df).collect()}
+    assert got == brute_removed({k: v.encode() for k, v in texts.items()})
+
+
 def test_near_passages(spark):
     rows = awkward(6, 60)
     found = near_passages.near_passages(frame(spark, rows)).collect()
