@@ -15,8 +15,10 @@ removed. Sorting the suffixes at all bytes would move the corpus many times over
 4. The removed stretches of each document are put together and cut out.
 
 Suffixes are dealt to tasks by the least K-byte hash of their LENGTH bytes, which neighbouring suffixes mostly share: a
-stretch of them moves as one string, about four bytes a suffix, before compression. A task first drops suffixes whose 64-bit hash occurs once there,
-as they agree with none, and sorts the rest. Phrases and joints are told apart by 128 bits of hash, suffixes by their bytes.
+stretch of them moves as one string, about four bytes a suffix. Only stretches move whose least hash is in several documents: the hashes
+are gathered first, and one that is in a single document has suffixes that agree with no other's. A batch of documents sends a hash, a phrase, a
+joint and a stretch for the first of its documents only. A task drops suffixes whose 64-bit hash occurs once there, and sorts the rest.
+Phrases, joints and stretches are told apart by 128 bits of hash, suffixes by their bytes.
 
 Memory: a task holds CHUNK bytes of text (one text at least) and some arrays of that length, or the suffixes of about BYTES_A_PART bytes of
 text. All suffixes with one least hash meet in one task.
@@ -33,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,29 +148,53 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
 
 ENTRY = "part int, kind binary, docs binary, counts binary, places binary, sizes binary, content binary"
 NAMES = [x.split()[0] for x in ENTRY.split(", ")]
-REMOVED, ASKED = b"r", b"a"
-MARKS = "doc long, gone binary, gone_sizes binary, asked binary, asked_sizes binary"
+PIECE, ONCE, TWICE = b"p", b"1", b"2"
+REMOVED, ASKED, SHARED = b"r", b"a", b"s"
+SIDES = {REMOVED: ("gone", "gone_sizes"), ASKED: ("asked", "asked_sizes"), SHARED: ("shared", "no_sizes")}
+MARKS = "doc long, " + ", ".join(f"{x} binary" for pair in SIDES.values() for x in pair)
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def _part(x: np.ndarray, parts: int) -> np.ndarray:
     return (_mix(x.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
-def _entries(kind: bytes, part: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, ids: np.ndarray | None = None) -> list[tuple]:
+def _shrunk(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _grown(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _entries(kind: bytes, part: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray | None = None, ids: np.ndarray | None = None) -> list[tuple]:
     """Packed by part; in each, sorted by document."""
     rows = []
     for p, at in packed.by_part(part):
         at = at[np.lexsort((place[at], doc[at]))]
-        docs, counts = packed.runs(doc[at])
-        content = b"" if ids is None else packed.raw(ids[at], "<u8")
-        rows.append((p, kind, packed.raw(docs, "<i8"), packed.raw(counts, "<i4"), packed.raw(place[at], "<u4"), packed.raw(size[at], "<u4"), content))
+        sizes = b"" if size is None else packed.raw(size[at], "<u4")
+        rows.append((p, kind, *_holders(doc[at]), packed.raw(place[at], "<u4"), sizes, b"" if ids is None else packed.raw(ids[at], "<u8")))
     return rows
 
 
+def _holders(doc: np.ndarray) -> tuple[bytes, bytes]:
+    """Documents as differences, and how often each comes in a row."""
+    docs, counts = packed.runs(doc)
+    return _shrunk(packed.raw(np.diff(docs, prepend=0), "<i8")), _shrunk(packed.raw(counts, "<i4"))
+
+
 def _opened(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, places and sizes of a packed row."""
-    places, sizes = (np.frombuffer(r[x], "<u4").astype(np.int64) for x in ("places", "sizes"))
-    return packed.owners(r["docs"], r["counts"]), places, sizes
+    """Documents, places and sizes (0 where none are given) of a packed row."""
+    docs = np.cumsum(np.frombuffer(_grown(r["docs"]), "<i8"))
+    place = np.frombuffer(r["places"], "<u4").astype(np.int64)
+    size = np.frombuffer(r["sizes"], "<u4").astype(np.int64) if r["sizes"] else np.zeros(len(place), np.int64)
+    return np.repeat(docs, np.frombuffer(_grown(r["counts"]), "<i4")), place, size
+
+
+def _apart(batch: pa.RecordBatch, *kinds: bytes) -> tuple[pa.RecordBatch, list[dict]]:
+    """The rows that are of some kinds, and the others opened as dictionaries."""
+    passed = pa.array([x in kinds for x in batch.column("kind").to_pylist()], pa.bool_())
+    return batch.filter(passed), batch.filter(pc.invert(passed)).to_pylist()
 
 
 def _runs_of(new: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -194,58 +221,100 @@ def removed_places(docs: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, size // BYTES_A_PART)
 
-    def first_come(doc: np.ndarray, place: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple:
+    def first_come(doc: np.ndarray, place: np.ndarray, size: np.ndarray, ids: np.ndarray, where: np.ndarray) -> tuple:
         """The same, sorted by id and document, and which of them are in a later document than the first with the id."""
         order = np.lexsort((doc, ids[:, 1], ids[:, 0]))
-        doc, place, size, ids = doc[order], place[order], size[order], ids[order]
+        doc, place, size, ids, where = doc[order], place[order], size[order], ids[order], where[order]
         new = np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])[: len(doc)]
-        return doc, place, size, ids, doc >> bits > _runs_of(new, doc) >> bits
+        return doc, place, size, ids, where, doc >> bits > _runs_of(new, doc) >> bits
+
+    def digests(content: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        held = memoryview(content)
+        joined = b"".join([xxhash.xxh3_128_digest(held[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+        return np.frombuffer(joined, "<u8").reshape(-1, 2)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, found = batch.column("doc").to_numpy(), []
+            names, laid, found, base = batch.column("doc").to_numpy(), [], [], 0
             for k, content, begins, ends in chunks(batch.column("content").to_pylist()):
                 begin, end, owner = pieces(content, begins, ends)
-                held = memoryview(content)
-                ids = b"".join([xxhash.xxh3_128_digest(held[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
-                found.append((names[k + owner], begin - begins[owner], end - begin, np.frombuffer(ids, "<u8").reshape(-1, 2)))
+                found.append((names[k + owner], begin - begins[owner], end - begin, digests(content, begin, end), begin + base))
+                laid.append((base, names[k : k + len(ends)], content, ends))
+                base += len(content)
             if not found:
                 continue
-            doc, place, size, ids, later = first_come(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            rows = _entries(REMOVED, _part(doc[later], parts), doc[later], place[later], size[later])
+            doc, place, size, ids, where, later = first_come(*(np.concatenate(x) for x in zip(*found, strict=True)))
             own = ~later
-            rows += _entries(b"", _part(ids[own, 0], parts), doc[own], place[own], size[own], ids[own])
+            rows = _entries(REMOVED, _part(doc[later], parts), doc[later], place[later], size[later])
+            rows += _entries(PIECE, _part(ids[own, 0], parts), doc[own], place[own], size[own], ids[own])
+            change = np.zeros(base + 1, np.int8)
+            np.add.at(change, where[own], 1)
+            np.add.at(change, (where + size)[own] - LENGTH + 1, -1)
+            wanted = np.cumsum(change, dtype=np.int8) > 0
+            holders, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for base, some, content, ends in laid:
+                if len(content) >= LENGTH:
+                    first, _, key = stretches(content, wanted[base : base + len(content)])
+                    holders.append(some[np.searchsorted(ends, first, "right")])
+                    keys.append(key)
+            doc, key = np.concatenate(holders), np.concatenate(keys)
+            order = np.lexsort((doc, key))
+            doc, key = doc[order], key[order]
+            new_key = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+            new = new_key.copy()
+            new[1:] |= doc[1:] != doc[:-1]
+            doc, key, new_key = doc[new], key[new], new_key[new]
+            begins = np.flatnonzero(new_key)
+            several = np.diff(np.append(begins, len(key))) > 1
+            low = (key & LOW).astype(np.int64)
+            for kind, at in ((ONCE, begins[~several]), (TWICE, begins[several])):
+                rows += _entries(kind, _part(key[at], parts), doc[at], low[at])
+            shared = several[np.cumsum(new_key) - 1] if len(key) else several
+            rows += _entries(SHARED, _part(doc[shared], parts), doc[shared], low[shared])
             if rows:
                 yield packed.batch(rows, NAMES)
 
     def dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
+        found, held = [], []
         for batch in batches:
-            passed = pa.array([x == REMOVED for x in batch.column("kind").to_pylist()], pa.bool_())
-            if passed.true_count:
-                yield batch.filter(passed)
-            for r in batch.to_pylist():
-                if r["kind"] != REMOVED:
-                    found.append((*_opened(r), np.frombuffer(r["content"], "<u8").reshape(-1, 2)))
-        if not found:
-            return
-        doc, place, size, _, later = first_come(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        rows = _entries(REMOVED, _part(doc[later], parts), doc[later], place[later], size[later])
-        rows += _entries(ASKED, _part(doc[~later], parts), doc[~later], place[~later], size[~later])
-        yield packed.batch(rows, NAMES)
+            passed, others = _apart(batch, REMOVED, SHARED)
+            if passed.num_rows:
+                yield passed
+            for r in others:
+                doc, place, size = _opened(r)
+                if r["kind"] == PIECE:
+                    found.append((doc, place, size, np.frombuffer(r["content"], "<u8").reshape(-1, 2), place))
+                else:
+                    held.append((doc, place, np.full(len(doc), r["kind"] == TWICE)))
+        rows = []
+        if found:
+            doc, place, size, _, _, later = first_come(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            rows += _entries(REMOVED, _part(doc[later], parts), doc[later], place[later], size[later])
+            rows += _entries(ASKED, _part(doc[~later], parts), doc[~later], place[~later], size[~later])
+        if held:
+            doc, low, twice = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((doc, low))
+            doc, low, twice = doc[order], low[order], twice[order]
+            new = np.concatenate([[True], low[1:] != low[:-1]])
+            begins = np.flatnonzero(new)
+            shared = np.logical_or.reduceat(twice, begins) | (np.maximum.reduceat(doc, begins) > doc[begins])
+            asked = shared[np.cumsum(new) - 1] & ~twice  # the batch of a TWICE has told its documents
+            rows += _entries(SHARED, _part(doc[asked], parts), doc[asked], low[asked])
+        if rows:
+            yield packed.batch(rows, NAMES)
 
     def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
-        found = {REMOVED: [(none, none, none)], ASKED: [(none, none, none)]}
+        found = {kind: [(none, none, none)] for kind in SIDES}
         for batch in batches:
             for r in batch.to_pylist():
                 found[r["kind"]].append(_opened(r))
         sides = []
-        for kind in (REMOVED, ASKED):
+        for kind in SIDES:
             doc, place, size = (np.concatenate(x) for x in zip(*found.pop(kind), strict=True))
             order = np.lexsort((place, doc))
-            sides.append((doc[order], place[order], size[order]))
-        ids = np.unique(np.concatenate([sides[0][0], sides[1][0]]))
+            sides.append((doc[order], place[order], size[order] if kind != SHARED else none))
+        ids = np.unique(np.concatenate([doc for doc, _, _ in sides]))
         for k in range(0, len(ids), 2000):
             some = ids[k : k + 2000]
             columns = [pa.array(some, pa.int64())]
@@ -259,28 +328,34 @@ def removed_places(docs: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
     marks = stored(told.mapInArrow(by_document, MARKS), "marks")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The suffixes at all places of the dictionary's phrases and joints, in stretches."""
+        """The suffixes of the dictionary's phrases and joints whose least hash is in several documents, in stretches."""
         for batch in batches:
             names = batch.column("doc").to_numpy()
-            asked, sizes = batch.column("asked").to_pylist(), batch.column("asked_sizes").to_pylist()
+            asked, sizes, shared = (batch.column(x).to_pylist() for x in ("asked", "asked_sizes", "shared"))
             for k, content, begins, ends in chunks(batch.column("content").to_pylist()):
                 if len(content) < LENGTH:
                     continue
-                change = np.zeros(len(content) + 1, np.int32)
-                for j, (begin, end) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True), k):
-                    place, size = (np.frombuffer(x, "<u4").astype(np.int64) for x in (asked[j], sizes[j]))
+                change = np.zeros(len(content) + 1, np.int8)
+                known = []
+                for j, (begin, end) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
+                    place, size = (np.frombuffer(x[k + j], "<u4").astype(np.int64) for x in (asked, sizes))
                     ok = begin + place + size <= end
                     np.add.at(change, begin + place[ok], 1)
                     np.add.at(change, begin + (place + size)[ok] - LENGTH + 1, -1)
-                first, n, key = stretches(content, np.cumsum(change) > 0)
+                    known.append(np.frombuffer(shared[k + j], "<u4").astype(np.uint64) | np.uint64(j << 32))
+                first, n, key = stretches(content, np.cumsum(change, dtype=np.int8) > 0)
                 owner = np.searchsorted(ends, first, "right")
-                rows = []
-                for p, at in packed.by_part(_part(key, parts)):
-                    docs_, counts = packed.runs(names[k + owner[at]])
-                    flat = content[ranges(first[at], n[at] + LENGTH - 1)].tobytes()
-                    place = packed.raw(first[at] - begins[owner[at]], "<u4")
-                    small = len(flat).to_bytes(8, "little") + pa.compress(flat, "zstd", asbytes=True)
-                    rows.append((p, b"", packed.raw(docs_, "<i8"), packed.raw(counts, "<i4"), place, packed.raw(n[at], "<u4"), small))
+                held = np.isin(key & LOW | owner.astype(np.uint64) << np.uint64(32), np.concatenate(known))
+                first, n, key, owner = first[held], n[held], key[held], owner[held]
+                ids = digests(content, first, first + n + LENGTH - 1)
+                doc, place, n, _, at, later = first_come(names[k + owner], first - begins[owner], n, ids, np.arange(len(n)))
+                rows = _entries(REMOVED, _part(doc[later], parts), doc[later], place[later], n[later] + LENGTH - 1)
+                own = ~later
+                doc, place, n, first, key = doc[own], place[own], n[own], first[at[own]], key[at[own]]
+                for p, some in packed.by_part(_part(key, parts)):
+                    some = some[np.lexsort((place[some], doc[some]))]
+                    flat = _shrunk(content[ranges(first[some], n[some] + LENGTH - 1)].tobytes())
+                    rows.append((p, PIECE, *_holders(doc[some]), packed.raw(place[some], "<u4"), packed.raw(n[some], "<u4"), flat))
                 if rows:
                     yield packed.batch(rows, NAMES)
 
@@ -288,9 +363,12 @@ def removed_places(docs: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
         runs, flats, hashes, at = [], [], [], []
         base = run = 0
         for batch in batches:
-            for r in batch.to_pylist():
+            passed, others = _apart(batch, REMOVED)
+            if passed.num_rows:
+                yield passed
+            for r in others:
                 doc, place, n = _opened(r)
-                flat = np.frombuffer(pa.decompress(r["content"][8:], int.from_bytes(r["content"][:8], "little"), "zstd", asbytes=True), np.uint8)
+                flat = np.frombuffer(_grown(r["content"]), np.uint8)
                 begin = np.cumsum(n + LENGTH - 1) - n - LENGTH + 1
                 pos = ranges(begin, n)
                 hashes.append(Rolling(flat).at(pos, pos + LENGTH))
@@ -331,7 +409,7 @@ def removed_places(docs: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
         yield packed.batch(rows, NAMES)
 
     # joined by a shuffle at every size: a broadcast would be of marks of all documents
-    asking = marks.filter(F.length("asked") > 0).select("doc", "asked", "asked_sizes")
+    asking = marks.filter((F.length("asked") > 0) & (F.length("shared") > 0)).select("doc", "asked", "asked_sizes", "shared")
     fetched = texts.select("doc", "content").join(asking.hint("merge"), "doc")
     dealt = fetched.mapInArrow(suffixes, ENTRY).repartitionById(parts, F.col("part"))
     late = dealt.mapInArrow(order, ENTRY).repartitionById(parts, F.col("part")).mapInArrow(by_document, MARKS)
