@@ -111,6 +111,43 @@ def replay_prefix(sessions: DataFrame, rows: DataFrame) -> DataFrame:
     return zipped.withColumn("suppressed", F.min(matched).over(so_far) == 1).select("session", "event_index", "n", "suppressed")
 
 
+def compatible_identity(child: str, parent: str) -> Column:
+    """Whether two events (structs with response_id, turn_id) share a response or a turn and contradict each other in neither."""
+    same, differ = F.lit(False), F.lit(False)
+    for name in ("response_id", "turn_id"):
+        one, other = (F.nullif(F.col(f"{x}.{name}"), F.lit("")) for x in (child, parent))
+        same = same | F.coalesce(one == other, F.lit(False))
+        differ = differ | F.coalesce(one != other, F.lit(False))
+    return same & ~differ
+
+
+def same_contribution(child: str, parent: str) -> Column:
+    """Whether two contributions (structs with ts_ms, response_id, turn_id, model, precision, usage, tokens) are the same one: of one time,
+    of compatible identity, of no two models, neither partial, with equal components if both have them exactly, else equal totals."""
+    c, p = (lambda name: F.col(f"{child}.{name}")), (lambda name: F.col(f"{parent}.{name}"))
+    models = (F.coalesce(c("model"), F.lit("")) == "") | (F.coalesce(p("model"), F.lit("")) == "") | (c("model") == p("model"))
+    exact = (c("precision") == "components-exact") & (p("precision") == "components-exact")
+    figures = F.when(exact, c("usage").eqNullSafe(p("usage"))).otherwise(c("tokens") == p("tokens"))
+    whole = (c("precision") != "partial") & (p("precision") != "partial")
+    return F.coalesce((c("ts_ms") == p("ts_ms")) & compatible_identity(child, parent) & models & whole & figures, F.lit(False))
+
+
+def replayed_contributions(sessions: DataFrame, rows: DataFrame) -> DataFrame:
+    """As replay_prefix, on contributions (session, event_index and what same_contribution reads): event_index, n and whether the row and all
+    before it are the parent's, one by one."""
+    children = sessions.filter("parent is not null and fork_ms is not null").select("session", "parent", "fork_ms")
+    content = F.struct(*[c for c in rows.columns if c != "session"])
+    held = rows.select("session", content.alias("c"))
+    number = F.row_number().over(Window.partitionBy("session").orderBy("c.ts_ms", "c.event_index"))
+    child = held.join(children, "session").filter("c.ts_ms < fork_ms").withColumn("n", number).select("session", "c", "n")
+    parent = children.join(held.select(F.col("session").alias("parent"), F.col("c").alias("p")), "parent").filter("p.ts_ms < fork_ms")
+    number = F.row_number().over(Window.partitionBy("session").orderBy("p.ts_ms", "p.event_index"))
+    zipped = child.join(parent.withColumn("n", number).select("session", "n", "p"), ["session", "n"], "left")
+    so_far = Window.partitionBy("session").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    suppressed = F.min(same_contribution("c", "p").cast("int")).over(so_far) == 1
+    return zipped.select("session", F.col("c.event_index").alias("event_index"), "n", suppressed.alias("suppressed"))
+
+
 def cycles(sessions: DataFrame) -> DataFrame:
     """Sessions that reach themselves over their parents.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.store import stored
+
 NEAR_MS = 1000
 WIDE_MS = 10_000
 
@@ -67,6 +69,91 @@ def overlap(payloads: DataFrame, tokens: DataFrame) -> DataFrame:
     return found
 
 
+#: The passes of the overlap audit in their order, each with how sure a link by it is.
+PASSES = {
+    "same-response-id": "exact",
+    "same-turn-id": "probable",
+    "exact-usage-near-time": "probable",
+    "exact-usage-wide-time": "possible",
+    "same-total-near-time": "weak",
+}
+
+
+def _candidates(p: DataFrame, t: DataFrame, evidence: str) -> DataFrame:
+    """Pairs of payloads and tokens that may be one by a pass, with whether their usage is equal and how far apart they are."""
+    exact = F.col("p_usage").eqNullSafe(F.col("t_usage"))
+    keys = {"same-response-id": ["response_id"], "same-turn-id": ["turn_id"], "same-total-near-time": ["tokens"]}.get(evidence, ["usage"])
+    on = (F.col("p_session") == F.col("t_session")) & (F.col(f"p_{keys[0]}") == F.col(f"t_{keys[0]}"))
+    gap = F.abs(F.col("p_ts_ms") - F.col("t_ts_ms"))
+    if keys[0] in ("response_id", "turn_id"):
+        pairs = p.filter(F.col(f"p_{keys[0]}") != "").join(t, on)
+    else:
+        least, most = {"exact-usage-near-time": (0, NEAR_MS), "exact-usage-wide-time": (NEAR_MS + 1, WIDE_MS)}.get(evidence, (0, WIDE_MS))
+        block = F.floor(F.col("p_ts_ms") / (most + 1))
+        p = p.withColumn("p_block", F.explode(F.array(block - 1, block, block + 1)))
+        t = t.filter("t_counted").withColumn("t_block", F.floor(F.col("t_ts_ms") / (most + 1)))
+        pairs = p.join(t, on & (F.col("p_block") == F.col("t_block"))).filter(gap.between(least, most))
+        if evidence == "same-total-near-time":
+            pairs = pairs.filter(~exact)
+    relation = F.when(exact, "same-components").when(F.col("p_tokens") == F.col("t_tokens"), "same-total-different-components").otherwise("different")
+    return pairs.select("p_id", "t_id", relation.alias("relation"), gap.alias("gap_ms"))
+
+
+def overlap_audit(payloads: DataFrame, tokens: DataFrame) -> DataFrame:
+    """From payloads and tokens (id, session, ts_ms, response_id, turn_id, usage, tokens, counted): what each payload repeats.
+
+    Five passes, the surest first; a pass links a payload and a token of one session where neither has another
+    candidate, and takes both out of later passes. By response or turn, the only candidate with equal usage goes before
+    others; by time, tokens must have counted. A payload that had candidates has only those in later passes, and
+    is ambiguous if none links it. The class follows from how sure the link is and whether the usage is equal.
+
+    Result: id, matched_id, evidence, confidence, relation, gap_ms, duplicate_class. Times meet by blocks. Rows of one response or
+    turn of a session meet each other. An empty or null response or turn, or a null time, makes no candidates."""
+    names = ("id", "session", "ts_ms", "response_id", "turn_id", "usage", "tokens", "counted")
+    p, t = (x.select(*[F.col(c).alias(f"{side}_{c}") for c in names]) for x, side in ((payloads, "p"), (tokens, "t")))
+    found = domain = unsure = None
+    for evidence, confidence in PASSES.items():
+        pairs = _candidates(p, t, evidence)
+        if domain is not None:
+            free = pairs.join(domain.select("p_id").distinct(), "p_id", "left_anti")
+            pairs = free.unionByName(pairs.join(domain.select("p_id", "t_id"), ["p_id", "t_id"], "left_semi").select(*free.columns))
+        if evidence in ("same-response-id", "same-turn-id"):
+            equal = F.col("relation") == "same-components"
+            n_equal = F.count_if(equal).over(Window.partitionBy("p_id"))
+            pairs = pairs.withColumn("n_equal", n_equal).filter((F.col("n_equal") != 1) | equal).drop("n_equal")
+        pairs = stored(pairs)
+        links = stored(_one_to_one(pairs, "p_id", "t_id").withColumns({"evidence": F.lit(evidence), "confidence": F.lit(confidence)}))
+        left = pairs.join(links.select("p_id"), "p_id", "left_anti").select("p_id", "t_id")
+        tried = left.select("p_id").distinct().withColumn("tried", F.lit(evidence))
+        if found is None:
+            found, domain, unsure = links, left, tried
+        else:
+            domain = stored(left.unionByName(domain.join(pairs.select("p_id").distinct(), "p_id", "left_anti")))
+            unsure = stored(unsure.unionByName(tried.join(unsure, "p_id", "left_anti")))  # the first that fails stands
+            found = found.unionByName(links)
+        p = p.join(links.select("p_id"), "p_id", "left_anti")
+        t = t.join(links.select("t_id"), "t_id", "left_anti")
+    rows = payloads.select(F.col("id").alias("p_id")).join(found, "p_id", "left").join(unsure, "p_id", "left")
+    confidence = F.coalesce("confidence", F.when(F.col("tried").isNotNull(), "ambiguous").otherwise("unmatched"))
+    duplicate = (
+        F.when(F.col("confidence").isin("ambiguous", "unmatched"), F.col("confidence"))
+        .when(F.col("confidence") == "weak", "weak-candidate")
+        .when(F.col("relation") != "same-components", "linked-different-usage")
+        .when(F.col("confidence") == "exact", "confirmed")
+        .otherwise(F.col("confidence"))
+    )
+    rows = rows.select(
+        F.col("p_id").alias("id"), F.col("t_id").alias("matched_id"), F.coalesce("evidence", "tried", F.lit("none")).alias("evidence"),
+        confidence.alias("confidence"), F.coalesce("relation", F.lit("unknown")).alias("relation"), "gap_ms",
+    )
+    return rows.withColumn("duplicate_class", duplicate)
+
+
+def overlap_classes(payloads: DataFrame, audit: DataFrame) -> DataFrame:
+    """By duplicate class: payloads and their tokens."""
+    return audit.join(payloads.select("id", "tokens"), "id").groupBy("duplicate_class").agg(F.count("*").alias("n"), F.sum("tokens").cast("long").alias("tokens"))
+
+
 def _same(columns: list[str], old: str, new: str) -> Column:
     equal = F.lit(True)
     for c in columns:

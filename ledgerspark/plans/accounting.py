@@ -150,6 +150,45 @@ def _overlap(spark, d):
     return matching.overlap(*_sides(spark, d))
 
 
+def _audited_sides(spark, d):
+    """Payloads and tokens of which some lack a response or a turn, share a turn, or have other parts of the same total."""
+    rows = counter_events(spark, d).withColumn("turn", F.expr("concat('u', cast(event_index div 400 as string))"))
+    payloads = rows.filter("event_index % 3 = 0").selectExpr(
+        "concat('p', cast(event_index as string)) as id", "session", "ts_ms + event_index % 5 * 700 as ts_ms",
+        "case when event_index % 4 = 0 then response_id end as response_id", "case when event_index % 5 = 0 then turn end as turn_id",
+        "case when event_index % 9 = 0 then k + 1 else k end as tokens", "event_index % 7 as parts",
+    )
+    tokens = rows.filter("event_index % 2 = 0 or event_index % 7 = 0").selectExpr(
+        "concat('t', cast(event_index as string)) as id", "session", "ts_ms", "response_id", "turn as turn_id", "k as tokens", "0 as parts"
+    )
+    usage = "case when parts in (0, 2, 4) then named_struct('input', tokens - tokens div 4, 'output', tokens div 4) else named_struct('input', tokens - tokens div 5, 'output', tokens div 5) end"
+    return tuple(x.selectExpr("*", f"{usage} as usage", "tokens > 0 as counted") for x in (payloads, tokens))
+
+
+def _overlap_classes(spark, d):
+    payloads, tokens = _audited_sides(spark, d)
+    return matching.overlap_classes(payloads, matching.overlap_audit(payloads, tokens))
+
+
+def _replayed(spark, d):
+    """A child repeats its parent's first rows; by its number some lack the turn or the response, or have another model or precision."""
+    rows = counter_events(spark, d).selectExpr(
+        "session", "event_index", "ts_ms", "case when event_index % 6 <> 1 then response_id end as response_id", "concat('u', cast(event_index div 9 as string)) as turn_id", "model",
+        "k as tokens", "named_struct('input', k - k div 4, 'output', k div 4) as usage", "case when event_index % 8 = 0 then 'aggregate-exact' else 'components-exact' end as precision",
+    )
+    children = _sessions(spark, d).filter("parent is not null and fork_ms is not null").select("session", "parent")
+    n = F.expr("row_number() over (partition by session order by ts_ms, event_index)")
+    copied = rows.withColumn("n", n).filter("n <= 9").withColumnRenamed("session", "parent").join(children, "parent")
+    copied = copied.selectExpr(
+        "session", "-1000000 + event_index as event_index", "ts_ms", "case when n % 4 <> 0 then response_id end as response_id", "case when event_index % 5 <> 0 then turn_id end as turn_id",
+        "case when event_index % 3 <> 0 then model end as model", "tokens",
+        "case when event_index % 16 = 0 then named_struct('input', tokens, 'output', 0L) else usage end as usage",
+        "case when event_index % 41 = 0 then 'partial' else precision end as precision",
+    )
+    own = rows.join(children.select("session"), "session", "left_anti")
+    return lineage.replayed_contributions(_sessions(spark, d), own.unionByName(copied))
+
+
 def _orders(spark, d):
     rows = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey as id", "o_custkey as customer", "o_orderstatus as status")
     old = rows.filter("id % 10 <> 0")
@@ -255,6 +294,9 @@ QUERIES = {
     "preferred_file": _preferred,
     "payload_fallback": lambda s, d: matching.payload_fallback(*_sides(s, d)),
     "payload_overlap_interval": _overlap,
+    "payload_overlap_audit": lambda s, d: matching.overlap_audit(*_audited_sides(s, d)),
+    "payload_overlap_classes": _overlap_classes,
+    "fork_replay_contributions": _replayed,
     "snapshot_diff": lambda s, d: matching.snapshot_diff(*_orders(s, d)),
     "snapshot_diff_summary": lambda s, d: matching.diff_summary(matching.snapshot_diff(*_orders(s, d))),
     "upsert": _upserted,
@@ -302,6 +344,38 @@ def _unique(pairs: str) -> str:
     return f"SELECT * EXCLUDE (l, r) FROM (SELECT *, count(*) OVER (PARTITION BY p_id) AS l, count(*) OVER (PARTITION BY t_id) AS r FROM ({pairs})) WHERE l = 1 AND r = 1"
 
 
+def _usage(parts: str, tokens: str) -> str:
+    return f"CASE WHEN {parts} IN (0, 2, 4) THEN [{tokens} - {tokens} // 4, {tokens} // 4] ELSE [{tokens} - {tokens} // 5, {tokens} // 5] END"
+
+
+def _audit_sql() -> str:
+    sql = f"""WITH {COUNTERS_SQL}, e AS (SELECT *, 'u' || (event_index // 400) AS turn, CASE WHEN event_index % 9 = 0 THEN k + 1 ELSE k END AS k2 FROM counters),
+p AS (SELECT 'p' || event_index AS id, session, ts_ms + event_index % 5 * 700 AS ts_ms, CASE WHEN event_index % 4 = 0 THEN response_id END AS response_id,
+  CASE WHEN event_index % 5 = 0 THEN turn END AS turn_id, k2 AS tokens, {_usage('event_index % 7', 'k2')} AS usage FROM e WHERE event_index % 3 = 0),
+t AS (SELECT 't' || event_index AS id, session, ts_ms, response_id, turn AS turn_id, k AS tokens, {_usage('0', 'k')} AS usage, k > 0 AS counted FROM e WHERE event_index % 2 = 0 OR event_index % 7 = 0),
+d0 AS (SELECT '' AS p_id, '' AS t_id WHERE false), m0 AS (SELECT '' AS p_id, '' AS t_id, '' AS evidence, '' AS confidence WHERE false)"""
+    near = "t.counted AND p.usage = t.usage AND abs(p.ts_ms - t.ts_ms)"
+    passes = [
+        ("same-response-id", "exact", "p.response_id = t.response_id"), ("same-turn-id", "probable", "p.turn_id = t.turn_id"),
+        ("exact-usage-near-time", "probable", f"{near} <= 1000"), ("exact-usage-wide-time", "possible", f"{near} > 1000 AND abs(p.ts_ms - t.ts_ms) <= 10000"),
+        ("same-total-near-time", "weak", "t.counted AND p.usage <> t.usage AND p.tokens = t.tokens AND abs(p.ts_ms - t.ts_ms) <= 10000"),
+    ]
+    for i, (evidence, confidence, condition) in enumerate(passes):
+        narrow = "WHERE n_equal <> 1 OR equal" if i < 2 else ""
+        sql += f""", c{i + 1} AS (SELECT p_id, t_id FROM (SELECT p.id AS p_id, t.id AS t_id, p.usage = t.usage AS equal, count(*) FILTER (p.usage = t.usage) OVER (PARTITION BY p.id) AS n_equal
+  FROM p JOIN t ON p.session = t.session AND {condition} LEFT JOIN d{i} d ON d.p_id = p.id AND d.t_id = t.id
+  WHERE p.id NOT IN (SELECT p_id FROM m{i}) AND t.id NOT IN (SELECT t_id FROM m{i}) AND (d.p_id IS NOT NULL OR p.id NOT IN (SELECT p_id FROM d{i}))) {narrow}),
+m{i + 1} AS (SELECT * FROM m{i} UNION ALL SELECT p_id, t_id, '{evidence}', '{confidence}' FROM ({_unique(f'SELECT * FROM c{i + 1}')})),
+f{i + 1} AS (SELECT p_id, {i} AS pass, '{evidence}' AS tried FROM c{i + 1} WHERE p_id NOT IN (SELECT p_id FROM m{i + 1})),
+d{i + 1} AS (SELECT * FROM c{i + 1} UNION ALL SELECT * FROM d{i} WHERE p_id NOT IN (SELECT p_id FROM c{i + 1}))"""
+    return sql + """, f AS (SELECT p_id, arg_min(tried, pass) AS tried FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3 UNION ALL SELECT * FROM f4 UNION ALL SELECT * FROM f5) GROUP BY p_id),
+r AS (SELECT p.id, p.tokens, m.t_id AS matched_id, coalesce(m.evidence, f.tried, 'none') AS evidence, coalesce(m.confidence, CASE WHEN f.p_id IS NULL THEN 'unmatched' ELSE 'ambiguous' END) AS confidence,
+  CASE WHEN t.id IS NULL THEN 'unknown' WHEN p.usage = t.usage THEN 'same-components' WHEN p.tokens = t.tokens THEN 'same-total-different-components' ELSE 'different' END AS relation,
+  abs(p.ts_ms - t.ts_ms) AS gap_ms FROM p LEFT JOIN m5 m ON m.p_id = p.id LEFT JOIN t ON t.id = m.t_id LEFT JOIN f ON f.p_id = p.id),
+a AS (SELECT *, CASE WHEN confidence IN ('ambiguous', 'unmatched') THEN confidence WHEN confidence = 'weak' THEN 'weak-candidate' WHEN relation <> 'same-components' THEN 'linked-different-usage'
+  WHEN confidence = 'exact' THEN 'confirmed' ELSE confidence END AS duplicate_class FROM r) """
+
+
 _ORDERS_SQL = """WITH o AS (SELECT o_orderkey AS id, o_custkey AS customer, o_orderstatus AS status FROM orders), old AS (SELECT * FROM o WHERE id % 10 <> 0),
 new AS (SELECT id, CASE WHEN id % 13 = 0 THEN customer + 1 ELSE customer END AS customer, CASE WHEN id % 17 = 0 THEN NULL ELSE status END AS status FROM o WHERE id % 10 <> 1),
 diff AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'insert' WHEN b.id IS NULL THEN 'delete'
@@ -380,6 +454,22 @@ SELECT p.id, m.t_id AS matched_id, coalesce(o, CASE WHEN tokens = 0 THEN 'ignore
 near AS ({_unique("SELECT * FROM pairs WHERE gap_ms <= 1000")}),
 wide AS ({_unique("SELECT * FROM pairs WHERE gap_ms > 1000 AND gap_ms <= 10000 AND p_id NOT IN (SELECT p_id FROM near) AND t_id NOT IN (SELECT t_id FROM near)")})
 SELECT *, 'near' AS evidence FROM near UNION ALL SELECT *, 'wide' FROM wide""",
+    "payload_overlap_audit": _audit_sql() + "SELECT * EXCLUDE (tokens) FROM a",
+    "payload_overlap_classes": _audit_sql() + "SELECT duplicate_class, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM a GROUP BY 1",
+    "fork_replay_contributions": f"""WITH {COUNTERS_SQL}, {_SESSIONS_SQL}, kids AS (SELECT * FROM sessions WHERE parent IS NOT NULL AND fork_ms IS NOT NULL),
+r AS (SELECT session, event_index, ts_ms, CASE WHEN event_index % 6 <> 1 THEN response_id END AS response_id, 'u' || (event_index // 9) AS turn_id, model, k AS tokens, [k - k // 4, k // 4] AS usage,
+  CASE WHEN event_index % 8 = 0 THEN 'aggregate-exact' ELSE 'components-exact' END AS precision FROM counters),
+g AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts_ms, event_index) AS n FROM r),
+everything AS (SELECT * FROM r WHERE session NOT IN (SELECT session FROM kids)
+  UNION ALL SELECT kids.session, -1000000 + event_index, ts_ms, CASE WHEN n % 4 <> 0 THEN response_id END, CASE WHEN event_index % 5 <> 0 THEN turn_id END, CASE WHEN event_index % 3 <> 0 THEN model END,
+    tokens, CASE WHEN event_index % 16 = 0 THEN [tokens, 0] ELSE usage END, CASE WHEN event_index % 41 = 0 THEN 'partial' ELSE precision END FROM g JOIN kids ON g.session = kids.parent WHERE n <= 9),
+child AS (SELECT e.*, row_number() OVER (PARTITION BY e.session ORDER BY ts_ms, event_index) AS n FROM everything e JOIN kids USING (session) WHERE ts_ms < fork_ms),
+par AS (SELECT kids.session AS child, e.*, row_number() OVER (PARTITION BY kids.session ORDER BY ts_ms, event_index) AS n FROM everything e JOIN kids ON e.session = kids.parent WHERE ts_ms < fork_ms)
+SELECT c.session, c.event_index, c.n, min(CASE WHEN c.ts_ms = p.ts_ms AND (coalesce(c.response_id = p.response_id, false) OR coalesce(c.turn_id = p.turn_id, false))
+    AND coalesce(c.response_id = p.response_id, true) AND coalesce(c.turn_id = p.turn_id, true) AND coalesce(c.model = p.model, true) AND c.precision <> 'partial' AND p.precision <> 'partial'
+    AND CASE WHEN c.precision = 'components-exact' AND p.precision = 'components-exact' THEN c.usage = p.usage ELSE c.tokens = p.tokens END
+  THEN 1 ELSE 0 END) OVER (PARTITION BY c.session ORDER BY c.n) = 1 AS suppressed
+FROM child c LEFT JOIN par p ON p.child = c.session AND p.n = c.n""",
     "snapshot_diff": f"{_ORDERS_SQL} SELECT * FROM diff",
     "snapshot_diff_summary": f"{_ORDERS_SQL} SELECT change, count(*) AS n FROM diff GROUP BY change",
     "upsert": f"""{_ORDERS_SQL} SELECT *, 0 AS seq FROM old WHERE id NOT IN (SELECT id FROM new WHERE id % 5 = 0)
