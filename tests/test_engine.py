@@ -314,3 +314,74 @@ def test_rebuild_and_diagnostics(spark):
     assert (found["records_difference"], found["tokens_difference"], found["tokens_percent"]) == (1, 5, 50.0)
     rows = spark.createDataFrame([(i, "warn", f"/home/jo/{i}", None) for i in range(6)], "ts_ms long, level string, message string, source string")
     assert [r["message"] for r in audits.recent_diagnostics(rows, 2).collect()] == ["~/5", "~/4"]
+
+
+def test_replays_share_an_identity_and_contradict_none(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerspark.operators import lineage
+
+    event = "ts_ms long, response_id string, turn_id string, model string, precision string, usage struct<a:long,b:long>, tokens long"
+    base = (7, "r", "u", "m", "components-exact", (1, 2), 3)
+
+    def changed(**values):
+        names = [x.split()[0] for x in event.replace("struct<a:long,b:long>", "x").split(", ")]
+        return tuple(values.get(n, v) for n, v in zip(names, base, strict=True))
+
+    cases = [
+        (changed(), True),
+        (changed(response_id=None), True),
+        (changed(response_id=""), True),
+        (changed(response_id=None, turn_id=None), False),
+        (changed(turn_id="other"), False),
+        (changed(model=None), True),
+        (changed(model="n"), False),
+        (changed(usage=(2, 1)), False),
+        (changed(usage=(2, 1), precision="aggregate-exact"), True),
+        (changed(precision="partial"), False),
+        (changed(ts_ms=8), False),
+        (changed(ts_ms=None), False),
+    ]
+    held = "struct<" + ", ".join(x.replace(" ", ":", 1) for x in event.split(", ")) + ">"
+    rows = spark.createDataFrame([(i, c, base) for i, (c, _) in enumerate(cases)], f"i int, c {held}, p {held}")
+    got = {r["i"]: r["same"] for r in rows.select("i", lineage.same_contribution("c", "p").alias("same")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_overlap_passes(spark):
+    from ledgerspark.operators import matching
+
+    side = "id string, session string, ts_ms long, response_id string, turn_id string, usage struct<a:long,b:long>, tokens long, counted boolean"
+    payloads = [
+        ("by response", "s", 0, "r1", None, (1, 2), 3, True),
+        ("other figures", "s", 0, "r2", None, (5, 5), 10, True),
+        ("narrowed", "s", 0, "r3", None, (4, 4), 8, True),
+        ("near", "n", 1000, None, None, (7, 1), 8, True),
+        ("wide", "w", 9000, None, None, (7, 1), 8, True),
+        ("weak", "k", 0, None, None, (7, 1), 8, True),
+        ("twin a", "t", 0, None, "u", (1, 1), 2, True),
+        ("twin b", "t", 0, None, "u", (1, 1), 2, True),
+        ("no time", "n", None, None, "", (7, 1), 8, True),
+    ]
+    tokens = [
+        ("1", "s", 99_999, "r1", None, (1, 2), 3, True),
+        ("2", "s", None, "r2", None, (5, 6), 11, True),
+        ("3", "s", None, "r3", None, (4, 4), 8, True),
+        ("4", "s", None, "r3", None, (4, 5), 9, True),
+        ("5", "n", 0, None, "", (7, 1), 8, True),
+        ("6", "w", 0, None, None, (7, 1), 8, True),
+        ("7", "k", 0, None, None, (1, 7), 8, True),
+        ("8", "t", 0, None, "u", (1, 1), 2, True),
+    ]
+    found = matching.overlap_audit(spark.createDataFrame(payloads, side), spark.createDataFrame(tokens, side)).collect()
+    assert {r["id"]: (r["matched_id"], r["duplicate_class"]) for r in found} == {
+        "by response": ("1", "confirmed"),
+        "other figures": ("2", "linked-different-usage"),
+        "narrowed": ("3", "confirmed"),
+        "near": ("5", "probable"),
+        "wide": ("6", "possible"),
+        "weak": ("7", "weak-candidate"),
+        "twin a": (None, "ambiguous"),
+        "twin b": (None, "ambiguous"),
+        "no time": (None, "unmatched"),
+    }
