@@ -122,3 +122,46 @@ def rebuild_difference(before: DataFrame, after: DataFrame) -> DataFrame:
 def recent_diagnostics(rows: DataFrame, limit: int = 500) -> DataFrame:
     """The newest diagnostics (ts_ms, level, message, source), with user folders redacted: a bounded report."""
     return rows.orderBy(F.col("ts_ms").desc(), "message").limit(limit).withColumn("message", redacted(F.col("message")))
+
+
+def fork_history(cursors: DataFrame, traces: DataFrame, records: DataFrame, extra: DataFrame, differing: DataFrame) -> DataFrame:
+    """What a stored baseline of each fork gives beside that of a full replay.
+
+    cursors (session, parent, baseline), traces (session, parent, baseline, first_total, contribution, first_id), one each a session; records
+    (id, usage); extra and differing (id): records that only the replay has, or with other content. Baselines and the like are
+    structs of counters. Forks of themselves are left out. A replay's record is explained if only it has the record, the stored
+    baseline leaves no tokens, and the record's usage is the replay's contribution."""
+    names = records.schema["usage"].dataType.names
+
+    def total(c: str) -> Column:
+        return sum((F.col(f"{c}.{n}") for n in names[1:]), F.col(f"{c}.{names[0]}"))
+
+    own = cursors.filter("session <> parent").select("session", F.col("parent").alias("stored_parent"), F.col("baseline").alias("stored"))
+    replay = traces.filter("session <> parent").withColumnsRenamed({"baseline": "replayed"})
+    rows = own.join(replay, "session", "full")
+    rows = rows.join(records.select(F.col("id").alias("first_id"), F.col("usage").alias("record")), "first_id", "left")
+    for name, ids in (("is_extra", extra), ("is_differing", differing)):
+        rows = rows.join(ids.select(F.col("id").alias("first_id")).distinct().withColumn(name, F.lit(True)), "first_id", "left")
+    left = F.struct(*[F.greatest(F.col(f"first_total.{n}") - F.col(f"stored.{n}"), F.lit(0)).alias(n) for n in names])
+    rows = rows.withColumn("left", F.when(F.col("first_total").isNotNull() & F.col("stored").isNotNull(), left))
+    stored_emits, replay_emits = (F.coalesce(total(c) > 0, F.lit(False)) for c in ("left", "contribution"))
+    outcome = (
+        F.when(F.col("record").isNull() | (F.col("left").isNull() & F.col("contribution").isNull()), "unresolved")
+        .when(replay_emits & ~stored_emits & F.col("is_differing").isNotNull(), "database-state-inconsistent")
+        .when(replay_emits & ~stored_emits, "full-replay-only")
+        .when(~replay_emits & stored_emits, "persisted-only")
+        .when(replay_emits & stored_emits, F.when(F.col("left") == F.col("contribution"), "both-same").otherwise("both-different"))
+        .otherwise("neither")
+    )
+    gaps = [F.col(f"replayed.{n}") - F.col(f"stored.{n}") for n in names]
+    explained = F.col("record").isNotNull() & F.col("is_extra").isNotNull() & replay_emits & ~stored_emits & (F.col("record") == F.col("contribution"))
+    return rows.select(
+        "session",
+        F.coalesce("stored_parent", "parent").alias("parent"),
+        outcome.alias("outcome"),
+        F.coalesce(F.col("stored") == F.col("replayed"), F.lit(False)).alias("baseline_matched"),
+        F.coalesce(sum(gaps[1:], gaps[0]), F.lit(0)).alias("baseline_difference"),
+        F.coalesce(sum(map(F.abs, gaps[1:]), F.abs(gaps[0])), F.lit(0)).alias("baseline_magnitude"),
+        F.coalesce(total("contribution") - total("left"), F.lit(0)).alias("contribution_difference"),
+        F.coalesce(explained, F.lit(False)).alias("explained"),
+    )

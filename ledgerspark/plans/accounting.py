@@ -272,6 +272,25 @@ def _moved_files(spark, d):
     return matching.moved_files(files, cursors)
 
 
+def _fork_history(spark, d):
+    """Each user's session as a fork of the one before, some of themselves, with figures by the user's number."""
+    users = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("u")).distinct()
+
+    def pair(a, b):
+        return f"named_struct('input', cast({a} as bigint), 'output', cast({b} as bigint))"
+
+    session, made = "concat('s', cast(u as string)) as session", pair("case when u % 14 = 3 then 0 else greatest(u % 17 - u % 11, 0) end", "case when u % 14 = 3 then 0 else greatest(u % 9 - u % 5, 0) end")
+    cursors = users.filter("u % 3 <> 0").selectExpr(
+        session, "concat('s', cast(u - if(u % 7 = 0, 0, 1) as string)) as parent", f"case when u % 4 <> 0 then {pair('u % 11', 'u % 5')} end as baseline"
+    )
+    traces = users.filter("u % 5 <> 0").selectExpr(
+        session, "concat('s', cast(u - if(u % 13 = 0, 0, 1) as string)) as parent", f"case when u % 6 <> 0 then {pair('u % 11', 'u % 5 + if(u % 8 = 1, 1, 0)')} end as baseline",
+        f"{pair('u % 17', 'u % 9')} as first_total", f"case when u % 9 <> 4 then {made} end as contribution", "case when u % 10 <> 1 then concat('e', cast(u as string)) end as first_id",
+    )
+    named = users.selectExpr("concat('e', cast(u as string)) as id", "u", f"case when u % 16 = 2 then {pair('1', '1')} else {made} end as usage")
+    return audits.fork_history(cursors, traces, named.filter("u % 12 <> 0").select("id", "usage"), named.filter("u % 4 < 2").select("id"), named.filter("u % 4 = 2").select("id"))
+
+
 QUERIES = {
     "usage_sources": _usage_sources,
     "event_context": lambda s, d: audits.event_context(counter_events(s, d)),
@@ -306,6 +325,7 @@ QUERIES = {
     "taxonomy_histogram": _taxonomy,
     "mismatch_histogram": _mismatch,
     "gates": _gates,
+    "fork_history": _fork_history,
     "record_reconciliation": _reconciliation,
     "methods_side_by_side": lambda s, d: audits.methods_side_by_side(_contributions(s, d)),
 }
@@ -493,6 +513,19 @@ SELECT CASE WHEN gap <= 0 THEN '0' WHEN gap <= 1000 THEN '1-1K' WHEN gap <= 1000
     "gates": f"""WITH {RECORDS_SQL}, g AS (SELECT 'ids_present' AS gate, count(*) FILTER (id IS NULL) AS n_broken FROM records UNION ALL SELECT 'counters_positive', count(*) FILTER (total_tokens <= 0) FROM records
 UNION ALL SELECT 'sessions_present', count(*) FILTER (session_id IS NULL) FROM records UNION ALL SELECT 'cache_below_input', count(*) FILTER (cached_input_tokens > input_tokens) FROM records)
 SELECT *, n_broken = 0 AS holds FROM g""",
+    "fork_history": """WITH u AS (SELECT DISTINCT user_id AS u FROM events),
+m AS (SELECT u, CASE WHEN u % 14 = 3 THEN [0, 0] ELSE [greatest(u % 17 - u % 11, 0), greatest(u % 9 - u % 5, 0)] END AS made FROM u),
+c AS (SELECT u, 's' || (u - 1) AS parent, CASE WHEN u % 4 <> 0 THEN [u % 11, u % 5] END AS b FROM u WHERE u % 3 <> 0 AND u % 7 <> 0),
+t AS (SELECT u, 's' || (u - 1) AS parent, CASE WHEN u % 6 <> 0 THEN [u % 11, u % 5 + CASE WHEN u % 8 = 1 THEN 1 ELSE 0 END] END AS b, [u % 17, u % 9] AS f,
+  CASE WHEN u % 9 <> 4 THEN made END AS k, u % 10 <> 1 AND u % 12 <> 0 AS has, CASE WHEN u % 16 = 2 THEN [1, 1] ELSE made END AS r FROM m WHERE u % 5 <> 0 AND u % 13 <> 0),
+j AS (SELECT coalesce(c.u, t.u) AS u, coalesce(c.parent, t.parent) AS parent, c.b AS sb, t.b AS rb, k, coalesce(has, false) AS has, r,
+  CASE WHEN f IS NOT NULL AND c.b IS NOT NULL THEN [greatest(f[1] - c.b[1], 0), greatest(f[2] - c.b[2], 0)] END AS l FROM c FULL JOIN t ON c.u = t.u),
+e AS (SELECT *, coalesce(l[1] + l[2] > 0, false) AS se, coalesce(k[1] + k[2] > 0, false) AS re FROM j)
+SELECT 's' || u AS session, parent, CASE WHEN NOT has OR (l IS NULL AND k IS NULL) THEN 'unresolved' WHEN re AND NOT se AND u % 4 = 2 THEN 'database-state-inconsistent'
+  WHEN re AND NOT se THEN 'full-replay-only' WHEN se AND NOT re THEN 'persisted-only' WHEN re AND se THEN CASE WHEN l = k THEN 'both-same' ELSE 'both-different' END ELSE 'neither' END AS outcome,
+  coalesce(sb = rb, false) AS baseline_matched, CAST(coalesce(rb[1] - sb[1] + rb[2] - sb[2], 0) AS BIGINT) AS baseline_difference,
+  CAST(coalesce(abs(rb[1] - sb[1]) + abs(rb[2] - sb[2]), 0) AS BIGINT) AS baseline_magnitude, CAST(coalesce(k[1] + k[2] - l[1] - l[2], 0) AS BIGINT) AS contribution_difference,
+  coalesce(has AND u % 4 < 2 AND re AND NOT se AND r = k, false) AS explained FROM e""",
     "record_reconciliation": f"""WITH {RECORDS_SQL}, a AS (SELECT * FROM records WHERE event_id % 19 <> 0),
 b AS (SELECT id, source, model, CASE WHEN event_id % 29 = 0 THEN total_tokens + 5 ELSE total_tokens END AS total_tokens FROM records WHERE event_id % 23 <> 0)
 SELECT CASE WHEN b.id IS NULL THEN 'expected-only' WHEN a.id IS NULL THEN 'actual-only' WHEN a.total_tokens = b.total_tokens THEN 'matched' ELSE 'mismatched' END AS status,
