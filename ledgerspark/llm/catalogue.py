@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, mixing, near_passages, quality_rules, repeated_bytes, site_quality, surrogates, toxicity, training_order
+from . import (
+    decontamination,
+    divergence,
+    jaccard_join,
+    mixing,
+    near_passages,
+    prefix_forest,
+    quality_rules,
+    repeated_bytes,
+    site_quality,
+    surrogates,
+    toxicity,
+    training_order,
+    vector_codes,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_near_passages": near_passages.query,
     "op9_benchmark_decontamination": decontamination.query,
     "op10_repeated_bytes": repeated_bytes.query,
+    "op11_source_divergence": divergence.query,
+    "op12_vector_codes": vector_codes.query,
+    "op13_prefix_forest": prefix_forest.query,
 }
 
 ORACLES = {
@@ -22,4 +39,6 @@ ORACLES = {
     "op7_source_mixing": mixing.ORACLE,
     "op9_benchmark_decontamination": decontamination.ORACLE,
     "op10_repeated_bytes": repeated_bytes.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
 }
