@@ -4,8 +4,8 @@ Two sets of which one has n shingles link only if they share T = 0.8 n of them,
 
 1. Documents with equal sets become one set, with the smallest doc_id for a name.
 2. Of the first 0.3 n hashes of a set, in the order of hashes, a partner lacks at most n - T. Only these are dealt, by value,
-   to tasks that tell which are shared; a set that shares too few of them has no partner. A batch of documents
-   sends a hash it has several times once only, so a common shingle costs a task as many entries as there are batches.
+   to tasks that tell which are shared. Two partners deal some of the same ones (least_shared); a set with fewer has no partner. A batch
+   of documents sends a hash it has several times once only, so a common shingle costs a task as many entries as there are batches.
 3. What is left, a small share of the texts, is dealt in the same way with all hashes; a set stays with those it shares, if
    they are T or more.
 4. Of n shared hashes, two partners have one of the first n - T + 1 in common, in the order of hashes. These make the
@@ -60,6 +60,15 @@ def first_hashes(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return np.minimum(n, np.maximum(percent * n // 100, n - least_overlap(n)) + 1)
 
 
+def least_shared(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+    """How many of a linked set's dealt hashes its partner deals too, at least.
+
+    A set of k hashes deals 0.3 k and one more, of which its partner lacks 0.2 k at most, so both deal the first 0.1 k and one more
+    of those they share, for the smaller k of the two; and no partner has fewer than T."""
+    least = least_overlap(n)
+    return least if percent == 100 else (percent + PERCENT - 100) * least // 100 + 1
+
+
 def slices(batches: Iterator[pa.RecordBatch], least: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in stretches of about SLICE_BYTES of text, or of one longer text: a task's memory is bounded by those."""
     for batch in batches:
@@ -198,7 +207,7 @@ def shared_sets(docs: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
         sig, doc, n = sig[keep], doc[keep], n[keep]
         s, h = _fresh(np.concatenate(sigs), np.concatenate(hashes), False)
         begins, ends = np.searchsorted(s, sig), np.searchsorted(s, sig, "right")
-        likely = np.flatnonzero(ends - begins >= first_hashes(n, percent) - (n - least_overlap(n)))
+        likely = np.flatnonzero(ends - begins >= least_shared(n, percent))
         for k in range(0, len(likely), 500):
             some = likely[k : k + 500]
             content = [packed.raw(h[begins[i] : ends[i]], "<u8") for i in some]
