@@ -25,8 +25,8 @@ text. All suffixes with one least hash meet in one task.
 
 Cases: a null text is empty; texts under LENGTH bytes lose nothing; a null doc_id counts as one smaller than
 all others; repeated rows (one doc_id, one text) get the same result each and don't remove each other.
-Rows that share a doc_id but not a text are told apart by a hash of the text (up to 31 bits, what the doc_ids leave of 64) and
-lose nothing to each other. An empty table gives an empty result. Other columns play no part.
+Rows that share a doc_id but not a text are told apart by 128 bits of hash: each has a number of its own, and they
+lose nothing to each other. doc_ids may be any 64-bit numbers. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         k = m
 
 
-ENTRY = "part int, kind binary, docs binary, counts binary, places binary, sizes binary, content binary"
+ENTRY = "part int, kind binary, docs binary, counts binary, behind binary, places binary, sizes binary, content binary"
 NAMES = [x.split()[0] for x in ENTRY.split(", ")]
 PIECE, ONCE, TWICE = b"p", b"1", b"2"
 REMOVED, ASKED, SHARED = b"r", b"a", b"s"
@@ -167,20 +167,23 @@ def _grown(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
 
-def _entries(kind: bytes, part: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray | None = None, ids: np.ndarray | None = None) -> list[tuple]:
+def _entries(kind: bytes, part: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray | None = None, ids: np.ndarray | None = None, behind: np.ndarray | None = None) -> list[tuple]:
     """Packed by part; in each, sorted by document."""
     rows = []
     for p, at in packed.by_part(part):
         at = at[np.lexsort((place[at], doc[at]))]
         sizes = b"" if size is None else packed.raw(size[at], "<u4")
-        rows.append((p, kind, *_holders(doc[at]), packed.raw(place[at], "<u4"), sizes, b"" if ids is None else packed.raw(ids[at], "<u8")))
+        late = None if behind is None else behind[at]
+        rows.append((p, kind, *_holders(doc[at], late), packed.raw(place[at], "<u4"), sizes, b"" if ids is None else packed.raw(ids[at], "<u8")))
     return rows
 
 
-def _holders(doc: np.ndarray) -> tuple[bytes, bytes]:
-    """Documents as differences, and how often each comes in a row."""
+def _holders(doc: np.ndarray, behind: np.ndarray | None) -> tuple[bytes, bytes, bytes]:
+    """Documents as differences, how often each comes in a row, and how far each is behind the first text of its doc_id (nothing
+    where all are first texts)."""
     docs, counts = packed.runs(doc)
-    return _shrunk(packed.raw(np.diff(docs, prepend=0), "<i8")), _shrunk(packed.raw(counts, "<i4"))
+    late = b"" if behind is None or not behind.any() else _shrunk(packed.raw(behind, "<i8"))
+    return _shrunk(packed.raw(np.diff(docs, prepend=0), "<i8")), _shrunk(packed.raw(counts, "<i4")), late
 
 
 def _opened(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,6 +194,10 @@ def _opened(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(docs, np.frombuffer(_grown(r["counts"]), "<i4")), place, size
 
 
+def _behind(r: dict, n: int) -> np.ndarray:
+    return np.frombuffer(_grown(r["behind"]), "<i8") if r["behind"] else np.zeros(n, np.int64)
+
+
 def _apart(batch: pa.RecordBatch, *kinds: bytes) -> tuple[pa.RecordBatch, list[dict]]:
     """The rows that are of some kinds, and the others opened as dictionaries."""
     passed = pa.array([x in kinds for x in batch.column("kind").to_pylist()], pa.bool_())
@@ -202,31 +209,35 @@ def _runs_of(new: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
-def _texts(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, doc, content) and the number of low bits of doc that tell texts of one doc_id apart: none where doc_ids differ."""
-    content = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    n = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, behind, content): doc is a number of each doc_id and text, in the order of doc_id, null first, and the doc_id itself where
+    all differ; behind is how far it is from the first text of its doc_id."""
+    content = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content")
+    n = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named")).first()
+    none = F.lit(0).cast("long").alias("behind")
     if n["rows"] == n["named"] and docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return docs.select("doc_id", F.col("doc_id").alias("doc"), content.alias("content")), 0
-    low, high = n["low"] or 0, n["high"] or 0
-    bits = max(0, min(31, 62 - (high - low + 2).bit_length()))
-    if not bits:
-        return docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), content.alias("content")), 0
-    number = F.coalesce(F.col("doc_id") - low + 1, F.lit(0)).cast("long") * (1 << bits) + F.pmod(F.xxhash64("text"), F.lit(1 << bits))
-    return docs.select("doc_id", number.alias("doc"), content.alias("content")), bits
-
-
-def removed_places(docs: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
+        return docs.select("doc_id", F.col("doc_id").alias("doc"), none, content)
+    named = docs.select("doc_id", content).withColumn("digest", F.unhex(F.md5("content")))
+    keys = named.select("doc_id", "digest").distinct().orderBy(F.asc_nulls_first("doc_id"), "digest")
+    keys = stored(keys.withColumn("doc", F.monotonically_increasing_id()), "texts-in-order")
+    first = stored(keys.groupBy("doc_id").agg(F.min("doc").alias("first")).withColumnRenamed("doc_id", "_id"), "first-texts")
+    keys = keys.join(first, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("behind", F.col("doc") - F.col("first"))
+    keys = stored(keys.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "doc", "behind"), "text-numbers")
+    found = named.join(keys.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    return found.select("doc_id", "doc", "behind", "content")
+
+
+def removed_places(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc, gone, gone_sizes, late, late_sizes): stretches of documents that go, by the dictionary and by the order."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, size // BYTES_A_PART)
 
-    def first_come(doc: np.ndarray, place: np.ndarray, size: np.ndarray, ids: np.ndarray, where: np.ndarray) -> tuple:
-        """The same, sorted by id and document, and which of them are in a later document than the first with the id."""
+    def first_come(doc: np.ndarray, behind: np.ndarray, place: np.ndarray, size: np.ndarray, ids: np.ndarray, where: np.ndarray) -> tuple:
+        """The same, sorted by id and document, and which of them are in a later doc_id than the first with the id."""
         order = np.lexsort((doc, ids[:, 1], ids[:, 0]))
-        doc, place, size, ids, where = doc[order], place[order], size[order], ids[order], where[order]
+        doc, behind, place, size, ids, where = doc[order], behind[order], place[order], size[order], ids[order], where[order]
         new = np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])[: len(doc)]
-        return doc, place, size, ids, where, doc >> bits > _runs_of(new, doc) >> bits
+        return doc, behind, place, size, ids, where, doc - behind > _runs_of(new, doc - behind)
 
     def digests(content: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         held = memoryview(content)
@@ -235,18 +246,18 @@ def removed_places(docs: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, laid, found, base = batch.column("doc").to_numpy(), [], [], 0
+            names, late, laid, found, base = batch.column("doc").to_numpy(), batch.column("behind").to_numpy(), [], [], 0
             for k, content, begins, ends in chunks(batch.column("content").to_pylist()):
                 begin, end, owner = pieces(content, begins, ends)
-                found.append((names[k + owner], begin - begins[owner], end - begin, digests(content, begin, end), begin + base))
+                found.append((names[k + owner], late[k + owner], begin - begins[owner], end - begin, digests(content, begin, end), begin + base))
                 laid.append((base, names[k : k + len(ends)], content, ends))
                 base += len(content)
             if not found:
                 continue
-            doc, place, size, ids, where, later = first_come(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            doc, behind, place, size, ids, where, later = first_come(*(np.concatenate(x) for x in zip(*found, strict=True)))
             own = ~later
             rows = _entries(REMOVED, _part(doc[later], parts), doc[later], place[later], size[later])
-            rows += _entries(PIECE, _part(ids[own, 0], parts), doc[own], place[own], size[own], ids[own])
+            rows += _entries(PIECE, _part(ids[own, 0], parts), doc[own], place[own], size[own], ids[own], behind[own])
             change = np.zeros(base + 1, np.int8)
             np.add.at(change, where[own], 1)
             np.add.at(change, (where + size)[own] - LENGTH + 1, -1)
@@ -283,12 +294,12 @@ def removed_places(docs: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
             for r in others:
                 doc, place, size = _opened(r)
                 if r["kind"] == PIECE:
-                    found.append((doc, place, size, np.frombuffer(r["content"], "<u8").reshape(-1, 2), place))
+                    found.append((doc, _behind(r, len(doc)), place, size, np.frombuffer(r["content"], "<u8").reshape(-1, 2), place))
                 else:
                     held.append((doc, place, np.full(len(doc), r["kind"] == TWICE)))
         rows = []
         if found:
-            doc, place, size, _, _, later = first_come(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            doc, _, place, size, _, _, later = first_come(*(np.concatenate(x) for x in zip(*found, strict=True)))
             rows += _entries(REMOVED, _part(doc[later], parts), doc[later], place[later], size[later])
             rows += _entries(ASKED, _part(doc[~later], parts), doc[~later], place[~later], size[~later])
         if held:
@@ -323,14 +334,14 @@ def removed_places(docs: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
                 columns += [pa.array([packed.raw(x[a:b], "<u4") for a, b in cuts], pa.binary()) for x in (place, size)]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in MARKS.split(", ")])
 
-    parsed = texts.select("doc", "content").mapInArrow(parse, ENTRY).repartitionById(parts, F.col("part"))
+    parsed = texts.select("doc", "behind", "content").mapInArrow(parse, ENTRY).repartitionById(parts, F.col("part"))
     told = parsed.mapInArrow(dictionary, ENTRY).repartitionById(parts, F.col("part"))
     marks = stored(told.mapInArrow(by_document, MARKS), "marks")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The suffixes of the dictionary's phrases and joints whose least hash is in several documents, in stretches."""
         for batch in batches:
-            names = batch.column("doc").to_numpy()
+            names, late = batch.column("doc").to_numpy(), batch.column("behind").to_numpy()
             asked, sizes, shared = (batch.column(x).to_pylist() for x in ("asked", "asked_sizes", "shared"))
             for k, content, begins, ends in chunks(batch.column("content").to_pylist()):
                 if len(content) < LENGTH:
@@ -348,14 +359,14 @@ def removed_places(docs: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
                 held = np.isin(key & LOW | owner.astype(np.uint64) << np.uint64(32), np.concatenate(known))
                 first, n, key, owner = first[held], n[held], key[held], owner[held]
                 ids = digests(content, first, first + n + LENGTH - 1)
-                doc, place, n, _, at, later = first_come(names[k + owner], first - begins[owner], n, ids, np.arange(len(n)))
+                doc, behind, place, n, _, at, later = first_come(names[k + owner], late[k + owner], first - begins[owner], n, ids, np.arange(len(n)))
                 rows = _entries(REMOVED, _part(doc[later], parts), doc[later], place[later], n[later] + LENGTH - 1)
                 own = ~later
-                doc, place, n, first, key = doc[own], place[own], n[own], first[at[own]], key[at[own]]
+                doc, behind, place, n, first, key = doc[own], behind[own], place[own], n[own], first[at[own]], key[at[own]]
                 for p, some in packed.by_part(_part(key, parts)):
                     some = some[np.lexsort((place[some], doc[some]))]
                     flat = _shrunk(content[ranges(first[some], n[some] + LENGTH - 1)].tobytes())
-                    rows.append((p, PIECE, *_holders(doc[some]), packed.raw(place[some], "<u4"), packed.raw(n[some], "<u4"), flat))
+                    rows.append((p, PIECE, *_holders(doc[some], behind[some]), packed.raw(place[some], "<u4"), packed.raw(n[some], "<u4"), flat))
                 if rows:
                     yield packed.batch(rows, NAMES)
 
@@ -373,13 +384,13 @@ def removed_places(docs: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
                 pos = ranges(begin, n)
                 hashes.append(Rolling(flat).at(pos, pos + LENGTH))
                 at.append(pos + base)
-                runs.append((doc, place, begin + base))
+                runs.append((doc, _behind(r, len(doc)), place, begin + base))
                 flats.append(flat)
                 base += len(flat)
                 run += len(n)
         if not run:
             return
-        doc, place, begin = (np.concatenate(x) for x in zip(*runs, strict=True))
+        doc, behind, place, begin = (np.concatenate(x) for x in zip(*runs, strict=True))
         flat, string, pos = np.concatenate(flats), np.concatenate(hashes), np.concatenate(at)
         flats.clear(), hashes.clear(), at.clear()
         sorted_ = np.argsort(string)
@@ -387,17 +398,17 @@ def removed_places(docs: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
         equal = string[1:] == string[:-1]
         pos = pos[sorted_[np.append(equal, False) | np.insert(equal, 0, False)]]
         owner = np.searchsorted(begin, pos, "right") - 1
-        doc, place = doc[owner], place[owner] + pos - begin[owner]
+        doc, behind, place = doc[owner], behind[owner], place[owner] + pos - begin[owner]
         # eight bytes at a time as numbers, so that their order is that of the bytes
         words = np.ndarray((max(0, len(flat) - 7),), ">u8", flat.data, strides=(1,))
         keys = [words[pos + k].astype(np.uint64) for k in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
         suffix = np.lexsort((doc, *reversed(keys)))
-        doc, place = doc[suffix], place[suffix]
+        doc, behind, place = doc[suffix], behind[suffix], place[suffix]
         new = np.ones(len(doc), bool)
         new[1:] = False
         for key in keys:
             new[1:] |= key[suffix[1:]] != key[suffix[:-1]]
-        later = doc >> bits > _runs_of(new, doc) >> bits
+        later = doc - behind > _runs_of(new, doc - behind)
         doc, place = doc[later], place[later]
         if not len(doc):
             return
@@ -410,7 +421,7 @@ def removed_places(docs: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
 
     # joined by a shuffle at every size: a broadcast would be of marks of all documents
     asking = marks.filter((F.length("asked") > 0) & (F.length("shared") > 0)).select("doc", "asked", "asked_sizes", "shared")
-    fetched = texts.select("doc", "content").join(asking.hint("merge"), "doc")
+    fetched = texts.select("doc", "behind", "content").join(asking.hint("merge"), "doc")
     dealt = fetched.mapInArrow(suffixes, ENTRY).repartitionById(parts, F.col("part"))
     late = dealt.mapInArrow(order, ENTRY).repartitionById(parts, F.col("part")).mapInArrow(by_document, MARKS)
     late = stored(late.select("doc", F.col("gone").alias("late"), F.col("gone_sizes").alias("late_sizes")), "late")
@@ -440,8 +451,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    texts, bits = _texts(docs)
-    joined = texts.join(removed_places(docs, texts, bits).hint("merge"), "doc", "left")
+    texts = _texts(docs)
+    joined = texts.join(removed_places(docs, texts).hint("merge"), "doc", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary"
     return joined.select("doc_id", "content", "gone", "gone_sizes", "late", "late_sizes").mapInArrow(cut, schema)
 

@@ -242,6 +242,32 @@ def test_jaccard_join(spark, monkeypatch, rounds):
     assert collections.Counter(map(tuple, found)) == brute_components(rows)
 
 
+def test_linked_sets_deal_enough_of_the_same_hashes():
+    """All numbers of common and of own hashes of two sets that link: those that only one of them has come first in the order of hashes."""
+    for percent in (jaccard_join.FIRST_PERCENT, 100):
+        for common in range(1, 260):
+            for x in range(common // 4 + 1):
+                for y in range(x, common // 4 - x + 1):
+                    assert 100 * common >= 80 * (common + x + y)
+                    a, b = (int(jaccard_join.first_hashes(common + k, percent)) if percent < 100 else common + k for k in (x, y))
+                    both = min(a - x, b - y, common)
+                    for n in (common + x, common + y):
+                        assert 1 <= jaccard_join.least_shared(n, percent) <= both, (common, x, y, n)
+
+
+def test_short_texts_with_one_word_more(spark):
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(160):
+        words = fresh(rng, 5 + i % 8)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + fresh(rng, 1)) if i % 3 else " ".join(fresh(rng, 1) + words))]
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert collections.Counter(map(tuple, found)) == brute_components(rows)
+    assert sum(r["component_id"] != r["doc_id"] for r in found) >= 100
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (7, 7), (200, 200)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -382,6 +408,29 @@ def test_texts_of_one_doc_id_lose_nothing_to_each_other(spark):
     assert removed == collections.Counter([*want, (None, len(twin), 0), (None, 2 * len(twin), 0)])
 
 
+def test_repeats_among_ids_that_lie_far_apart(spark):
+    """doc_ids over the whole range of 64 bits, several texts of one of them, null ids: in brute force a doc_id's texts are judged one by one."""
+    import random
+
+    rng = random.Random(14)
+    blocks = [" ".join(fresh(rng, 12)) for _ in range(7)]
+    ids = [-(2**63) + 1, -(2**62), -5, 0, 5, 2**40, 2**61, 2**63 - 1, None, 5, 5, 2**61, None, 7, 7]
+    rows = [(i, "|".join(rng.sample(blocks, 3)) + rng.choice(["", "x", " ".join(fresh(rng, 9))])) for i in ids * 3]
+    rows += [(1, blocks[0]), (5, "x" + blocks[0]), (5, blocks[5]), (5, blocks[5] + "y"), rows[3], rows[4]]
+    order = lambda i: (i is not None, i or 0)
+    want = collections.Counter()
+    for i, text in rows:
+        gone, content = bytearray(len(text)), text.encode()
+        earlier = [t.encode() for j, t in rows if order(j) < order(i)]
+        for k in range(len(content) - 49):
+            if any(content[k : k + 50] in t for t in earlier):
+                gone[k : k + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(content, gone, strict=True) if not g)
+        want[i, len(content), sum(gone), hashlib.sha256(kept).hexdigest()] += 1
+    got = repeated_bytes.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == want
+
+
 def test_every_string_is_in_one_phrase_or_joint():
     import random
 
