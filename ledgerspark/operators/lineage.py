@@ -160,14 +160,64 @@ def cycles(sessions: DataFrame) -> DataFrame:
     return jump.select(F.col("up").alias("session")).distinct()
 
 
+#: What becomes of a session's start, not-fork and the two that only a graph tells among them.
+FORK_STATUSES = (
+    "not-fork", "conflicting-parent", "cycle", "missing-parent", "missing-fork-timestamp", "explicit-replay", "missing-parent-checkpoint",
+    "not-needed", "missing-child-total-timestamp", "child-counter-reset", "incomparable", "resolved",
+)
+
+
+def fork_graph(sessions: DataFrame) -> DataFrame:
+    """From sessions (session, parent, fork_ms), of which several may be of one session: a row a session with parent, fork_ms and state: not-fork,
+    conflicting-parent (several parents are named), cycle, missing-parent or fork. Of several rows the first by parent and time stands."""
+    order = F.struct(F.coalesce("parent", F.lit("")).alias("p"), F.coalesce("fork_ms", F.lit(2**62)).alias("f"))
+    one = sessions.groupBy("session").agg(F.min_by(F.struct("parent", "fork_ms"), order).alias("s"), F.count_distinct("parent").alias("n_parents"))
+    one = one.select("session", "s.parent", "s.fork_ms", "n_parents")
+    known = one.select(F.col("session").alias("parent"), F.lit(True).alias("_known"))
+    edges = one.filter("n_parents = 1").join(known, "parent", "left_semi").select("session", "parent")
+    on_cycle = cycles(edges).withColumn("_cycle", F.lit(True))
+    rows = one.join(known, "parent", "left").join(on_cycle, "session", "left")
+    state = (
+        F.when(F.col("n_parents") > 1, "conflicting-parent")
+        .when(F.col("parent").isNull(), "not-fork")
+        .when(F.col("_cycle").isNotNull(), "cycle")
+        .when(F.col("_known").isNull(), "missing-parent")
+        .otherwise("fork")
+    )
+    return rows.select("session", "parent", "fork_ms", state.alias("state"))
+
+
+def canonical_cycles(sessions: DataFrame) -> DataFrame:
+    """(first, members): each cycle of parents once, from its smallest session on, parent after child.
+
+    Sessions of a cycle find its smallest one, and how many steps off it is, by jumps that double; a cycle is gathered only as the row it is."""
+    on = stored(cycles(sessions))
+    step = sessions.join(on, "session", "left_semi").groupBy("session").agg(F.min("parent").alias("up"))
+    step = stored(step)
+    # over 2**k steps: where they lead, and the smallest session among those passed, the start included, with how many steps it takes to it
+    jump = step.select("session", "up", F.struct(F.col("session").alias("s"), F.lit(0).cast("long").alias("n")).alias("least"))
+    for k in range(step.count().bit_length()):
+        ahead = jump.select(F.col("session").alias("up"), F.col("up").alias("next"), F.col("least").alias("their"))
+        later = F.struct(F.col("their.s").alias("s"), (F.col("their.n") + 2**k).alias("n"))
+        jump = stored(jump.join(ahead, "up").select("session", F.col("next").alias("up"), F.least("least", later).alias("least")))
+    size = jump.groupBy(F.col("least.s").alias("first")).agg(F.count("*").alias("size"))
+    placed = jump.select(F.col("least.s").alias("first"), "session", F.col("least.n").alias("to_go")).join(size, "first")
+    order = F.struct(F.pmod(F.col("size") - F.col("to_go"), F.col("size")).alias("at"), "session")
+    return placed.groupBy("first").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["session"]).alias("members"))
+
+
 def reconcile(files: DataFrame, events: DataFrame) -> DataFrame:
-    """From files (path, session, parent, archived) and events (path, event_index, identity): what becomes of each file.
+    """From files (path, session, parent, archived, and fork_ms if there is one) and events (path, event_index, identity): what becomes of each file.
 
-    Files of one session must agree on the parent. If all have the same events, the first that isn't archived stays;
+    Files of one session must agree on the parent, and on when it forked where they tell. If all have the same events, the first that isn't archived stays;
     if all are prefixes of the longest, that stays; else the session is in conflict."""
     numbered = events.withColumn("at", F.row_number().over(Window.partitionBy("path").orderBy("event_index", "identity")))
     each = files.join(events.groupBy("path").agg(F.count("*").alias("n")), "path", "left").fillna(0, ["n"])
+    if "fork_ms" not in files.columns:
+        each = each.withColumn("fork_ms", F.lit(None).cast("long"))
+    base = F.min_by(F.struct("fork_ms"), F.struct("archived", "path"))["fork_ms"]
     own = each.groupBy("session").agg(
+        (base.isNotNull() & (F.coalesce(F.min("fork_ms") < base, F.lit(False)) | F.coalesce(F.max("fork_ms") > base, F.lit(False)))).alias("forks_differ"),
         F.min_by("path", F.struct("archived", "path")).alias("first"),
         F.min_by("path", F.struct((-F.col("n")).alias("n"), "archived", "path")).alias("longest"),
         (F.count_distinct(F.coalesce("parent", F.lit(""))) > 1).alias("parents_differ"),
@@ -184,7 +234,7 @@ def reconcile(files: DataFrame, events: DataFrame) -> DataFrame:
     rows = verdict.join(agreed, "session", "left")
     status = (
         F.when(F.col("session").isNull(), "orphan")
-        .when(F.col("parents_differ"), "metadata-conflict")
+        .when(F.col("parents_differ") | F.col("forks_differ"), "metadata-conflict")
         .when(~F.col("all_prefixes"), "divergent-events")
         .when(F.col("least") == F.col("most"), F.when(F.col("path") == F.col("first"), "kept").otherwise("exact-duplicate"))
         .when(F.col("path") == F.col("longest"), "kept")

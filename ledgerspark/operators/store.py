@@ -100,14 +100,49 @@ class Store:
         self.publish(records=now, cursors=others.unionByName(cursor.select(*cursors.columns)), buckets=rollup.buckets(now))
         return changed
 
-    def move_file(self, old_path: str, new_path: str) -> None:
-        """A file that was moved keeps its rows under its new path."""
+    def commit_scans(self, source: str, records: DataFrame, cursors: DataFrame, replaced: DataFrame, **more: DataFrame) -> int:
+        """The scans of many files in one publish: rows of replaced files (path) go, records come by id, and the cursors of what was read.
+
+        more: other tables to publish with them. Returns how many records changed; without a cursor nothing is published."""
+        if cursors.isEmpty():
+            return 0
+        old, held = self.table("records"), self.table("cursors")
+        old = records.limit(0) if old is None else old
+        held = cursors.limit(0) if held is None else held
+        mine = F.col("source").eqNullSafe(F.lit(source))
+        paths = replaced.select(F.col("path").alias("source_path"), F.lit(True).alias("_gone"))
+        marked = old.join(paths, "source_path", "left")
+        gone = mine & F.col("_gone").isNotNull()
+        kept, out = marked.filter(~gone).select(*old.columns), marked.filter(gone)
+        diff = matching.snapshot_diff(kept.join(records.select("id"), "id", "left_semi"), records.select(*old.columns), "id")
+        changed = diff.filter("change <> 'same'").count() + out.count()
+        tables = dict(more)
+        if changed:
+            tables["records"] = matching.upserted(kept, records.select(*old.columns))
+            tables["buckets"] = rollup.buckets(tables["records"])
+        read = cursors.select("source", "path").withColumns({"_s": F.col("source"), "_p": F.col("path")}).select("_s", "_p")
+        others = held.join(read, (F.col("source") == F.col("_s")) & (F.col("path") == F.col("_p")), "left_anti")
+        self.publish(cursors=others.unionByName(cursors.select(*held.columns)), **tables)
+        return changed
+
+    def move_file(self, old_path: str, new_path: str, size: int | None = None) -> None:
+        """A file that was moved keeps its rows under its new path; one that is shorter now than what was read of it is read anew."""
 
         def moved(column: str):
             return F.when(F.col(column) == old_path, new_path).otherwise(F.col(column))
 
         records, cursors = self.table("records"), self.table("cursors")
-        self.publish(records=records.withColumn("source_path", moved("source_path")), cursors=cursors.withColumn("path", moved("path")))
+        tables = {}
+        if records is not None:
+            tables["records"] = records.withColumn("source_path", moved("source_path"))
+        if cursors is not None:
+            if size is not None:
+                shorter = (F.col("path") == old_path) & (F.col("offset") > size)
+                for name in {"offset", "pending"} & {*cursors.columns}:
+                    cursors = cursors.withColumn(name, F.when(shorter, F.lit(0).cast("long")).otherwise(F.col(name)))
+            tables["cursors"] = cursors.withColumn("path", moved("path"))
+        if tables:
+            self.publish(**tables)
 
     def reset(self) -> None:
         """All statistics go; projects stay."""

@@ -111,27 +111,55 @@ def codex_events(lines: DataFrame) -> DataFrame:
             "model": _carry("_model"),
             "project_key": _carry("_project"),
             "raw_fingerprint": F.sha2(F.to_json("value"), 256),
+            "semantic_fingerprint": F.sha2(without_rate_limits(), 256),
+            "is_meta": meta,
+            "nested_usage": ~token & (F.col("_last").isNotNull() | F.col("_total").isNotNull()),
+            "legacy_flat": ~token & F.col("_payload").isNull() & F.col("_own_usage").isNull() & F.col("_flat").isNotNull(),
         }
     )
     rows = rows.withColumn("raw_identity", F.concat(F.lit("e"), F.col("event_index").cast("string"), F.lit(":h"), F.substring("raw_fingerprint", 1, 16)))
     heads = session_heads(rows)
-    last_context = rows.groupBy("path").agg(F.max_by("_session", F.when(F.col("_session").isNotNull(), F.col("event_index"))).alias("_context"))
+    def latest(name: str) -> Column:
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("event_index")))
+
+    last_context = rows.groupBy("path").agg(latest("_session").alias("_context"), latest("_parent").alias("_file_parent"))
     joined = rows.join(heads, "path", "left").join(last_context, "path", "left")
     return joined.select(
-        "path", "event_index", F.coalesce("session", "_context").alias("session"), F.coalesce("parent", "_parent").alias("parent"), "fork_ms", "ts_ms",
+        "path", "event_index", F.coalesce("session", "_context").alias("session"), F.coalesce("parent", "_file_parent").alias("parent"), "fork_ms", "ts_ms",
+        F.coalesce("session_conflicts", F.lit(0)).alias("session_conflicts"), F.coalesce("parent_conflicts", F.lit(0)).alias("parent_conflicts"),
         "model", "project_key", "response_id", "turn_id", "semantic_type", "is_token_count", "last", "total", "payload_usage", "raw_identity", "raw_fingerprint",
+        "semantic_fingerprint", "is_meta", "nested_usage", "legacy_flat",
     )
 
 
+def without_rate_limits() -> Column:
+    """The event as text, its payload's rate limits left out: what they hold changes while nothing else does."""
+    payload = F.try_variant_get("value", "$.payload", "map<string, variant>")
+    rest = F.map_filter(payload, lambda k, _: k != "rate_limits")
+    outer = F.map_filter(F.try_variant_get("value", "$", "map<string, variant>"), lambda k, _: k != "payload")
+
+    def text(m: Column) -> Column:
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(m, lambda _, v: F.to_json(v))))))
+
+    return F.when(is_object("$.payload"), F.concat(text(outer), F.lit("\n"), text(rest))).otherwise(F.to_json("value"))
+
+
+def codex_files(found: DataFrame, events: DataFrame) -> DataFrame:
+    """A row a file: path, session, parent, fork_ms, archived, session_conflicts, parent_conflicts; found has the paths of all files."""
+    own = events.groupBy("path").agg(F.max("session").alias("session"), F.max("parent").alias("parent"), F.max("fork_ms").alias("fork_ms"), F.max("session_conflicts").alias("session_conflicts"), F.max("parent_conflicts").alias("parent_conflicts"))
+    archived = F.array_contains(F.split(F.lower(F.translate("path", "\\", "/")), "/"), "archived_sessions")
+    return found.select("path").join(own, "path", "left").withColumn("archived", archived).fillna(0, ["session_conflicts", "parent_conflicts"])
+
+
 def session_heads(rows: DataFrame) -> DataFrame:
-    """path, session, parent, fork_ms and conflicts by a fold over the few session_meta events of each file.
+    """path, session, parent, fork_ms, session_conflicts and parent_conflicts by a fold over the few session_meta events of each file.
 
     The first that names a session decides. A later one for a known ancestor is a replay and only tells of
     its own parent; any other one that differs is a conflict."""
     metas = rows.filter("outer_type = 'session_meta'").groupBy("path").agg(
         F.array_sort(F.collect_list(F.struct("event_index", F.col("_session").alias("s"), F.col("_parent").alias("p"), F.col("ts_ms").alias("t")))).alias("m")
     )
-    start = F.expr("named_struct('session', cast(null as string), 'parent', cast(null as string), 'fork', cast(null as bigint), 'known', cast(array() as array<string>), 'conflicts', 0L)")
+    start = F.expr("named_struct('session', cast(null as string), 'parent', cast(null as string), 'fork', cast(null as bigint), 'known', cast(array() as array<string>), 'sessions', 0L, 'parents', 0L)")
 
     def step(a: Column, m: Column) -> Column:
         primary = a["session"].isNull() & m["s"].isNotNull()
@@ -145,57 +173,95 @@ def session_heads(rows: DataFrame) -> DataFrame:
             parent.alias("parent"),
             fork.alias("fork"),
             F.array_compact(F.array_append(a["known"], m["p"])).alias("known"),
-            (a["conflicts"] + odd.cast("long") + odd_parent.cast("long")).alias("conflicts"),
+            (a["sessions"] + odd.cast("long")).alias("sessions"),
+            (a["parents"] + odd_parent.cast("long")).alias("parents"),
         )
 
     folded = metas.select("path", F.aggregate("m", start, step).alias("a"))
-    return folded.select("path", "a.session", "a.parent", F.col("a.fork").alias("fork_ms"), F.col("a.conflicts").alias("conflicts"))
+    return folded.select("path", "a.session", "a.parent", F.col("a.fork").alias("fork_ms"), F.col("a.sessions").alias("session_conflicts"), F.col("a.parents").alias("parent_conflicts"))
 
 
 def _first_usage_number(name: str) -> Column:
     return F.coalesce(number_at(f"$.message.usage.{name}", f"$.usage.{name}"), F.lit(0.0)).cast("long")
 
 
-def claude_records(lines: DataFrame, ingest_ms: int) -> DataFrame:
-    """Usage records of complete lines. A message's usage that repeats adds nothing, one that changed replaces what was."""
-    rows = lines.filter("value is not null").withColumns(
-        {
-            "_model": text_at("$.message.model", "$.model"),
-            "_session": text_at("$.sessionId", "$.session_id"),
-            "_cwd": text_at("$.cwd", "$.message.cwd"),
-        }
-    )
-    rows = rows.withColumns({"model": _carry("_model"), "session_id": _carry("_session"), "_dir": _carry("_cwd")})
+CLAUDE_USAGE = ("input_tokens", "cached_input_tokens", "cache_creation_input_tokens", "output_tokens")
+_CLAUDE = ["path", "event_index", "usage_key", "_model", "_session", "_cwd", *CLAUDE_USAGE]
+
+
+def _claude_events(lines: DataFrame, ingest_ms: int) -> DataFrame:
+    """Complete lines with what is read of them; `counts` marks those that have usage."""
+    # The names of usage counters and of ids in logs.
     names = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+    ids = ("uuid", "id", "event_id", "eventId", "response_id", "responseId", "turn_id", "turnId", "item_id", "itemId", "request_id", "requestId")
     some = F.lit(False)
     for n in names:
         some = some | _at(f"$.message.usage.{n}").isNotNull() | _at(f"$.usage.{n}").isNotNull()
     ephemeral = _first_usage_number("cache_creation.ephemeral_5m_input_tokens") + _first_usage_number("cache_creation.ephemeral_1h_input_tokens")
     message, request = text_at("$.message.id"), text_at("$.requestId", "$.request_id", "$.message.requestId", "$.message.request_id")
-    ids = ("uuid", "id", "event_id", "eventId", "response_id", "responseId", "turn_id", "turnId", "item_id", "itemId", "request_id", "requestId")
-    rows = rows.filter(some & F.col("model").isNotNull()).withColumns(
+    return lines.filter("value is not null").withColumns(
         {
+            "_model": text_at("$.message.model", "$.model"),
+            "_session": text_at("$.sessionId", "$.session_id"),
+            "_cwd": text_at("$.cwd", "$.message.cwd"),
+            "counts": some,
             "usage_key": F.when(message.isNotNull(), F.concat(message, F.lit(":"), F.coalesce(request, F.lit("")))),
             "own_id": text_at(*[f"$.{n}" for n in ids]),
             "ts_ms": F.coalesce(timestamp_ms("$.timestamp"), F.lit(ingest_ms)),
-            "project_key": F.coalesce(F.element_at(F.split(F.regexp_replace("_dir", r"[\\/]+$", ""), r"[\\/]"), -1), F.lit("unknown")),
             "input_tokens": _first_usage_number("input_tokens"),
             "cached_input_tokens": _first_usage_number("cache_read_input_tokens"),
             "cache_creation_input_tokens": F.greatest(_first_usage_number("cache_creation_input_tokens"), ephemeral),
             "output_tokens": _first_usage_number("output_tokens"),
-            "reasoning_output_tokens": F.lit(0).cast("long"),
         }
-    )
-    usage = F.struct("input_tokens", "cached_input_tokens", "cache_creation_input_tokens", "output_tokens")
+    ).drop("value")
+
+
+def _claude_usage(events: DataFrame) -> DataFrame:
+    """From events of _claude_events: those whose usage counts, with the model, session and folder that hold there. A message's usage that
+    repeats is none."""
+    rows = events.withColumns({"model": _carry("_model"), "session_id": _carry("_session"), "_dir": _carry("_cwd")})
+    rows = rows.filter(F.col("counts") & F.col("model").isNotNull())
+    usage = F.struct(*CLAUDE_USAGE)
     before = F.lag(usage).over(Window.partitionBy("path", "usage_key").orderBy("event_index"))
     rows = rows.withColumn("_usage", usage).withColumn("_before", F.when(F.col("usage_key").isNotNull(), before))
-    rows = rows.filter(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col("_usage")))
+    return rows.filter(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col("_usage")))
+
+
+def _claude_records(rows: DataFrame) -> DataFrame:
+    """Records of usage: of several with one id the last stands."""
+    # without a folder in the log, the one that the log lies in
+    project = F.coalesce(F.element_at(F.split(F.regexp_replace("_dir", r"[\\/]+$", ""), r"[\\/]"), -1), F.try_element_at(F.split("path", r"[\\/]"), F.lit(-2)), F.lit("unknown"))
     scope = F.coalesce("session_id", "path")
     by_key = F.concat(F.lit("claude:"), F.substring(F.sha2(F.concat_ws("\n", scope, "usage_key"), 256), 1, 16))
     by_content = F.concat(F.lit("claude:h"), F.substring(F.sha2(F.concat_ws("\n", scope, "line"), 256), 1, 16))
     record = F.coalesce(F.when(F.col("usage_key").isNotNull(), by_key), F.concat(F.lit("claude:"), F.col("own_id")), by_content)
     found = rows.select(
-        record.alias("id"), F.lit("claude").alias("source"), F.col("path").alias("source_path"), "session_id", "ts_ms", "model", "project_key", "event_index",
-        "input_tokens", "cached_input_tokens", "cache_creation_input_tokens", "output_tokens", "reasoning_output_tokens",
+        record.alias("id"), F.lit("claude").alias("source"), F.col("path").alias("source_path"), "session_id", "ts_ms", "model", project.alias("project_key"), "event_index",
+        *CLAUDE_USAGE, F.lit(0).cast("long").alias("reasoning_output_tokens"),
     )
     return last_by(found, "id", ["source_path", "event_index"]).drop("event_index")
+
+
+def claude_records(lines: DataFrame, ingest_ms: int) -> DataFrame:
+    """Usage records of complete lines. A message's usage that repeats adds nothing, one that changed replaces what was."""
+    return _claude_records(_claude_usage(_claude_events(lines, ingest_ms)))
+
+
+def claude_scan(lines: DataFrame, ingest_ms: int, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records of lines that go on where others ended, and the state after them: for each file the last model, session and folder
+    (no usage_key), and for each message its last usage, all as rows before the first line."""
+    new = _claude_events(lines, ingest_ms)
+    held = state.withColumn("counts", F.col("usage_key").isNotNull())
+    events = new.unionByName(held, allowMissingColumns=True)
+    # a state's rows count as usage only to be compared with: they have no line
+    records = _claude_records(_claude_usage(events).filter("line is not null"))
+    context = events.groupBy("path").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("event_index"))).alias(c) for c in ("_model", "_session", "_cwd")]
+    )
+    # usage before a model was known isn't remembered
+    usage = _claude_usage(events).filter("usage_key is not null").groupBy("path", "usage_key")
+    usage = usage.agg(F.max_by(F.struct(*CLAUDE_USAGE), "event_index").alias("u")).select("path", "usage_key", "u.*")
+    none = [F.lit(None).cast("long").alias(c) for c in CLAUDE_USAGE]
+    rows = context.select("path", F.lit(-2).cast("long").alias("event_index"), F.lit(None).cast("string").alias("usage_key"), "_model", "_session", "_cwd", *none)
+    texts = [F.lit(None).cast("string").alias(c) for c in ("_model", "_session", "_cwd")]
+    return records, rows.unionByName(usage.select("path", F.lit(-1).cast("long").alias("event_index"), "usage_key", *texts, *CLAUDE_USAGE))

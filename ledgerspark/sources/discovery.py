@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jsonl
+from . import decoders, jsonl
 
 # Folders below a user's home, by agent: the agent's own, and those of its logs.
 HOMES = {"claude": ".claude", "codex": ".codex"}
@@ -49,3 +49,11 @@ def session_heads(found: DataFrame) -> DataFrame:
     )
     first = meta.groupBy("path").agg(F.min_by("m", "event_index").alias("m"))
     return found.select("path").join(first, "path", "left").select("path", "m.session_id", "m.parent_id")
+
+
+def claude_heads(found: DataFrame) -> DataFrame:
+    """path, logical_id: the first session that a complete line of a file's first 64 KiB names; null without one."""
+    events = jsonl.lines(jsonl.peeked(found)).filter("value is not null")
+    named = events.withColumn("s", decoders.text_at("$.sessionId", "$.session_id", "$.message.sessionId", "$.message.session_id"))
+    first = named.filter("s is not null").groupBy("path").agg(F.min_by("s", "event_index").alias("logical_id"))
+    return found.select("path").join(first, "path", "left")

@@ -36,6 +36,15 @@ def windowed(records: DataFrame, late: str = "1 day", width: str = "30 minutes")
     )
 
 
+def _of(rows: DataFrame, touched: DataFrame, how: str) -> DataFrame:
+    """The rows whose bucket is, or isn't, among those touched; a missing project or model is one of its own."""
+    named = touched.select(*[F.col(c).alias(f"_{c}") for c in touched.columns])
+    same = F.lit(True)
+    for c in touched.columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(named, same, how)
+
+
 def apply_batch(store: Store, batch: DataFrame, number: int | None = None, stream: str = "records") -> None:
     """One micro-batch: upsert by id, the last of a batch by time wins, and the touched buckets anew, in one publish.
 
@@ -50,10 +59,9 @@ def apply_batch(store: Store, batch: DataFrame, number: int | None = None, strea
     before = old.join(batch.select("id").distinct(), "id", "left_semi")
     touched = before.unionByName(batch.select(*old.columns)).select("source", "model", "project_key", bucket_start(F.col("ts_ms")).alias("bucket_start")).distinct()
     records = matching.upserted(old, batch.select(*old.columns), "id", ["ts_ms", *COUNTERS])
-    keys = ["source", "model", "project_key", "bucket_start"]
-    fresh = buckets(records.withColumn("bucket_start", bucket_start(F.col("ts_ms"))).join(touched, keys, "left_semi").drop("bucket_start"))
+    fresh = buckets(_of(records.withColumn("bucket_start", bucket_start(F.col("ts_ms"))), touched, "left_semi").drop("bucket_start"))
     known = store.table("buckets")
-    summed = fresh if known is None else known.join(touched, keys, "left_anti").unionByName(fresh.select(*known.columns))
+    summed = fresh if known is None else _of(known, touched, "left_anti").unionByName(fresh.select(*known.columns))
     store.publish(marks=None if number is None else {stream: number}, records=records, buckets=summed)
 
 
