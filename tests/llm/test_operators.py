@@ -565,6 +565,42 @@ def test_near_passages_recall(spark):
         assert len(pairs & found) >= 0.9 * len(pairs), percent
 
 
+def edited(rng, passage, at):
+    return [*passage[:at], *fresh(rng, 1), *passage[at + 1 :]]
+
+
+def test_passages_among_short_pieces_of_them(spark):
+    """Passages that two documents share, one word changed, beside many that hold a piece of 26 words; one that all of the documents of
+    some pairs have as well."""
+    import random
+
+    rng = random.Random(21)
+    rows, want = [], set()
+
+    def add(words):
+        rows.append((len(rows), " ".join([*fresh(rng, rng.randint(20, 60)), *words, *fresh(rng, rng.randint(20, 60))]), "", "", 0, 0, "", 0))
+        return len(rows) - 1
+
+    shared = fresh(rng, 60)
+    for kind, n_pairs, n_pieces in (("lone", 6, 60), ("common", 24, 10)):
+        for _ in range(n_pairs):
+            passage = fresh(rng, 60)
+            more = lambda kind=kind: [*fresh(rng, 30), *shared] if kind == "common" else []
+            pieces = [(k, passage[k : k + 26]) for k in (rng.randint(0, 34) for _ in range(n_pieces))]
+            for _, piece in pieces[::2]:
+                add(piece)
+            pair = add(passage + more()), add(edited(rng, passage, rng.randint(20, 40)) + more())
+            for _, piece in pieces[1::2]:
+                add(piece)
+            want.add((pair[1], pair[0]))
+    found = near_passages.near_passages(frame(spark, rows)).collect()
+    words = {r[0]: r[1].split() for r in rows}
+    own = {(r["doc_id"], r["other_id"]) for r in found if not {*shared} & {*words[r["doc_id"]][r["begin"] : r["end"]]}}
+    assert len(want & own) >= 0.9 * len(want)
+    boilerplate = {x for r in found for x in (r["doc_id"], r["other_id"]) if {*shared} <= {*words[r["doc_id"]][r["begin"] : r["end"]]}}
+    assert len(boilerplate) == 48
+
+
 def test_compact_windows_hold_every_subsequence_once():
     rng = np.random.default_rng(1)
     values = rng.permutation(80)
