@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import accounting, usage
+from .plans import accounting, logs, usage
 
-QUERIES = {**usage.QUERIES, **accounting.QUERIES}
-ORACLES: dict[str, str] = {**usage.ORACLES, **accounting.ORACLES}
+QUERIES = {**usage.QUERIES, **accounting.QUERIES, **logs.QUERIES}
+ORACLES: dict[str, str] = {**usage.ORACLES, **accounting.ORACLES, **logs.ORACLES}
