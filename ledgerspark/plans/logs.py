@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import duplicates, flow, payloads
+from ..operators import duplicates, flow, older, payloads
 from ..sources.tables import COUNTERS_SQL, counter_events
 from .accounting import FORK_MS, _sessions, _SESSIONS_SQL
 
@@ -112,7 +112,40 @@ def _payloads(spark, d):
     return found.select("id", "matched_id", "disposition", "evidence", "reason", "tokens")
 
 
+def _older_events(spark, d):
+    """A user's events as a file: the first names session, folder and fork, now and then one names the model, and some share an id."""
+    rows = counter_events(spark, d).selectExpr(
+        "cast(substr(session, 2) as bigint) as u", "session as own", "event_index", "ts_ms", "k", "row_number() over (partition by session order by event_index) - 1 as n",
+        "sum(k) over (partition by session order by event_index) as t",
+    )
+    return rows.selectExpr(
+        "concat('f', cast(u as string)) as path", "event_index", "case when n = 0 then own end as session",
+        "case when n = 0 and u % 5 = 0 then concat('s', cast(u - 1 as string)) end as forked_from", "case when n % 7 = 0 and (u % 11 > 0 or n > 0) then concat('m', cast(n % 2 as string)) end as model",
+        "case when n = 0 then concat('p', cast(u % 4 as string)) end as project_key", "ts_ms", _counters("case when n % 3 = 0 then k end") + " as last",
+        _counters("case when n % 4 in (1, 2) then t end", "t") + " as total", _counters("case when n % 3 = 2 then k end") + " as flat",
+        "case when n % 3 = 0 or n % 4 in (1, 2) then 'token-count' else 'payload-usage' end as source_kind",
+        "case when event_index % 3 > 0 then concat('x', cast(event_index div 3 as string)) end as own_id", "cast(event_index as string) as content",
+    )
+
+
+def _older_contributions(spark, d):
+    found = older.contributions(_older_events(spark, d))
+    return found.select("path", "event_index", "session", "model", F.col("usage.input").alias("input"), F.col("usage.output").alias("output"), "tokens", F.col("baseline").isNotNull().alias("has_baseline"))
+
+
+def _older_totals(spark, d):
+    return older.totals(older.records(older.contributions(_older_events(spark, d))))
+
+
+def _older_forks(spark, d):
+    found = older.fork_traces(older.contributions(_older_events(spark, d)))
+    return found.select("session", "parent", *[F.col(f"{x}.{f}").alias(f"{x}_{f}") for x in ("baseline", "first_total", "contribution") for f in ("input", "output")])
+
+
 QUERIES = {
+    "older_contributions": _older_contributions,
+    "older_totals": _older_totals,
+    "older_forks": _older_forks,
     "v5_records": _flow_records,
     "v5_sessions": _flow_sessions,
     "v5_gates": _flow_gates,
@@ -229,7 +262,38 @@ why AS (
     WHEN n_total > 0 THEN 'same-total-different-components' ELSE 'different-components' END AS reason
   FROM p LEFT JOIN rest USING (id))"""
 
+_OLDER_SQL = f"""WITH {COUNTERS_SQL},
+b AS (
+  SELECT CAST(substr(session, 2) AS BIGINT) AS u, session, event_index, ts_ms, k, row_number() OVER w - 1 AS n, CAST(sum(k) OVER w AS BIGINT) AS t
+  FROM counters WINDOW w AS (PARTITION BY session ORDER BY event_index)),
+m AS (
+  SELECT *, last_value(CASE WHEN n % 7 = 0 AND (u % 11 > 0 OR n > 0) THEN 'm' || (n % 2) END IGNORE NULLS) OVER (PARTITION BY u ORDER BY event_index) AS model,
+    n % 4 IN (1, 2) AS has_total FROM b),
+v AS (SELECT * FROM m WHERE model IS NOT NULL AND (n % 3 <> 1 OR has_total)),
+ends AS (SELECT u, arg_max(t, event_index) AS t FROM v WHERE has_total GROUP BY u),
+s AS (
+  SELECT v.*, last_value(CASE WHEN has_total THEN v.t END IGNORE NULLS) OVER (PARTITION BY v.u ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
+    CASE WHEN v.u % 5 = 0 AND 'f' || (v.u - 1) < 'f' || v.u AND n > 0 THEN ends.t END AS g FROM v LEFT JOIN ends ON ends.u = v.u - 1),
+c AS (
+  SELECT *, CASE WHEN n % 3 = 0 AND NOT (has_total AND g IS NOT NULL AND p IS NULL) THEN k - k // 4 WHEN has_total THEN greatest(t - t // 4 - coalesce(coalesce(p, g) - coalesce(p, g) // 4, 0), 0) ELSE k - k // 4 END AS i,
+    CASE WHEN n % 3 = 0 AND NOT (has_total AND g IS NOT NULL AND p IS NULL) THEN k // 4 WHEN has_total THEN greatest(t // 4 - coalesce(coalesce(p, g) // 4, 0), 0) ELSE k // 4 END AS o FROM s)"""
+
 ORACLES = {
+    "older_contributions": f"""{_OLDER_SQL}
+SELECT 'f' || u AS path, event_index, session, model, i AS input, o AS output, i + o AS tokens, g IS NOT NULL AS has_baseline FROM c""",
+    "older_totals": f"""{_OLDER_SQL},
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY CASE WHEN event_index % 3 > 0 THEN 'x' || (event_index // 3) ELSE 'e' || event_index END ORDER BY 'f' || u DESC, event_index DESC) AS rn FROM c WHERE i + o > 0),
+q AS (SELECT * FROM r WHERE rn = 1),
+d AS (
+  SELECT 'session' AS dimension, session AS value, i + o AS tokens FROM q
+  UNION ALL SELECT 'day', strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d'), i + o FROM q
+  UNION ALL SELECT 'source', CASE WHEN n % 3 = 0 OR has_total THEN 'token-count' ELSE 'payload-usage' END, i + o FROM q)
+SELECT dimension, value, count(*) AS records, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL""",
+    "older_forks": f"""{_OLDER_SQL}
+SELECT session, 's' || (u - 1) AS parent, g - g // 4 AS baseline_input, g // 4 AS baseline_output, CASE WHEN has_total THEN t - t // 4 END AS first_total_input, CASE WHEN has_total THEN t // 4 END AS first_total_output,
+  CASE WHEN i + o > 0 THEN i END AS contribution_input, CASE WHEN i + o > 0 THEN o END AS contribution_output
+FROM c WHERE u % 5 = 0 AND (n % 3 = 0 OR has_total) QUALIFY row_number() OVER (PARTITION BY u ORDER BY event_index) = 1""",
     "v5_records": f"""{_FLOW_SQL}
 SELECT 'codex:v5:' || session || ':e' || event_index || ':h' || event_index || ':0' AS id, 'codex' AS source, session AS session_id, ts_ms, coalesce(model, 'unknown') AS model,
   'p' || (event_index % 3) AS project_key, i AS input_tokens, 0::BIGINT AS cached_input_tokens, 0::BIGINT AS cache_creation_input_tokens, o AS output_tokens, 0::BIGINT AS reasoning_output_tokens
