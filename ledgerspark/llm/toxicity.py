@@ -7,7 +7,8 @@ read as these, other signs dropped; both ends of a word are letters of their own
 spaces are also read as one word. Spans over MAX_SPAN weigh nothing.
 
 Learning sees labelled documents whose crc32(doc_id) mod 5 isn't 0, at most about ``train_rows`` of them,
-by hash. Words found in toxic documents far more often than in others (likelihood ratio) are the insults
+by hash. Of their words it takes those of 3 to 40 letters, at most 2,000 as insults and ``n_words`` others (a quarter of them at a time), and makes gapped
+spellings of the 500 surest insults: bounds of fitting, as scoring reads every word. Words found in toxic documents far more often than in others (likelihood ratio) are the insults
 to learn, other words the counterpart; landmarks are some of both. The machine is fitted in the space
 of the landmarks. A text scores by its two worst words, on a logistic scale fitted to the labels.
 
@@ -17,7 +18,7 @@ without spaces is one, is read to its end in pieces that overlap, as one insult
 don't overlap count as words.
 
 Cases: null and empty texts score as texts without a bad word; a null label teaches nothing; a null
-doc_id counts as held out; without toxic training rows all texts score 0. Repeated rows are scored each.
+doc_id counts as held out; without toxic or without other training rows all texts have one score near 0. Repeated rows are scored each.
 An empty table gives an empty result. Other columns play no part.
 """
 
