@@ -10,7 +10,7 @@ A surrogate follows from the key and the entity's normal form alone, so one pers
 documents and layouts (coreference). All distinct entities are then checked: where two of a kind got one
 surrogate, or a surrogate is some real entity, those but the first are drawn again, until all differ.
 
-Only distinct entities are compared, and only texts with entities are moved, to meet their replacements.
+Only distinct entities are compared; texts are joined with the replacements of their entities, those without any too.
 
 Cases: null texts stay null and empty ones empty; both have 0 entities. Repeated rows get the same text. A null
 doc_id stays null. An empty table gives an empty result. Other columns play no part. Very long texts are whole.
