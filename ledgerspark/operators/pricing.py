@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.store import small
 from ..functions.usage import normalized_model
 
 # Id, exact names, aliases, families, then the price of a million input, cached input, cache creation
@@ -79,7 +80,7 @@ def dollars(units: Column) -> Column:
 def priced(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """rows (with model and counters) with match_kind, price_id, cost_units."""
     found = resolve(rows, prices).drop("normalized_model")
-    joined = rows.join(F.broadcast(found), "model", "left")  # a row a model; a corpus has few
+    joined = rows.join(small(found), "model", "left")
     return joined.withColumn("cost_units", cost_units()).drop("in_price", "cached_price", "creation_price", "out_price")
 
 

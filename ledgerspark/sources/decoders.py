@@ -79,6 +79,7 @@ def _carry(column: str) -> Column:
 def codex_events(lines: DataFrame) -> DataFrame:
     """Accounting events of complete lines: identity, context, and the last, total and payload counters as structs."""
     rows = lines.filter("value is not null")
+    # Here and below, the names of fields in logs and the order in which they are looked up.
     # where there is no payload, the event is its own
     has_payload = is_object("$.payload")
     own = {n: F.when(has_payload, text_at(f"$.payload.{n}")).otherwise(text_at(f"$.{n}")) for n in ("type", "id", "session_id", "sessionId", "forked_from_id", "forkedFromId", "cwd", "project", "model")}
