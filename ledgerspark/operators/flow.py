@@ -72,6 +72,7 @@ class Flow:
     canonical: DataFrame
     diagnostics: DataFrame  # name (step and count), n
     gates: DataFrame  # gate, n_broken, holds
+    steps: dict[str, DataFrame]  # own (events of kept files), tokens, counted, canonical (before replays), replays, statuses
 
     def safe(self) -> bool:
         return self.gates.agg(F.bool_and("holds")).first()[0] is not False
@@ -245,7 +246,8 @@ def run(files: DataFrame, events: DataFrame, status: DataFrame | None = None) ->
         counts = counts.unionByName(one)
     counts = stored(counts)
     diagnostics = stored(counts.unionByName(invariants(counts)))
-    return Flow(records, of_session, told, suppressed, resolved, kept, diagnostics, gates(diagnostics))
+    steps = {"own": own, "tokens": tokens, "counted": counted, "canonical": canonical, "replays": replayed, "statuses": statuses}
+    return Flow(records, of_session, told, suppressed, resolved, kept, diagnostics, gates(diagnostics), steps)
 
 
 #: What must be equal: a count and those that it is the sum of.

@@ -72,13 +72,16 @@ def contributions(events: DataFrame) -> DataFrame:
     return rows.filter("valid").withColumn("usage", usage).withColumn("tokens", usage_total(F.col("usage"))).drop("_baseline", "known_after")
 
 
+def record_id() -> Column:
+    """The id of a row of carried_events: its own, or else one by its session and content."""
+    by_content = F.concat(F.lit("codex:h"), F.substring(F.sha2(F.concat_ws("\n", F.coalesce("session", "path"), "content"), 256), 1, 16))
+    return F.coalesce(F.concat(F.lit("codex:"), F.col("own_id")), by_content)
+
+
 def records(rows: DataFrame) -> DataFrame:
     """Records of contributions that have tokens: of several with one id the last by file and place stands."""
-    scope = F.coalesce("session", "path")
-    by_content = F.concat(F.lit("codex:h"), F.substring(F.sha2(F.concat_ws("\n", scope, "content"), 256), 1, 16))
-    record = F.coalesce(F.concat(F.lit("codex:"), F.col("own_id")), by_content)
     found = rows.filter("tokens > 0").select(
-        record.alias("id"), "path", "event_index", F.col("session").alias("session_id"), "ts_ms", "model", F.coalesce("project_key", F.lit("unknown")).alias("project_key"),
+        record_id().alias("id"), "path", "event_index", F.col("session").alias("session_id"), "ts_ms", "model", F.coalesce("project_key", F.lit("unknown")).alias("project_key"),
         "source_kind", "usage", "tokens",
     )
     return last_by(found, "id", ["path", "event_index"])

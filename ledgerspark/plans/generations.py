@@ -1,0 +1,144 @@
+"""Queries that set the older accounting of logs beside the present one: how records are mapped to events, and why tokens differ.
+
+The comparison runs both over the same logs, which are made of the table of events as in logs.py. The mapping has records and
+candidates of its own, three events of the table to an id, so that each way of telling candidates apart occurs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import comparator, older
+from ..sources.tables import COUNTERS_SQL, counter_events
+from .accounting import _sessions
+from .logs import _FLOW_SQL, _flow, _log
+
+_USAGE = "named_struct('input', {0}, 'cached', 0L, 'creation', 0L, 'output', 0L, 'reasoning', 0L)"
+
+
+def _mapping(spark, d):
+    rows = counter_events(spark, d).selectExpr("event_index as e", "event_index div 3 as g", "event_index % 3 as j", "event_index div 3 % 8 as mode", "session as s", "ts_ms as t", "k")
+    rows = rows.selectExpr(
+        "*", "if(mode < 2, s, concat('s', cast(g as string))) as session", "concat('e', cast(e as string)) as raw_identity", "if(mode between 2 and 6, g * 1000, t) as ts_ms", "'token-count' as source_kind"
+    )
+    found = rows.filter("mode > 0 or j = 0").selectExpr(
+        "concat(if(mode = 7, 'y', 'x'), cast(g as string)) as id", "session", "raw_identity", "'f' as path", "e as event_index", "ts_ms", "source_kind", "'token_count' as semantic_type",
+        "concat('c', cast(if(mode = 2, g, e) as string)) as raw_fingerprint", "concat('m', cast(if(mode in (2, 3), g, e) as string)) as semantic_fingerprint",
+    )
+    kept = rows.filter("mode <> 5").selectExpr("session", "raw_identity", _USAGE.format("case when mode in (2, 3) then g % 100 when mode = 6 then k + 7 else k + j * 1000 end") + " as usage")
+    gone = rows.filter("mode = 5").selectExpr("session", "raw_identity", _USAGE.format("k + j") + " as usage")
+    records = rows.filter("j = if(mode = 4, 1, 0)").selectExpr(
+        "concat('x', cast(g as string)) as id", "session as session_id", "ts_ms", "source_kind", _USAGE.format("case mode when 2 then g % 100 + 1 when 3 then g % 100 when 4 then k + 1000 else k end") + " as usage"
+    )
+    return comparator.mapped(records, found, kept, gone)
+
+
+def _mapped(spark, d):
+    return _mapping(spark, d)[0]
+
+
+def _collisions(spark, d):
+    return _mapping(spark, d)[1]
+
+
+def _both(spark, d):
+    """The flow and the comparison over one log: its first event names session and fork, and no event has an id of its own."""
+    found = _flow(spark, d)
+    log = _log(spark, d)
+    first = log.groupBy("path").agg(F.min("event_index").alias("event_index"), F.first("session").alias("named"))
+    named = first.join(_sessions(spark, d).selectExpr("session as named", "parent"), "named", "left")
+    events = log.drop("session").join(named, ["path", "event_index"], "left").selectExpr(
+        "path", "event_index", "named as session", "parent as forked_from", "model", "project_key", "ts_ms", "last", "total", "payload_usage as flat",
+        "if(is_token_count, 'token-count', 'payload-usage') as source_kind", "cast(null as string) as own_id", "raw_fingerprint as content",
+    )
+    rows = older.contributions(events)
+    entries, mapping = comparator.compared(found, older.records(rows), comparator.candidates(log, older.carried_events(events)))
+    return found, entries, mapping, older.records(rows)
+
+
+def _differences(spark, d):
+    number = F.substring("raw_identity", 2, 40)
+    rows = _both(spark, d)[1].filter("reason <> 'same'")
+    return rows.select("session", F.split(number, ":")[0].cast("long").alias("event_index"), "reason", "explained", "older_tokens", "tokens", "delta")
+
+
+def _reasons(spark, d):
+    return comparator.by_reason(_both(spark, d)[1].filter("reason <> 'same'"))
+
+
+def _by_session(spark, d):
+    return comparator.by_session(_both(spark, d)[1])
+
+
+QUERIES = {
+    "generation_mapping": _mapped,
+    "generation_collisions": _collisions,
+    "generation_differences": _differences,
+    "generation_reasons": _reasons,
+    "generation_sessions": _by_session,
+}
+
+_MAPPING_SQL = f"""WITH {COUNTERS_SQL},
+r AS (
+  SELECT event_index AS e, event_index // 3 AS g, event_index % 3 AS j, event_index // 3 % 8 AS mode, k, 'e' || event_index AS raw_identity,
+    CASE WHEN event_index // 3 % 8 < 2 THEN session ELSE 's' || (event_index // 3) END AS session,
+    CASE WHEN event_index // 3 % 8 BETWEEN 2 AND 6 THEN event_index // 3 * 1000 ELSE ts_ms END AS ts FROM counters),
+rec AS (
+  SELECT 'x' || g AS id, session AS rs, ts AS rt, CASE mode WHEN 2 THEN g % 100 + 1 WHEN 3 THEN g % 100 WHEN 4 THEN k + 1000 ELSE k END AS u FROM r WHERE j = CASE WHEN mode = 4 THEN 1 ELSE 0 END),
+c AS (
+  SELECT CASE WHEN mode = 7 THEN 'y' ELSE 'x' END || g AS id, session, raw_identity, e, ts, CASE WHEN mode = 2 THEN g ELSE e END AS raw, CASE WHEN mode IN (2, 3) THEN g ELSE e END AS meaning,
+    CASE WHEN mode = 5 THEN NULL WHEN mode IN (2, 3) THEN g % 100 WHEN mode = 6 THEN k + 7 ELSE k + j * 1000 END AS kept, CASE WHEN mode = 5 THEN k + j END AS gone
+  FROM r WHERE mode > 0 OR j = 0),
+a AS (SELECT c.*, rs, rt, u, count(*) OVER (PARTITION BY id) AS n_all, count(*) FILTER (session = rs) OVER (PARTITION BY id) AS n1 FROM c JOIN rec USING (id)),
+b AS (SELECT *, count(*) FILTER (ts = rt) OVER (PARTITION BY id) AS n2 FROM a WHERE n1 = 0 OR session = rs),
+left_ AS (SELECT * FROM b WHERE n2 = 0 OR ts = rt),
+facts AS (
+  SELECT id, any_value(n_all) AS n_all, count(*) AS n, count(*) FILTER (kept = u) AS n_match, count(*) FILTER (gone = u) AS n_gone,
+    count(DISTINCT session) = 1 AND count(DISTINCT ts) = 1 AS alike, count(DISTINCT raw) AS n_raw, count(DISTINCT meaning) AS n_meaning, count(DISTINCT kept) AS n_kept, count(kept) AS has_kept,
+    min(e) AS e_first, min(e) FILTER (kept = u) AS e_match, min(e) FILTER (gone = u) AS e_gone FROM left_ GROUP BY id),
+kinds AS (
+  SELECT rec.id, coalesce(n, 0) AS n, coalesce(n_all, 0) AS n_all, coalesce(n_match, 0) AS n_match, CASE WHEN n IS NULL THEN 'unmapped' WHEN n = 1 AND n_all = 1 THEN 'unique' WHEN n = 1 THEN 'resolved-metadata'
+    WHEN alike AND n_raw = 1 AND n_kept = 1 AND has_kept = n THEN 'equivalent-collision' WHEN n_match = n AND alike AND n_meaning = 1 THEN 'equivalent-usage-collision'
+    WHEN n_match = 1 THEN 'resolved-usage' WHEN n_gone = 1 THEN 'resolved-semantic-suppression' ELSE 'ambiguous' END AS kind, e_first, e_match, e_gone FROM rec LEFT JOIN facts USING (id)),
+told AS (
+  SELECT *, CASE kind WHEN 'resolved-usage' THEN e_match WHEN 'resolved-semantic-suppression' THEN e_gone WHEN 'ambiguous' THEN NULL WHEN 'unmapped' THEN NULL ELSE e_first END AS e FROM kinds)"""
+
+_BOTH_SQL = f"""{_FLOW_SQL},
+carried AS (
+  SELECT *, last_value(model IGNORE NULLS) OVER w AS known, row_number() OVER w AS place FROM e WINDOW w AS (PARTITION BY session ORDER BY event_index)),
+valid AS (SELECT * FROM carried WHERE known IS NOT NULL),
+ends AS (SELECT session, arg_max(t, event_index) AS last_t FROM valid WHERE n % 3 = 1 GROUP BY session),
+older_totals AS (
+  SELECT v.*, coalesce(lag(t) OVER (PARTITION BY v.session ORDER BY event_index), CASE WHEN 'f' || substr(parent, 2) < 'f' || substr(v.session, 2) AND place > 1 THEN last_t END, 0) AS b
+  FROM valid v JOIN sessions USING (session) LEFT JOIN ends ON ends.session = parent WHERE n % 3 = 1),
+old AS (
+  SELECT session, event_index, k - k // 4 AS i, k // 4 AS o FROM valid WHERE n % 3 = 0
+  UNION ALL SELECT session, event_index, kk - kk // 4, kk // 4 FROM valid WHERE n % 3 = 2
+  UNION ALL SELECT session, event_index, greatest((t - t // 4) - (b - b // 4), 0), greatest(t // 4 - b // 4, 0) FROM older_totals),
+signals AS (
+  SELECT session, event_index, 'payload-fallback' AS s FROM fallback
+  UNION ALL SELECT session, event_index, 'payload-suppression' FROM e WHERE n % 3 = 2 AND kk > 0 AND NOT EXISTS (SELECT 1 FROM fallback f WHERE f.session = e.session AND f.event_index = e.event_index)
+  UNION ALL SELECT session, min(event_index), 'fork-baseline' FROM e JOIN status USING (session) WHERE n % 3 = 1 AND fork_status = 'resolved' AND c > 0 GROUP BY session),
+told AS (SELECT session, event_index, count(*) AS n, min(s) AS s FROM signals GROUP BY ALL),
+entries AS (
+  SELECT session, event_index, a.i + a.o AS a, b.i + b.o AS b, coalesce(b.i + b.o, 0) - coalesce(a.i + a.o, 0) AS delta, coalesce(told.n, 0) AS n,
+    CASE WHEN coalesce(a.i, 0) = coalesce(b.i, 0) AND coalesce(a.o, 0) = coalesce(b.o, 0) THEN 'same' WHEN told.n = 1 THEN s WHEN told.n > 1 THEN 'mixed' WHEN a.i IS NULL THEN 'v5-only' WHEN b.i IS NULL THEN 'v4-only'
+      WHEN a.i + a.o <> b.i + b.o THEN 'usage-changed' ELSE 'unexplained' END AS reason
+  FROM (SELECT * FROM old WHERE i + o > 0) a FULL JOIN kept b USING (session, event_index) LEFT JOIN told USING (session, event_index))"""
+_EXPLAINED = "reason NOT IN ('mixed', 'v5-only', 'v4-only', 'usage-changed', 'unexplained')"
+
+ORACLES = {
+    "generation_mapping": f"""{_MAPPING_SQL}
+SELECT told.id, kind, CASE WHEN n = 1 THEN n_all ELSE n END AS n_candidates, n_match AS n_usage_matches, r.session, r.raw_identity FROM told LEFT JOIN r USING (e)""",
+    "generation_collisions": f"""{_MAPPING_SQL}
+SELECT session, raw_identity, id, kind, 'e' || told.e AS chosen FROM told JOIN left_ USING (id)
+WHERE kind IN ('equivalent-collision', 'equivalent-usage-collision', 'resolved-usage', 'resolved-semantic-suppression') AND left_.e <> told.e""",
+    "generation_differences": f"""{_BOTH_SQL}
+SELECT session, event_index, reason, {_EXPLAINED} AS explained, coalesce(a, 0) AS older_tokens, coalesce(b, 0) AS tokens, delta FROM entries WHERE reason <> 'same'""",
+    "generation_reasons": f"""{_BOTH_SQL}
+SELECT reason, count(*) AS events, CAST(sum(coalesce(a, 0)) AS BIGINT) AS older_tokens, CAST(sum(coalesce(b, 0)) AS BIGINT) AS tokens, CAST(sum(delta) AS BIGINT) AS delta,
+  CAST(sum(CASE WHEN {_EXPLAINED} THEN delta ELSE 0 END) AS BIGINT) AS explained_delta FROM entries WHERE reason <> 'same' GROUP BY reason""",
+    "generation_sessions": f"""{_BOTH_SQL}
+SELECT session, count(a) AS older_records, count(b) AS contributions, CAST(sum(coalesce(a, 0)) AS BIGINT) AS older_tokens, CAST(sum(coalesce(b, 0)) AS BIGINT) AS tokens, CAST(sum(delta) AS BIGINT) AS delta,
+  count(*) FILTER (reason <> 'same') AS changed, count(*) FILTER (NOT {_EXPLAINED}) AS unexplained FROM entries GROUP BY session""",
+}

@@ -133,6 +133,37 @@ def codex_events(lines: DataFrame) -> DataFrame:
     )
 
 
+def older_events(lines: DataFrame) -> DataFrame:
+    """Events as the older accounting reads them (operators/older.py): session, fork, model and folder only where the event itself names them, last and
+    total of any event, the flat counters, its own id, and what stands for its content."""
+    rows = lines.filter("value is not null")
+    has_payload = is_object("$.payload")
+
+    def own(*names: str) -> Column:
+        return F.when(has_payload, text_at(*[f"$.payload.{n}" for n in names])).otherwise(text_at(*[f"$.{n}" for n in names]))
+
+    # Names of fields in logs and the order in which they are looked up.
+    info = ("$.payload.info", "$.payload.msg.info", "$.info")
+    ids = ("uuid", "id", "event_id", "eventId", "response_id", "responseId", "turn_id", "turnId", "item_id", "itemId", "request_id", "requestId")
+    types = event_types(text_at("$.type"), own("type"), text_at("$.payload.msg.type"))
+    nodes = [_at(f"{i}.{n}") for n in ("total_token_usage", "totalTokenUsage", "last_token_usage", "lastTokenUsage") for i in info] + [_at("$.payload.usage"), _at("$.payload"), _at("$")]
+    content = F.struct(F.to_json(_at("$.timestamp")).alias("t"), own("turn_id", "turnId").alias("turn"), own("response_id", "responseId").alias("response"), F.to_json(F.coalesce(*nodes)).alias("usage"))
+    usage = F.coalesce(usage_at("$.payload.usage"), F.when(~has_payload, usage_at("$.usage")))
+    rows = rows.withColumns({
+        "last": usage_at(*[f"{i}.{n}" for i in info for n in ("last_token_usage", "lastTokenUsage")]), "total": usage_at(*[f"{i}.{n}" for i in info for n in ("total_token_usage", "totalTokenUsage")]),
+        "_usage": usage, "_flat": F.when(has_payload, usage_at("$.payload")).otherwise(usage_at("$")), "_token": types["is_token_count"],
+    })
+    nested = F.col("last").isNotNull() | F.col("total").isNotNull()
+    kind = F.when(nested & F.col("_token"), "token-count").when(nested, "nested-info-non-token-count").when(F.col("_usage").isNotNull(), "payload-usage").otherwise("flat-payload")
+    return rows.select(
+        "path", "event_index",
+        F.coalesce(F.when(text_at("$.type") == "session_meta", own("id")), own("session_id", "sessionId"), text_at("$.payload.msg.session_id", "$.payload.msg.sessionId", "$.session_id", "$.sessionId")).alias("session"),
+        F.coalesce(own("forked_from_id", "forkedFromId"), text_at("$.payload.msg.forked_from_id", "$.payload.msg.forkedFromId")).alias("forked_from"),
+        F.coalesce(own("model"), text_at(*[f"{i}.model" for i in info], "$.payload.msg.model", "$.model")).alias("model"), own("cwd", "project").alias("project_key"), timestamp_ms("$.timestamp").alias("ts_ms"),
+        "last", "total", F.coalesce("_usage", "_flat").alias("flat"), kind.alias("source_kind"), text_at(*[f"$.{n}" for n in ids]).alias("own_id"), F.to_json(content).alias("content"),
+    )
+
+
 def without_rate_limits() -> Column:
     """The event as text, its payload's rate limits left out: what they hold changes while nothing else does."""
     payload = F.try_variant_get("value", "$.payload", "map<string, variant>")
