@@ -86,14 +86,17 @@ def sync_claude(spark: SparkSession, store: Store, roots: list[str], ingest_ms:
     return Synced(counted["n"], changed, counted["skipped"], [f"{r['code']}:{r['n']}" for r in told])
 
 
-def codex_flow(found: DataFrame, lines: DataFrame) -> flow.Flow:
-    """The accounting of all lines of a listing."""
-    parsed = incremental.parsed(lines)
-    # an event is numbered by the events before it
+def codex_lines(lines: DataFrame) -> DataFrame:
+    """Complete lines as codex_flow reads them: an event is numbered by the events before it in its file."""
     number = F.row_number().over(Window.partitionBy("path").orderBy("event_index")) - 1
-    good = parsed.filter("value is not null").withColumn("event_index", number.cast("long"))
-    events = stored(decoders.codex_events(good))
+    return incremental.parsed(lines).filter("value is not null").withColumn("event_index", number.cast("long"))
+
+
+def codex_flow(found: DataFrame, lines: DataFrame, events: DataFrame | None = None) -> flow.Flow:
+    """The accounting of all lines of a listing; events may be given where they have been decoded already."""
+    events = stored(decoders.codex_events(codex_lines(lines))) if events is None else events
     files = stored(decoders.codex_files(found, events))
+    parsed = incremental.parsed(lines)
     broken = parsed.groupBy("path").agg(F.count("*").alias("n_lines"), F.count_if(F.col("value").isNull()).alias("n_malformed"))
     tail = F.octet_length("line")
     pending = lines.filter(~F.col("ended")).groupBy("path").agg(F.max(tail).alias("n"))

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import comparator, older
-from ..sources.tables import COUNTERS_SQL, counter_events
+from ..functions.usage import COUNTERS
+from ..operators import comparator, older, service
+from ..sources.tables import COUNTERS_SQL, RECORDS_SQL, counter_events, usage_records
 from .accounting import _sessions
 from .logs import _FLOW_SQL, _flow, _log
 
@@ -70,7 +71,32 @@ def _by_session(spark, d):
     return comparator.by_session(_both(spark, d)[1])
 
 
+def _sides(spark, d):
+    """Records as logs give them and as a store holds them: either lacks some, and of some the store has other tokens, another model or no session."""
+    rows = usage_records(spark, d)
+    held = rows.filter("event_id % 23 <> 0").withColumns({
+        "output_tokens": F.expr("if(event_id % 29 = 0, output_tokens + 5, output_tokens)"), "model": F.expr("if(event_id % 31 = 0, 'other', model)"),
+        "session_id": F.expr("if(event_id % 37 = 0, null, session_id)"),
+    })
+    return rows.filter("event_id % 19 <> 0"), held
+
+
+def _record_differences(spark, d):
+    return service.record_differences(*_sides(spark, d))
+
+
+def _store_audit(spark, d):
+    """A row a source."""
+    expected, actual = _sides(spark, d)
+    rows = [service.reconciled(*[x.filter(F.col("source") == s) for x in (expected, actual)]).withColumn("source", F.lit(s)) for s in ("claude", "codex")]
+    figures = [f"{side}_{c}" for side in ("expected", "actual") for c in ("records", "sessions")] + [f"difference_{c}" for c in (*COUNTERS, "tokens")]
+    more = ["expected_only", "actual_only", "content_mismatch", *[f"{n}_matched" for n in ("tokens", "components", "records", "sessions", "identity", "content")], "matched"]
+    return rows[0].unionByName(rows[1]).select("source", *figures, *more)
+
+
 QUERIES = {
+    "record_differences": _record_differences,
+    "store_audit": _store_audit,
     "generation_mapping": _mapped,
     "generation_collisions": _collisions,
     "generation_differences": _differences,
@@ -127,7 +153,32 @@ entries AS (
   FROM (SELECT * FROM old WHERE i + o > 0) a FULL JOIN kept b USING (session, event_index) LEFT JOIN told USING (session, event_index))"""
 _EXPLAINED = "reason NOT IN ('mixed', 'v5-only', 'v4-only', 'usage-changed', 'unexplained')"
 
+_SIDES_SQL = f"""WITH {RECORDS_SQL},
+a AS (SELECT * FROM records WHERE event_id % 19 <> 0),
+b AS (
+  SELECT * REPLACE (CASE WHEN event_id % 29 = 0 THEN output_tokens + 5 ELSE output_tokens END AS output_tokens, CASE WHEN event_id % 31 = 0 THEN 'other' ELSE model END AS model,
+    CASE WHEN event_id % 37 = 0 THEN NULL ELSE session_id END AS session_id) FROM records WHERE event_id % 23 <> 0),
+wrong AS (
+  SELECT id, coalesce(a.source, b.source) AS source, CASE WHEN b.id IS NULL THEN 'expected-only' WHEN a.id IS NULL THEN 'actual-only' ELSE 'content-mismatch' END AS status,
+    {", ".join(f"CAST(coalesce(a.{t}, 0) - coalesce(b.{t}, 0) AS BIGINT) AS {t}" for t in COUNTERS)}
+  FROM a FULL JOIN b USING (id) WHERE a.id IS NULL OR b.id IS NULL OR a.session_id IS DISTINCT FROM b.session_id OR a.model <> b.model OR a.output_tokens <> b.output_tokens)"""
+_GAPS = ", ".join(f"CAST(sum(s * {t}) AS BIGINT) AS difference_{t}" for t in COUNTERS)
+
 ORACLES = {
+    "record_differences": f"{_SIDES_SQL} SELECT id, status, {', '.join(COUNTERS)} FROM wrong",
+    "store_audit": f"""{_SIDES_SQL},
+s AS (SELECT 1 AS s, * FROM a UNION ALL BY NAME SELECT -1 AS s, * FROM b),
+f AS (
+  SELECT source, count(*) FILTER (s = 1) AS expected_records, count(*) FILTER (s = -1) AS actual_records, count(DISTINCT session_id) FILTER (s = 1) AS expected_sessions,
+    count(DISTINCT session_id) FILTER (s = -1) AS actual_sessions, {_GAPS} FROM s GROUP BY source),
+w AS (
+  SELECT source, count(*) FILTER (status = 'expected-only') AS expected_only, count(*) FILTER (status = 'actual-only') AS actual_only, count(*) FILTER (status = 'content-mismatch') AS content_mismatch,
+    count(*) FILTER (id IN (SELECT a.id FROM a JOIN b USING (id) WHERE a.session_id IS DISTINCT FROM b.session_id)) AS n_sessions FROM wrong GROUP BY source),
+t AS (SELECT *, CAST({" + ".join(f"difference_{t}" for t in COUNTERS)} AS BIGINT) AS difference_tokens FROM f JOIN w USING (source)),
+m AS (
+  SELECT * EXCLUDE (n_sessions), difference_tokens = 0 AS tokens_matched, {" AND ".join(f"difference_{t} = 0" for t in COUNTERS)} AS components_matched, expected_records = actual_records AS records_matched,
+    expected_sessions = actual_sessions AS sessions_matched, expected_only + actual_only + n_sessions = 0 AS identity_matched, expected_only + actual_only + content_mismatch = 0 AS content_matched FROM t)
+SELECT *, tokens_matched AND components_matched AND records_matched AND sessions_matched AND identity_matched AND content_matched AS matched FROM m""",
     "generation_mapping": f"""{_MAPPING_SQL}
 SELECT told.id, kind, CASE WHEN n = 1 THEN n_all ELSE n END AS n_candidates, n_match AS n_usage_matches, r.session, r.raw_identity FROM told LEFT JOIN r USING (e)""",
     "generation_collisions": f"""{_MAPPING_SQL}
