@@ -100,12 +100,15 @@ def broken(found):
 
 
 def test_logs_that_both_read_alike(spark, tmp_path):
+    """One log is read alike. In the other, events that share an id are one record in the older accounting: the second is a collision, not a loss."""
     write(tmp_path / "a.jsonl", meta("a"), token(20, usage(40, 4), usage(40, 4, 44)), token(30, None, usage(70, 10, 80)), token(31, usage(5, 1), usage(75, 11, 86)))
+    write(tmp_path / "b.jsonl", meta("b"), token(20, usage(6, 2)) | {"id": "x"}, token(20, usage(9, 2)) | {"id": "x"})
     found = compare(spark, tmp_path)
-    assert reasons(found) == set() and broken(found) == set() and found.ready()
-    assert {r["kind"] for r in found.mapping.collect()} == {"unique"}
-    assert [tuple(r) for r in comparator.by_session(found.entries).collect()] == [("a", 3, 3, 86, 86, 0, 0, 0)]
-    assert {(r["reason"], r["events"], r["older_tokens"], r["tokens"]) for r in comparator.by_reason(found.entries).collect()} == {("same", 3, 86, 86)}
+    assert reasons(found) == {("b", "v4-candidate-collision", 0, 8)} and broken(found) == set() and found.ready()
+    kinds = {(r["session"], r["id"] == "codex:x", r["kind"]) for r in found.mapping.collect()}
+    assert kinds == {("a", False, "unique"), ("b", True, "resolved-usage")}
+    assert {tuple(r) for r in comparator.by_session(found.entries).collect()} == {("a", 3, 3, 86, 86, 0, 0, 0), ("b", 1, 2, 11, 19, 8, 1, 0)}
+    assert {(r["reason"], r["events"], r["older_tokens"], r["tokens"]) for r in comparator.by_reason(found.entries).collect()} == {("same", 4, 97, 97), ("v4-candidate-collision", 1, 0, 8)}
 
 
 def test_reasons_of_differences(spark, tmp_path):
@@ -134,46 +137,46 @@ def test_reasons_of_differences(spark, tmp_path):
     assert told["fork-baseline"] == (-120, -120) and told["v5-only"] == (4, 0)
 
 
-def test_one_id_of_two_events(spark, tmp_path):
-    """Events that share an id are one record in the older accounting: the other is a collision, not a loss."""
-    write(tmp_path / "a.jsonl", meta("a"), token(20, usage(6, 2)) | {"id": "x"}, token(20, usage(9, 2)) | {"id": "x"})
-    found = compare(spark, tmp_path)
-    assert [(r["id"], r["kind"]) for r in found.mapping.collect()] == [("codex:x", "resolved-usage")]
-    assert reasons(found) == {("a", "v4-candidate-collision", 0, 8)} and broken(found) == set()
-
-
 def test_audit_of_a_store(spark, tmp_path):
     logs, held = tmp_path / "logs", store.Store(spark, str(tmp_path / "store"))
     write(logs / "a.jsonl", meta("a"), token(20, usage(40, 4), usage(40, 4, 44)), token(30, None, usage(70, 10, 80)))
-    roots = [str(logs)]
-    empty = service.audit_codex(spark, held, roots)
-    row = empty.reconciliation.first()
-    assert (row["expected_records"], row["actual_records"], row["expected_only"], row["difference_tokens"], row["difference_percent"]) == (2, 0, 2, 80, 0.0)
-    assert not empty.matched() and empty.ready() and empty.source_stable and empty.store_stable
+    roots, runs = [str(logs)], []
 
-    runs = []
-
-    def sync_once():
-        """The first run finds a file that grows meanwhile, so there is a second; a third would be one too many."""
-        sync.sync_codex(spark, held, roots)
+    def grow():
         runs.append(1)
         with open(logs / "a.jsonl", "a") as f:
             f.write(json.dumps(token(40 + len(runs), usage(1, 1))) + "\n")
 
-    late = service.audit_codex(spark, held, roots, sync_once)
-    assert len(runs) == service.ATTEMPTS
+    def sync_then():
+        """The log grows while the first run lasts, so there is a second."""
+        grow() if not runs else sync.sync_codex(spark, held, roots)
+
+    done = service.audit_codex(spark, held, roots, sync_then)
+    row = done.reconciliation.first()
+    assert done.matched() and done.ready() and (row["expected_records"], row["actual_records"], row["difference_tokens"], row["difference_percent"]) == (3, 3, 0, 0.0)
+    assert {(r["value"], r["n"]) for r in done.taxonomy.filter("dimension = 'semantic'").collect()} == {("session_meta", 1), ("token_count", 3)}
+
+    # a log that never stops growing is synced no more than ATTEMPTS times, and one that changes while it is read is told
+    runs.clear()
+    late = service.audit_codex(spark, held, roots, grow, lambda: incremental.listing(spark, roots).withColumn("size", F.col("size") + 1))
     row = late.reconciliation.first()
-    assert (row["expected_records"], row["actual_records"], row["expected_only"], row["content_mismatch"], row["matched"]) == (4, 3, 1, 0, False)
-
-    done = service.audit_codex(spark, held, roots, lambda: sync.sync_codex(spark, held, roots))
-    assert done.matched() and done.reconciliation.first()["difference_tokens"] == 0
-    assert {(r["dimension"], r["value"], r["n"]) for r in done.taxonomy.filter("dimension = 'semantic'").collect()} == {("semantic", "session_meta", 1), ("semantic", "token_count", 4)}
-
-    # the same ids with another model, a session that is gone, and a log that grows while it is read
-    records = held.table("records")
-    off = records.withColumn("model", F.lit("x"))
-    assert service.reconciled(records, off).select("identity_matched", "content_matched", "content_mismatch").first() == (True, False, 4)
-    gone = service.reconciled(records, records.withColumn("session_id", F.lit(None).cast("string"))).first()
-    assert (gone["sessions_matched"], gone["identity_matched"], gone["components_matched"]) == (False, False, True)
-    moved = service.audit_codex(spark, held, roots, list_again=lambda: incremental.listing(spark, roots).withColumn("size", F.col("size") + 1))
-    assert not moved.source_stable and not moved.matched() and not moved.ready()
+    assert len(runs) == service.ATTEMPTS and (row["expected_records"], row["actual_records"], row["expected_only"], row["content_mismatch"], row["difference_tokens"]) == (5, 3, 2, 0, 4)
+    assert not late.source_stable and late.store_stable and not late.matched() and not late.ready()
+
+
+def test_reconciliation(spark, tmp_path):
+    """Nothing held, another model, a session that is gone, and no rows at all."""
+    schema = "id string, session_id string, model string, project_key string, input_tokens long, cached_input_tokens long, cache_creation_input_tokens long, output_tokens long, reasoning_output_tokens long"
+    records = spark.createDataFrame([("x", "s", "m", None, 5, 0, 0, 1, 0), ("y", None, "m", "p", 2, 1, 0, 1, 0)], schema)
+    none = records.limit(0)
+    row = service.reconciled(records, none).first()
+    assert (row["expected_only"], row["difference_tokens"], row["difference_percent"], row["identity_matched"], row["matched"]) == (2, 10, 0.0, False, False)
+    assert service.reconciled(none, none).first()["matched"] and service.reconciled(records, records).first()["matched"]
+    row = service.reconciled(records, records.withColumn("model", F.lit("x"))).first()
+    assert (row["identity_matched"], row["content_matched"], row["content_mismatch"], row["components_matched"]) == (True, False, 2, True)
+    row = service.reconciled(records, records.withColumn("session_id", F.lit(None).cast("string"))).first()
+    assert (row["sessions_matched"], row["identity_matched"], row["content_mismatch"], row["components_matched"]) == (False, False, 1, True)
+    assert [tuple(r) for r in service.record_differences(records.limit(1), none).collect()] == [("x", "expected-only", 5, 0, 0, 1, 0)]
+    # figures that differ while their sum doesn't
+    row = service.reconciled(records, records.withColumns({"input_tokens": F.col("input_tokens") + 1, "output_tokens": F.col("output_tokens") - 1})).first()
+    assert (row["tokens_matched"], row["components_matched"]) == (True, False)
