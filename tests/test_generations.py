@@ -140,12 +140,12 @@ def test_reasons_of_differences(spark, tmp_path):
 def test_audit_of_a_store(spark, tmp_path):
     logs, held = tmp_path / "logs", store.Store(spark, str(tmp_path / "store"))
     write(logs / "a.jsonl", meta("a"), token(20, usage(40, 4), usage(40, 4, 44)), token(30, None, usage(70, 10, 80)))
-    roots, runs = [str(logs)], []
+    roots, runs, times = [str(logs)], [], iter(range(41, 50))
 
     def grow():
         runs.append(1)
         with open(logs / "a.jsonl", "a") as f:
-            f.write(json.dumps(token(40 + len(runs), usage(1, 1))) + "\n")
+            f.write(json.dumps(token(next(times), usage(1, 1))) + "\n")
 
     def sync_then():
         """The log grows while the first run lasts, so there is a second."""
