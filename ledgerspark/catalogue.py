@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import accounting, generations, logs, usage
+from .plans import accounting, generations, logs, raw, usage
 
-QUERIES = {**usage.QUERIES, **accounting.QUERIES, **logs.QUERIES, **generations.QUERIES}
-ORACLES: dict[str, str] = {**usage.ORACLES, **accounting.ORACLES, **logs.ORACLES, **generations.ORACLES}
+QUERIES = {**usage.QUERIES, **accounting.QUERIES, **logs.QUERIES, **generations.QUERIES, **raw.QUERIES}
+ORACLES: dict[str, str] = {**usage.ORACLES, **accounting.ORACLES, **logs.ORACLES, **generations.ORACLES, **raw.ORACLES}

@@ -86,10 +86,10 @@ def sync_claude(spark: SparkSession, store: Store, roots: list[str], ingest_ms:
     return Synced(counted["n"], changed, counted["skipped"], [f"{r['code']}:{r['n']}" for r in told])
 
 
-def codex_lines(lines: DataFrame) -> DataFrame:
-    """Complete lines as codex_flow reads them: an event is numbered by the events before it in its file."""
+def codex_lines(lines: DataFrame, tail: bool = False) -> DataFrame:
+    """Complete lines as codex_flow reads them, with tail unfinished ones too: an event is numbered by the events before it in its file."""
     number = F.row_number().over(Window.partitionBy("path").orderBy("event_index")) - 1
-    return incremental.parsed(lines).filter("value is not null").withColumn("event_index", number.cast("long"))
+    return incremental.parsed(lines, tail).filter("value is not null").withColumn("event_index", number.cast("long"))
 
 
 def codex_flow(found: DataFrame, lines: DataFrame, events: DataFrame | None = None) -> flow.Flow:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.audits import event_types
+from ..operators.audits import event_types, usage_source
 from ..operators.counters import last_by
 
 FIELDS = ("input", "cached", "creation", "output", "reasoning", "total")
@@ -133,9 +133,9 @@ def codex_events(lines: DataFrame) -> DataFrame:
     )
 
 
-def older_events(lines: DataFrame) -> DataFrame:
+def older_events(lines: DataFrame, *more: Column) -> DataFrame:
     """Events as the older accounting reads them (operators/older.py): session, fork, model and folder only where the event itself names them, last and
-    total of any event, the flat counters, its own id, and what stands for its content."""
+    total of any event, the flat counters, its own id, and what stands for its content; and more columns, where given."""
     rows = lines.filter("value is not null")
     has_payload = is_object("$.payload")
 
@@ -161,6 +161,34 @@ def older_events(lines: DataFrame) -> DataFrame:
         F.coalesce(own("forked_from_id", "forkedFromId"), text_at("$.payload.msg.forked_from_id", "$.payload.msg.forkedFromId")).alias("forked_from"),
         F.coalesce(own("model"), text_at(*[f"{i}.model" for i in info], "$.payload.msg.model", "$.model")).alias("model"), own("cwd", "project").alias("project_key"), timestamp_ms("$.timestamp").alias("ts_ms"),
         "last", "total", F.coalesce("_usage", "_flat").alias("flat"), kind.alias("source_kind"), text_at(*[f"$.{n}" for n in ids]).alias("own_id"), F.to_json(content).alias("content"),
+        *more,
+    )
+
+
+def counted(u: Column) -> Column:
+    """Counters with 0 for what is absent; null where none is above 0."""
+    parts = {f: F.coalesce(u[f], F.lit(0)).cast("long") for f in FIELDS}
+    return F.when(F.greatest(*parts.values()) > 0, F.struct(*[c.alias(f) for f, c in parts.items()]))
+
+
+def audit_events(lines: DataFrame) -> DataFrame:
+    """Every event of a log as the audits read it: its types, the class of what its usage is read from (null where it has none), its counters,
+    the session that a session_meta names, and the fork, model and time that the event itself names. An event without counters above 0 has null ones."""
+    payload_type = F.when(is_object("$.payload"), text_at("$.payload.type"))
+    types = {"outer_type": text_at("$.type"), "payload_type": payload_type, "message_type": text_at("$.payload.msg.type")}
+    more = event_types(*types.values())
+    named = F.when(is_object("$.payload"), text_at(*[f"$.payload.{n}" for n in ("id", "session_id", "sessionId")])).otherwise(text_at("$.id", "$.session_id", "$.sessionId"))
+    rows = older_events(
+        lines, *[c.alias(n) for n, c in {**types, **more}.items()], named.alias("_named"), F.col("_usage"), F.col("_flat"),
+        timestamp_ms("$.timestamp", "$.payload.timestamp", "$.payload.msg.timestamp").alias("_ts"),
+    )
+    rows = rows.withColumns({n: counted(F.col(n)) for n in ("last", "total", "_usage", "_flat")})
+    nested = F.col("last").isNotNull() | F.col("total").isNotNull()
+    kind = usage_source(F.col("is_token_count"), nested, F.col("_usage").isNotNull(), F.col("_flat").isNotNull())
+    meta = F.coalesce(F.col("semantic_type") == "session_meta", F.lit(False))
+    return rows.select(
+        "path", "event_index", F.when(meta, F.col("_named")).alias("meta_session"), meta.alias("is_meta"), "forked_from", "model", F.col("_ts").alias("ts_ms"), *types, *more,
+        kind.alias("source_kind"), "last", "total", F.when(~F.col("is_token_count") & ~nested, F.coalesce("_usage", "_flat")).alias("flat"), "own_id", "content",
     )
 
 

@@ -102,9 +102,10 @@ def _cut(some: bytes) -> list[bytes]:
     return [x + b"\n" for x in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """Complete lines that aren't blank: path, event_index (the byte at which it begins), line, value (null where it is no JSON)."""
-    return lines.filter("ended and line <> ''").select("path", F.col("begin").alias("event_index"), "line", F.try_parse_json("line").alias("value"))
+def parsed(lines: DataFrame, tail: bool = False) -> DataFrame:
+    """Complete lines that aren't blank, and with tail unfinished ones too: path, event_index (the byte at which it begins), line, value (null where
+    it is no JSON)."""
+    return lines.filter("line <> ''" if tail else "ended and line <> ''").select("path", F.col("begin").alias("event_index"), "line", F.try_parse_json("line").alias("value"))
 
 
 def diagnostics(lines: DataFrame) -> DataFrame:
