@@ -124,7 +124,7 @@ def recent_diagnostics(rows: DataFrame, limit: int = 500) -> DataFrame:
     return rows.orderBy(F.col("ts_ms").desc(), "message").limit(limit).withColumn("message", redacted(F.col("message")))
 
 
-def fork_history(cursors: DataFrame, traces: DataFrame, records: DataFrame, extra: DataFrame, differing: DataFrame) -> DataFrame:
+def fork_history(cursors: DataFrame, traces: DataFrame, records: DataFrame, extra: DataFrame, differing: DataFrame, *more: Column | str) -> DataFrame:
     """What a stored baseline of each fork gives beside that of a full replay.
 
     cursors (session, parent, baseline), traces (session, parent, baseline, first_total, contribution, first_id), one each a session; records
@@ -164,4 +164,36 @@ def fork_history(cursors: DataFrame, traces: DataFrame, records: DataFrame, extr
         F.coalesce(sum(map(F.abs, gaps[1:]), F.abs(gaps[0])), F.lit(0)).alias("baseline_magnitude"),
         F.coalesce(total("contribution") - total("left"), F.lit(0)).alias("contribution_difference"),
         F.coalesce(explained, F.lit(False)).alias("explained"),
+        *more,
     )
+
+
+def fork_history_summary(cursors: DataFrame, traces: DataFrame, records: DataFrame, extra: DataFrame, differing: DataFrame) -> DataFrame:
+    """One row over fork_history: forks, those of themselves, baselines that are there and that agree, and how many of the records that only the replay
+    has (of forks, and in all) are explained. Records have session too; an id is in records once."""
+    self_parent = F.count_if(F.col("session") == F.col("parent"))
+    names = records.schema["usage"].dataType.names
+    total = sum((F.col(f"record.{n}") for n in names[1:]), F.col(f"record.{names[0]}"))
+    rows = fork_history(cursors, traces, records, extra, differing, F.col("stored").isNotNull().alias("has_stored"), F.col("replayed").isNotNull().alias("has_replayed"), total.alias("tokens"), "first_id")
+    explained = rows.filter("explained").select(F.col("first_id").alias("id")).distinct().withColumn("is_explained", F.lit(True))
+    of_forks = records.select("id", "session").join(rows.select("session").distinct(), "session", "left_semi").join(extra.select("id").distinct(), "id", "left_semi")
+    parts = [
+        rows.agg(
+            F.count("*").alias("forks"), F.count_if("has_stored").alias("stored_baselines"), F.count_if("has_replayed").alias("replayed_baselines"), F.count_if("baseline_matched").alias("baselines_matched"),
+            F.count_if(F.col("has_stored") & F.col("has_replayed") & ~F.col("baseline_matched")).alias("baselines_different"), F.count_if("explained").alias("explained_records"),
+            F.coalesce(F.sum(F.when(F.col("explained"), F.col("tokens"))), F.lit(0)).cast("long").alias("explained_tokens"),
+        ),
+        cursors.agg(self_parent.alias("self_parent_cursors")), traces.agg(self_parent.alias("self_parent_traces")), extra.agg(F.count_distinct("id").alias("extra_records")),
+        of_forks.join(explained, "id", "left").agg(F.count("*").alias("fork_extra_records"), F.count_if(F.col("is_explained").isNull()).alias("unexplained_fork_extra_records")),
+    ]
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.join(F.broadcast(p))  # one row each
+
+    def percent(of: str) -> Column:
+        return F.when(F.col(of) > 0, F.col("explained_records") / F.col(of) * 100).otherwise(100.0)
+
+    return one.withColumns({
+        "fork_extra_adds_up": F.col("explained_records") + F.col("unexplained_fork_extra_records") == F.col("fork_extra_records"), "fork_extra_explained_percent": percent("fork_extra_records"),
+        "extra_explained_percent": percent("extra_records"), "all_extra_explained": F.col("extra_records") == F.col("explained_records"),
+    })

@@ -154,6 +154,63 @@ def overlap_classes(payloads: DataFrame, audit: DataFrame) -> DataFrame:
     return audit.join(payloads.select("id", "tokens"), "id").groupBy("duplicate_class").agg(F.count("*").alias("n"), F.sum("tokens").cast("long").alias("tokens"))
 
 
+#: The classes of duplicates.
+CLASSES = ("confirmed", "probable", "possible", "linked-different-usage", "weak-candidate", "ambiguous", "unmatched")
+
+
+def overlap_dimensions(payloads: DataFrame, audit: DataFrame) -> DataFrame:
+    """(dimension, value, n, tokens) of audited payloads by class, confidence, evidence, relation and semantic type, in one pass; what is absent is `unknown`."""
+    rows = audit.join(payloads.select("id", "tokens", "semantic_type"), "id")
+    names = ("duplicate_class", "confidence", "evidence", "relation", "semantic_type")
+    pairs = F.array(*[F.struct(F.lit(n).alias("dimension"), F.coalesce(n, F.lit("unknown")).alias("value")) for n in names])
+    return rows.select(F.explode(pairs).alias("p"), "tokens").groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"), F.sum("tokens").cast("long").alias("tokens"))
+
+
+def _by_class(name: str = "tokens") -> list[Column]:
+    return [F.coalesce(F.sum(F.when(F.col("duplicate_class") == c, F.col(name))), F.lit(0)).cast("long").alias(f"{c.replace('-', '_')}_tokens") for c in CLASSES]
+
+
+def overlap_by_model(payloads: DataFrame, audit: DataFrame) -> DataFrame:
+    """By model: audited payloads, their tokens, and these by class."""
+    rows = audit.join(payloads.select("id", "tokens", F.coalesce("model", F.lit("unknown")).alias("model")), "id")
+    return rows.groupBy("model").agg(F.count("*").alias("payloads"), F.sum("tokens").cast("long").alias("payload_tokens"), *_by_class())
+
+
+def overlap_by_day(payloads: DataFrame, tokens: DataFrame, audit: DataFrame) -> DataFrame:
+    """By day (UTC): tokens of token counts, of all payloads (with eligible), of those audited, and these by class. Rows without a time have no day."""
+    day = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd").alias("day")
+    seen = payloads.join(audit.select("id", "duplicate_class"), "id", "left").select(day, "tokens", "eligible", "duplicate_class", F.lit(True).alias("payload"))
+    counts = tokens.select(day, "tokens", F.lit(False).alias("eligible"), F.lit(None).cast("string").alias("duplicate_class"), F.lit(False).alias("payload"))
+
+    def of(condition: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("tokens"))), F.lit(0)).cast("long").alias(name)
+
+    wanted = [of(~F.col("payload"), "token_count_tokens"), of(F.col("payload"), "observed_tokens"), of(F.col("eligible"), "eligible_tokens")]
+    return seen.unionByName(counts).filter("day is not null").groupBy("day").agg(*wanted, *_by_class())
+
+
+def overlap_summary(payloads: DataFrame, tokens: DataFrame, audit: DataFrame) -> DataFrame:
+    """One row: payloads observed, eligible and shadowed, token counts, what links cover, and whether all eligible payloads were classed once."""
+    rows = payloads.join(audit.select("id", "duplicate_class", "confidence"), "id", "left")
+
+    def count(condition: Column, name: str) -> list[Column]:
+        return [F.count_if(condition).alias(f"{name}_events"), F.coalesce(F.sum(F.when(condition, F.col("tokens"))), F.lit(0)).cast("long").alias(f"{name}_tokens")]
+
+    eligible, classed = F.col("eligible"), F.col("duplicate_class").isin(*CLASSES)
+    linked = F.coalesce(F.col("confidence").isin("exact", "probable", "possible"), F.lit(False))
+    candidate = linked | F.coalesce(F.col("confidence").isin("weak", "ambiguous"), F.lit(False))
+    kinds = {"observed": F.lit(True), "eligible": eligible, "shadowed": ~eligible, "classified": F.coalesce(classed, F.lit(False)), "confirmed": F.coalesce(F.col("duplicate_class") == "confirmed", F.lit(False)), "linked": linked, "candidate": candidate}
+    one = rows.agg(*[c for name, condition in kinds.items() for c in count(condition, name)])
+    other = tokens.agg(F.count("*").alias("token_count_events"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("token_count_tokens"))
+    one = one.join(F.broadcast(other))  # one row each
+    whole = {u: F.col(f"observed_{u}") == F.col(f"eligible_{u}") + F.col(f"shadowed_{u}") for u in ("events", "tokens")}
+    held = {u: F.col(f"eligible_{u}") == F.col(f"classified_{u}") for u in ("events", "tokens")}
+    return one.withColumns({
+        "not_confirmed_tokens": F.col("eligible_tokens") - F.col("confirmed_tokens"), "universe_events_hold": whole["events"], "universe_tokens_hold": whole["tokens"],
+        "classified_events_hold": held["events"], "classified_tokens_hold": held["tokens"], "classification_holds": held["events"] & held["tokens"],
+    })
+
+
 def _same(columns: list[str], old: str, new: str) -> Column:
     equal = F.lit(True)
     for c in columns:

@@ -17,6 +17,11 @@ CATALOGUE = [
     ("anthropic-claude-sonnet-4", ["claude-sonnet-4"], [], ["claude-sonnet-4"], 3000, 300, 3750, 15000),
     ("anthropic-claude-haiku-3.5", ["claude-haiku-3.5"], [], ["claude-haiku-3.5"], 800, 80, 1000, 4000),
 ]
+# The names that an export shows for these.
+LABELS = {
+    "openai-gpt-5.4": "GPT-5.4", "openai-gpt-5": "GPT-5", "anthropic-claude-opus-4": "Claude Opus 4", "anthropic-claude-sonnet-4": "Claude Sonnet 4",
+    "anthropic-claude-haiku-3.5": "Claude Haiku 3.5",
+}
 SCHEMA = """price_id string, exact array<string>, aliases array<string>, families array<string>,
             in_price long, cached_price long, creation_price long, out_price long, place int"""
 
@@ -62,6 +67,12 @@ def resolve(models: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
+def label() -> Column:
+    """The name of a row's price entry; its id where it has none."""
+    names = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    return F.coalesce(names[F.col("price_id")], F.col("price_id"))
+
+
 def cost_units() -> Column:
     """The cost of a row's counters in billionths of a dollar; null without a price."""
     units = (

@@ -271,6 +271,28 @@ def mismatch_sizes(rows: DataFrame) -> DataFrame:
     return audits.mismatch_histogram(rows.filter("last is not null and delta is not null"), "last_tokens", "delta_tokens")
 
 
+def overlap_sides(files: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Payloads and tokens of preferred files as matching.overlap_audit takes them, payloads with eligible, false where last or total go before them or no
+    model is known. A token count gives its increment, or else what its total adds to the one before in its file. Only usage with tokens is taken."""
+    order = Window.partitionBy("path").orderBy("event_index")
+    now, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.join(files.filter("preferred").select("path", "session"), "path").withColumn("model", F.last("model", ignorenulls=True).over(now))
+    row = F.concat_ws(":", "path", "event_index").alias("id")
+    own = ["session", F.col("ts_ms"), "response_id", "turn_id", "model", "semantic_type"]
+
+    def side(found: DataFrame, usage: Column, *more: Column) -> DataFrame:
+        counted = found.withColumn("usage", normalized(usage)).withColumn("tokens", usage_total(F.col("usage")))
+        return counted.filter("tokens > 0").select(row, *own, "usage", "tokens", (F.col("tokens") > 0).alias("counted"), *more)
+
+    shadowed = F.col("last").isNotNull() | F.col("total").isNotNull() | F.col("is_token_count")
+    payloads = side(rows.filter("payload_usage is not null"), F.col("payload_usage"), (~shadowed & F.col("model").isNotNull()).alias("eligible"))
+    tokens = rows.filter("is_token_count").withColumn("previous", F.last("total", ignorenulls=True).over(before))
+    total, previous = F.col("total"), F.col("previous")
+    adds = F.when(total.isNotNull(), F.when(_any(_fell(total, previous)), total).otherwise(_growth(total, previous)))
+    tokens = tokens.withColumn("adds", F.coalesce(F.col("last"), adds)).filter("adds is not null")
+    return payloads, side(tokens, F.col("adds"))
+
+
 @dataclass
 class RawAudit:
     files: DataFrame  # of canonical_files
@@ -288,7 +310,7 @@ def audit(files: DataFrame, events: DataFrame) -> RawAudit:
 
 
 def audit_logs(spark: SparkSession, roots: list[str]) -> RawAudit:
-    """The audit of all logs below the roots, unfinished last lines included."""
+    """The audit of all logs below the roots, unfinished last lines included. Empty files aren't listed."""
     listed = stored(incremental.listing(spark, roots))
     lines = incremental.read_lines(incremental.plan(listed, spark.createDataFrame([], incremental.CURSOR), sync.VERSIONS["codex"]))
     archived = F.array_contains(F.split(F.lower(F.translate("path", "\\", "/")), "/"), "archived_sessions")

@@ -22,7 +22,7 @@ from ..functions.usage import (
     token_metrics,
     total_tokens,
 )
-from .pricing import dollars, priced
+from .pricing import dollars, label, priced
 
 
 def buckets(records: DataFrame) -> DataFrame:
@@ -198,6 +198,30 @@ def coverage(rows: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
+def coverage_by_model(rows: DataFrame, prices: DataFrame) -> DataFrame:
+    """By model: how it is matched, the price entry, tokens, and their cost, null without a price."""
+    matched = priced(rows, prices).withColumn("tokens", total_tokens())
+    units = F.sum(F.col("cost_units").cast("decimal(38,0)"))
+    return matched.groupBy("model", "match_kind", "price_id").agg(F.sum("tokens").cast("long").alias("total_tokens"), F.when(units.isNotNull(), dollars(units)).alias("cost_usd"))
+
+
+def export_rows(records: DataFrame, prices: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """The fourteen columns of the export, texts made safe for spreadsheets. projects (project_key, name), one row a key, gives names of projects; others
+    keep their key. Cost and label are null without a price."""
+    from ..functions.usage import csv_safe, iso_utc
+
+    rows = priced(records, prices)
+    if projects is not None:
+        rows = rows.join(projects.select("project_key", "name"), "project_key", "left")
+    project = F.col("project_key") if projects is None else F.coalesce("name", "project_key")
+    texts = {"agent": F.col("source"), "session_id": F.col("session_id"), "model": F.col("model"), "project": project}
+    cost = F.when(F.col("cost_units").isNotNull(), F.col("cost_units").cast("double") / 1e9)
+    return rows.select(
+        iso_utc(F.col("ts_ms")).alias("time"), *[csv_safe(F.coalesce(c, F.lit(""))).alias(n) for n, c in texts.items()], *COUNTERS, total_tokens().alias("total_tokens"),
+        cost.alias("estimated_cost_usd"), F.col("match_kind").alias("pricing_status"), label().alias("pricing_label"),
+    )
+
+
 def csv_rows(records: DataFrame, prices: DataFrame) -> DataFrame:
     """The columns of the CSV export, texts made safe for spreadsheets; the cost is null without a price."""
     from ..functions.usage import csv_safe, iso_utc
@@ -208,6 +232,9 @@ def csv_rows(records: DataFrame, prices: DataFrame) -> DataFrame:
     return rows.select(iso_utc(F.col("ts_ms")).alias("time"), *texts, *COUNTERS, total_tokens().alias("total_tokens"), cost.alias("cost_usd"))
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
+def write_csv(rows: DataFrame, path: str, bom: bool = False) -> None:
+    """With bom each file begins with a byte order mark, by which spreadsheets know UTF-8."""
+    if bom:
+        rows = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
     writer = rows.write.option("header", True).option("quote", '"').option("escape", '"')
     writer.option("lineSep", "\r\n").option("nullValue", "").option("emptyValue", "").mode("overwrite").csv(path)

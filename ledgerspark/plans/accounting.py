@@ -165,6 +165,26 @@ def _audited_sides(spark, d):
     return tuple(x.selectExpr("*", f"{usage} as usage", "tokens > 0 as counted") for x in (payloads, tokens))
 
 
+def _overlap_report(spark, d):
+    """Of the audited payloads every thirteenth is shadowed by other usage of its event, so it isn't audited; some have no type or model."""
+    payloads, tokens = _audited_sides(spark, d)
+    number = "cast(substr(id, 2) as bigint)"
+    payloads = payloads.selectExpr(
+        "*", f"{number} % 13 <> 0 as eligible", f"case {number} % 4 when 0 then null when 1 then 'response_item' else 'turn_context' end as semantic_type", f"if({number} % 5 = 0, null, concat('m', cast({number} % 2 as string))) as model"
+    )
+    return payloads, tokens, matching.overlap_audit(payloads.filter("eligible"), tokens)
+
+
+def _overlap_dimensions(spark, d):
+    payloads, _, audit = _overlap_report(spark, d)
+    return matching.overlap_dimensions(payloads, audit)
+
+
+def _overlap_models(spark, d):
+    payloads, _, audit = _overlap_report(spark, d)
+    return matching.overlap_by_model(payloads, audit)
+
+
 def _overlap_classes(spark, d):
     payloads, tokens = _audited_sides(spark, d)
     return matching.overlap_classes(payloads, matching.overlap_audit(payloads, tokens))
@@ -272,7 +292,7 @@ def _moved_files(spark, d):
     return matching.moved_files(files, cursors)
 
 
-def _fork_history(spark, d):
+def _fork_history_sides(spark, d):
     """Each user's session as a fork of the one before, some of themselves, with figures by the user's number."""
     users = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("u")).distinct()
 
@@ -287,8 +307,8 @@ def _fork_history(spark, d):
         session, "concat('s', cast(u - if(u % 13 = 0, 0, 1) as string)) as parent", f"case when u % 6 <> 0 then {pair('u % 11', 'u % 5 + if(u % 8 = 1, 1, 0)')} end as baseline",
         f"{pair('u % 17', 'u % 9')} as first_total", f"case when u % 9 <> 4 then {made} end as contribution", "case when u % 10 <> 1 then concat('e', cast(u as string)) end as first_id",
     )
-    named = users.selectExpr("concat('e', cast(u as string)) as id", "u", f"case when u % 16 = 2 then {pair('1', '1')} else {made} end as usage")
-    return audits.fork_history(cursors, traces, named.filter("u % 12 <> 0").select("id", "usage"), named.filter("u % 4 < 2").select("id"), named.filter("u % 4 = 2").select("id"))
+    named = users.selectExpr("concat('e', cast(u as string)) as id", "concat('s', cast(u as string)) as session", "u", f"case when u % 16 = 2 then {pair('1', '1')} else {made} end as usage")
+    return cursors, traces, named.filter("u % 12 <> 0").select("id", "session", "usage"), named.filter("u % 4 < 2").select("id"), named.filter("u % 4 = 2").select("id")
 
 
 QUERIES = {
@@ -315,6 +335,10 @@ QUERIES = {
     "payload_overlap_interval": _overlap,
     "payload_overlap_audit": lambda s, d: matching.overlap_audit(*_audited_sides(s, d)),
     "payload_overlap_classes": _overlap_classes,
+    "payload_overlap_dimensions": _overlap_dimensions,
+    "payload_overlap_models": _overlap_models,
+    "payload_overlap_days": lambda s, d: matching.overlap_by_day(*_overlap_report(s, d)),
+    "payload_overlap_summary": lambda s, d: matching.overlap_summary(*_overlap_report(s, d)),
     "fork_replay_contributions": _replayed,
     "snapshot_diff": lambda s, d: matching.snapshot_diff(*_orders(s, d)),
     "snapshot_diff_summary": lambda s, d: matching.diff_summary(matching.snapshot_diff(*_orders(s, d))),
@@ -325,7 +349,8 @@ QUERIES = {
     "taxonomy_histogram": _taxonomy,
     "mismatch_histogram": _mismatch,
     "gates": _gates,
-    "fork_history": _fork_history,
+    "fork_history": lambda s, d: audits.fork_history(*_fork_history_sides(s, d)),
+    "fork_history_summary": lambda s, d: audits.fork_history_summary(*_fork_history_sides(s, d)),
     "record_reconciliation": _reconciliation,
     "methods_side_by_side": lambda s, d: audits.methods_side_by_side(_contributions(s, d)),
 }
@@ -368,10 +393,10 @@ def _usage(parts: str, tokens: str) -> str:
     return f"CASE WHEN {parts} IN (0, 2, 4) THEN [{tokens} - {tokens} // 4, {tokens} // 4] ELSE [{tokens} - {tokens} // 5, {tokens} // 5] END"
 
 
-def _audit_sql() -> str:
+def _audit_sql(which: str = "") -> str:
     sql = f"""WITH {COUNTERS_SQL}, e AS (SELECT *, 'u' || (event_index // 400) AS turn, CASE WHEN event_index % 9 = 0 THEN k + 1 ELSE k END AS k2 FROM counters),
 p AS (SELECT 'p' || event_index AS id, session, ts_ms + event_index % 5 * 700 AS ts_ms, CASE WHEN event_index % 4 = 0 THEN response_id END AS response_id,
-  CASE WHEN event_index % 5 = 0 THEN turn END AS turn_id, k2 AS tokens, {_usage('event_index % 7', 'k2')} AS usage FROM e WHERE event_index % 3 = 0),
+  CASE WHEN event_index % 5 = 0 THEN turn END AS turn_id, k2 AS tokens, {_usage('event_index % 7', 'k2')} AS usage FROM e WHERE event_index % 3 = 0{which}),
 t AS (SELECT 't' || event_index AS id, session, ts_ms, response_id, turn AS turn_id, k AS tokens, {_usage('0', 'k')} AS usage, k > 0 AS counted FROM e WHERE event_index % 2 = 0 OR event_index % 7 = 0),
 d0 AS (SELECT '' AS p_id, '' AS t_id WHERE false), m0 AS (SELECT '' AS p_id, '' AS t_id, '' AS evidence, '' AS confidence WHERE false)"""
     near = "t.counted AND p.usage = t.usage AND abs(p.ts_ms - t.ts_ms)"
@@ -396,6 +421,29 @@ a AS (SELECT *, CASE WHEN confidence IN ('ambiguous', 'unmatched') THEN confiden
   WHEN confidence = 'exact' THEN 'confirmed' ELSE confidence END AS duplicate_class FROM r) """
 
 
+_HISTORY_SQL = """WITH u AS (SELECT DISTINCT user_id AS u FROM events),
+m AS (SELECT u, CASE WHEN u % 14 = 3 THEN [0, 0] ELSE [greatest(u % 17 - u % 11, 0), greatest(u % 9 - u % 5, 0)] END AS made FROM u),
+c AS (SELECT u, 's' || (u - 1) AS parent, CASE WHEN u % 4 <> 0 THEN [u % 11, u % 5] END AS b FROM u WHERE u % 3 <> 0 AND u % 7 <> 0),
+t AS (SELECT u, 's' || (u - 1) AS parent, CASE WHEN u % 6 <> 0 THEN [u % 11, u % 5 + CASE WHEN u % 8 = 1 THEN 1 ELSE 0 END] END AS b, [u % 17, u % 9] AS f,
+  CASE WHEN u % 9 <> 4 THEN made END AS k, u % 10 <> 1 AND u % 12 <> 0 AS has, CASE WHEN u % 16 = 2 THEN [1, 1] ELSE made END AS r FROM m WHERE u % 5 <> 0 AND u % 13 <> 0),
+j AS (SELECT coalesce(c.u, t.u) AS u, coalesce(c.parent, t.parent) AS parent, c.b AS sb, t.b AS rb, k, coalesce(has, false) AS has, r,
+  CASE WHEN f IS NOT NULL AND c.b IS NOT NULL THEN [greatest(f[1] - c.b[1], 0), greatest(f[2] - c.b[2], 0)] END AS l FROM c FULL JOIN t ON c.u = t.u),
+e AS (SELECT *, coalesce(l[1] + l[2] > 0, false) AS se, coalesce(k[1] + k[2] > 0, false) AS re FROM j)"""
+_REPORT_SQL = f"""{_audit_sql(' AND event_index % 13 <> 0')}, s AS (
+  SELECT 'p' || event_index AS id, ts_ms + event_index % 5 * 700 AS ts_ms, k2 AS tokens, event_index % 13 <> 0 AS eligible, CASE event_index % 4 WHEN 0 THEN NULL WHEN 1 THEN 'response_item' ELSE 'turn_context' END AS semantic_type,
+    CASE WHEN event_index % 5 = 0 THEN NULL ELSE 'm' || (event_index % 2) END AS model FROM e WHERE event_index % 3 = 0)"""
+_REPORT_SQL = _REPORT_SQL.replace("a AS (SELECT *, CASE WHEN confidence", "a AS (SELECT * EXCLUDE (tokens), CASE WHEN confidence")
+
+
+def _total(where: str, name: str) -> str:
+    return f"CAST(coalesce(sum(tokens) FILTER ({where}), 0) AS BIGINT) AS {name}"
+
+
+_BY_CLASS = ", ".join(_total(f"duplicate_class = '{c}'", f"{c.replace('-', '_')}_tokens") for c in matching.CLASSES)
+_KINDS = {
+    "observed": "true", "eligible": "eligible", "shadowed": "NOT eligible", "classified": "c IS NOT NULL", "confirmed": "c = 'confirmed'", "linked": "f IN ('exact', 'probable', 'possible')",
+    "candidate": "f IN ('exact', 'probable', 'possible', 'weak', 'ambiguous')",
+}
 _ORDERS_SQL = """WITH o AS (SELECT o_orderkey AS id, o_custkey AS customer, o_orderstatus AS status FROM orders), old AS (SELECT * FROM o WHERE id % 10 <> 0),
 new AS (SELECT id, CASE WHEN id % 13 = 0 THEN customer + 1 ELSE customer END AS customer, CASE WHEN id % 17 = 0 THEN NULL ELSE status END AS status FROM o WHERE id % 10 <> 1),
 diff AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'insert' WHEN b.id IS NULL THEN 'delete'
@@ -475,6 +523,17 @@ near AS ({_unique("SELECT * FROM pairs WHERE gap_ms <= 1000")}),
 wide AS ({_unique("SELECT * FROM pairs WHERE gap_ms > 1000 AND gap_ms <= 10000 AND p_id NOT IN (SELECT p_id FROM near) AND t_id NOT IN (SELECT t_id FROM near)")})
 SELECT *, 'near' AS evidence FROM near UNION ALL SELECT *, 'wide' FROM wide""",
     "payload_overlap_audit": _audit_sql() + "SELECT * EXCLUDE (tokens) FROM a",
+    "payload_overlap_dimensions": f"""{_REPORT_SQL}, x AS (SELECT unnest([('duplicate_class', duplicate_class), ('confidence', confidence), ('evidence', evidence), ('relation', relation), ('semantic_type', coalesce(semantic_type, 'unknown'))]) AS p, tokens FROM s JOIN a USING (id))
+SELECT p[1] AS dimension, p[2] AS value, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM x GROUP BY ALL""",
+    "payload_overlap_models": f"{_REPORT_SQL} SELECT coalesce(model, 'unknown') AS model, count(*) AS payloads, CAST(sum(tokens) AS BIGINT) AS payload_tokens, {_BY_CLASS} FROM s JOIN a USING (id) GROUP BY 1",
+    "payload_overlap_days": f"""{_REPORT_SQL}, x AS (
+  SELECT ts_ms, s.tokens, eligible, duplicate_class, true AS payload FROM s LEFT JOIN a USING (id) UNION ALL SELECT ts_ms, tokens, false, NULL, false FROM t)
+SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day, {_total('NOT payload', 'token_count_tokens')}, {_total('payload', 'observed_tokens')}, {_total('eligible', 'eligible_tokens')}, {_BY_CLASS} FROM x GROUP BY 1""",
+    "payload_overlap_summary": f"""{_REPORT_SQL}, x AS (SELECT s.*, duplicate_class AS c, coalesce(confidence, '') AS f FROM s LEFT JOIN a USING (id)), y AS (
+  SELECT {', '.join(f"count(*) FILTER ({w}) AS {n}_events, {_total(w, f'{n}_tokens')}" for n, w in _KINDS.items())}, (SELECT count(*) FROM t) AS token_count_events, (SELECT CAST(sum(tokens) AS BIGINT) FROM t) AS token_count_tokens FROM x)
+SELECT *, eligible_tokens - confirmed_tokens AS not_confirmed_tokens, observed_events = eligible_events + shadowed_events AS universe_events_hold, observed_tokens = eligible_tokens + shadowed_tokens AS universe_tokens_hold,
+  eligible_events = classified_events AS classified_events_hold, eligible_tokens = classified_tokens AS classified_tokens_hold,
+  eligible_events = classified_events AND eligible_tokens = classified_tokens AS classification_holds FROM y""",
     "payload_overlap_classes": _audit_sql() + "SELECT duplicate_class, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM a GROUP BY 1",
     "fork_replay_contributions": f"""WITH {COUNTERS_SQL}, {_SESSIONS_SQL}, kids AS (SELECT * FROM sessions WHERE parent IS NOT NULL AND fork_ms IS NOT NULL),
 r AS (SELECT session, event_index, ts_ms, CASE WHEN event_index % 6 <> 1 THEN response_id END AS response_id, 'u' || (event_index // 9) AS turn_id, model, k AS tokens, [k - k // 4, k // 4] AS usage,
@@ -513,19 +572,19 @@ SELECT CASE WHEN gap <= 0 THEN '0' WHEN gap <= 1000 THEN '1-1K' WHEN gap <= 1000
     "gates": f"""WITH {RECORDS_SQL}, g AS (SELECT 'ids_present' AS gate, count(*) FILTER (id IS NULL) AS n_broken FROM records UNION ALL SELECT 'counters_positive', count(*) FILTER (total_tokens <= 0) FROM records
 UNION ALL SELECT 'sessions_present', count(*) FILTER (session_id IS NULL) FROM records UNION ALL SELECT 'cache_below_input', count(*) FILTER (cached_input_tokens > input_tokens) FROM records)
 SELECT *, n_broken = 0 AS holds FROM g""",
-    "fork_history": """WITH u AS (SELECT DISTINCT user_id AS u FROM events),
-m AS (SELECT u, CASE WHEN u % 14 = 3 THEN [0, 0] ELSE [greatest(u % 17 - u % 11, 0), greatest(u % 9 - u % 5, 0)] END AS made FROM u),
-c AS (SELECT u, 's' || (u - 1) AS parent, CASE WHEN u % 4 <> 0 THEN [u % 11, u % 5] END AS b FROM u WHERE u % 3 <> 0 AND u % 7 <> 0),
-t AS (SELECT u, 's' || (u - 1) AS parent, CASE WHEN u % 6 <> 0 THEN [u % 11, u % 5 + CASE WHEN u % 8 = 1 THEN 1 ELSE 0 END] END AS b, [u % 17, u % 9] AS f,
-  CASE WHEN u % 9 <> 4 THEN made END AS k, u % 10 <> 1 AND u % 12 <> 0 AS has, CASE WHEN u % 16 = 2 THEN [1, 1] ELSE made END AS r FROM m WHERE u % 5 <> 0 AND u % 13 <> 0),
-j AS (SELECT coalesce(c.u, t.u) AS u, coalesce(c.parent, t.parent) AS parent, c.b AS sb, t.b AS rb, k, coalesce(has, false) AS has, r,
-  CASE WHEN f IS NOT NULL AND c.b IS NOT NULL THEN [greatest(f[1] - c.b[1], 0), greatest(f[2] - c.b[2], 0)] END AS l FROM c FULL JOIN t ON c.u = t.u),
-e AS (SELECT *, coalesce(l[1] + l[2] > 0, false) AS se, coalesce(k[1] + k[2] > 0, false) AS re FROM j)
+    "fork_history": _HISTORY_SQL + """
 SELECT 's' || u AS session, parent, CASE WHEN NOT has OR (l IS NULL AND k IS NULL) THEN 'unresolved' WHEN re AND NOT se AND u % 4 = 2 THEN 'database-state-inconsistent'
   WHEN re AND NOT se THEN 'full-replay-only' WHEN se AND NOT re THEN 'persisted-only' WHEN re AND se THEN CASE WHEN l = k THEN 'both-same' ELSE 'both-different' END ELSE 'neither' END AS outcome,
   coalesce(sb = rb, false) AS baseline_matched, CAST(coalesce(rb[1] - sb[1] + rb[2] - sb[2], 0) AS BIGINT) AS baseline_difference,
   CAST(coalesce(abs(rb[1] - sb[1]) + abs(rb[2] - sb[2]), 0) AS BIGINT) AS baseline_magnitude, CAST(coalesce(k[1] + k[2] - l[1] - l[2], 0) AS BIGINT) AS contribution_difference,
   coalesce(has AND u % 4 < 2 AND re AND NOT se AND r = k, false) AS explained FROM e""",
+    "fork_history_summary": _HISTORY_SQL + """, x AS (SELECT *, coalesce(has AND u % 4 < 2 AND re AND NOT se AND r = k, false) AS explained FROM e), g AS (
+  SELECT count(*) AS forks, count(sb) AS stored_baselines, count(rb) AS replayed_baselines, count(*) FILTER (sb = rb) AS baselines_matched, count(*) FILTER (sb <> rb) AS baselines_different,
+    count(*) FILTER (explained) AS explained_records, CAST(coalesce(sum(r[1] + r[2]) FILTER (explained), 0) AS BIGINT) AS explained_tokens, count(*) FILTER (u % 12 <> 0 AND u % 4 < 2) AS fork_extra_records,
+    count(*) FILTER (u % 12 <> 0 AND u % 4 < 2 AND NOT explained) AS unexplained_fork_extra_records FROM x),
+h AS (SELECT *, (SELECT count(*) FROM u WHERE u % 3 <> 0 AND u % 7 = 0) AS self_parent_cursors, (SELECT count(*) FROM u WHERE u % 5 <> 0 AND u % 13 = 0) AS self_parent_traces, (SELECT count(*) FROM u WHERE u % 4 < 2) AS extra_records FROM g)
+SELECT *, explained_records + unexplained_fork_extra_records = fork_extra_records AS fork_extra_adds_up, CASE WHEN fork_extra_records > 0 THEN explained_records / fork_extra_records * 100 ELSE 100.0 END AS fork_extra_explained_percent,
+  CASE WHEN extra_records > 0 THEN explained_records / extra_records * 100 ELSE 100.0 END AS extra_explained_percent, extra_records = explained_records AS all_extra_explained FROM h""",
     "record_reconciliation": f"""WITH {RECORDS_SQL}, a AS (SELECT * FROM records WHERE event_id % 19 <> 0),
 b AS (SELECT id, source, model, CASE WHEN event_id % 29 = 0 THEN total_tokens + 5 ELSE total_tokens END AS total_tokens FROM records WHERE event_id % 23 <> 0)
 SELECT CASE WHEN b.id IS NULL THEN 'expected-only' WHEN a.id IS NULL THEN 'actual-only' WHEN a.total_tokens = b.total_tokens THEN 'matched' ELSE 'mismatched' END AS status,

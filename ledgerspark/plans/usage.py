@@ -110,6 +110,13 @@ def _grid(kind):
     return lambda spark, d: kind(_daily(spark, d), TODAY)
 
 
+def _export(spark, d):
+    """Five of the seven projects have names, of which one has to be made safe."""
+    names = "concat(case when user_id % 7 = 3 then '=' else 'Project ' end, cast(user_id % 7 as string)) as name"
+    projects = spark.read.parquet(f"{d}/events.parquet").filter("user_id % 7 < 5").selectExpr("concat('/work/p', cast(user_id % 7 as string)) as project_key", names).distinct()
+    return rollup.export_rows(_records(spark, d), _prices(spark), projects)
+
+
 QUERIES = {
     "bucket_rollup": _buckets,
     "dashboard_totals": lambda s, d: rollup.totals(_buckets(s, d), _prices(s)),
@@ -129,6 +136,8 @@ QUERIES = {
     "records_page": _page,
     "pricing_resolution": lambda s, d: pricing.resolve(_records(s, d), _prices(s)),
     "pricing_coverage": lambda s, d: rollup.coverage(_buckets(s, d), _prices(s)),
+    "pricing_by_model": lambda s, d: rollup.coverage_by_model(_buckets(s, d), _prices(s)),
+    "csv_export": _export,
     "csv_projection": lambda s, d: rollup.csv_rows(_records(s, d), _prices(s)),
     "period_comparison": lambda s, d: periods.comparison(_buckets(s, d), NOW_MS),
     "change_drivers": lambda s, d: periods.drivers(_buckets(s, d), "week", NOW_MS),
@@ -157,8 +166,9 @@ QUERIES = {
     "url_component": _url,
 }
 
-_PRICED_RECORDS = f"WITH {RECORDS_SQL}, {PRICES_SQL}, priced AS (SELECT r.*, p.match_kind, {COST_SQL} AS units FROM records r JOIN prices p USING (model))"
-_PRICED_BUCKETS = f"WITH {BUCKETS_SQL}, {PRICES_SQL}, priced AS (SELECT b.*, p.match_kind, {COST_SQL} AS units FROM buckets b JOIN prices p USING (model))"
+_PRICED_RECORDS = f"WITH {RECORDS_SQL}, {PRICES_SQL}, priced AS (SELECT r.*, p.match_kind, p.price_id, {COST_SQL} AS units FROM records r JOIN prices p USING (model))"
+_PRICED_BUCKETS = f"WITH {BUCKETS_SQL}, {PRICES_SQL}, priced AS (SELECT b.*, p.match_kind, p.price_id, {COST_SQL} AS units FROM buckets b JOIN prices p USING (model))"
+_LABEL = f"CASE price_id {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in pricing.LABELS.items())} END"
 _COST = "CAST(coalesce(sum(units), 0) AS DOUBLE) / 1e9 AS cost_usd"
 _FIVE = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in fn.COUNTERS)
 _CONTEXT = "(input_tokens + cached_input_tokens + cache_creation_input_tokens)"
@@ -271,6 +281,10 @@ UNION ALL SELECT 'day', CAST({_DAY} AS VARCHAR), {_AUDIT} FROM records GROUP BY
   {", ".join(f"CAST(coalesce(sum(total_tokens) FILTER (match_kind = '{k}'), 0) AS BIGINT) AS {n}_tokens" for k, n in (("exact", "exact"), ("alias", "alias"), ("family-fallback", "fallback"), ("unmatched", "unmatched")))}, {_COST} FROM priced)
 SELECT *, total_tokens - unmatched_tokens AS priced_tokens, CAST(total_tokens - unmatched_tokens AS DOUBLE) / total_tokens AS coverage_ratio,
   CAST(exact_tokens + alias_tokens AS DOUBLE) / total_tokens AS exact_coverage FROM c""",
+    "pricing_by_model": f"""{_PRICED_BUCKETS} SELECT model, match_kind, price_id, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(units) AS DOUBLE) / 1e9 AS cost_usd FROM priced GROUP BY ALL""",
+    "csv_export": f"""{_PRICED_RECORDS} SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS time, source AS agent, coalesce(session_id, '') AS session_id, model,
+  CASE project_key WHEN '/work/p3' THEN '''=3' WHEN '/work/p5' THEN project_key WHEN '/work/p6' THEN project_key ELSE 'Project ' || right(project_key, 1) END AS project, {', '.join(fn.COUNTERS)}, total_tokens,
+  CAST(units AS DOUBLE) / 1e9 AS estimated_cost_usd, match_kind AS pricing_status, {_LABEL} AS pricing_label FROM priced""",
     "csv_projection": f"""{_PRICED_RECORDS} SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS time, id, source, coalesce(session_id, '') AS session_id, model, project_key,
   {', '.join(fn.COUNTERS)}, total_tokens, CAST(units AS DOUBLE) / 1e9 AS cost_usd FROM priced""",
     "period_comparison": f"""WITH {BUCKETS_SQL} SELECT period, CAST(c AS BIGINT) AS current_tokens, CAST(p AS BIGINT) AS previous_tokens, CAST(c - p AS BIGINT) AS delta_tokens,

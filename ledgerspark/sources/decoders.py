@@ -173,7 +173,8 @@ def counted(u: Column) -> Column:
 
 def audit_events(lines: DataFrame) -> DataFrame:
     """Every event of a log as the audits read it: its types, the class of what its usage is read from (null where it has none), its counters,
-    the session that a session_meta names, and the fork, model and time that the event itself names. An event without counters above 0 has null ones."""
+    the session that a session_meta names, and the fork, model, ids and time that the event itself names. payload_usage is there too where last or
+    total go before it. An event without counters above 0 has null ones."""
     payload_type = F.when(is_object("$.payload"), text_at("$.payload.type"))
     types = {"outer_type": text_at("$.type"), "payload_type": payload_type, "message_type": text_at("$.payload.msg.type")}
     more = event_types(*types.values())
@@ -181,6 +182,7 @@ def audit_events(lines: DataFrame) -> DataFrame:
     rows = older_events(
         lines, *[c.alias(n) for n, c in {**types, **more}.items()], named.alias("_named"), F.col("_usage"), F.col("_flat"),
         timestamp_ms("$.timestamp", "$.payload.timestamp", "$.payload.msg.timestamp").alias("_ts"),
+        *[text_at(*[f"{b}.{n}" for n in names for b in ("$.payload", "$.payload.msg", "$")]).alias(names[0]) for names in (("response_id", "responseId"), ("turn_id", "turnId"))],
     )
     rows = rows.withColumns({n: counted(F.col(n)) for n in ("last", "total", "_usage", "_flat")})
     nested = F.col("last").isNotNull() | F.col("total").isNotNull()
@@ -188,7 +190,8 @@ def audit_events(lines: DataFrame) -> DataFrame:
     meta = F.coalesce(F.col("semantic_type") == "session_meta", F.lit(False))
     return rows.select(
         "path", "event_index", F.when(meta, F.col("_named")).alias("meta_session"), meta.alias("is_meta"), "forked_from", "model", F.col("_ts").alias("ts_ms"), *types, *more,
-        kind.alias("source_kind"), "last", "total", F.when(~F.col("is_token_count") & ~nested, F.coalesce("_usage", "_flat")).alias("flat"), "own_id", "content",
+        kind.alias("source_kind"), "last", "total", F.when(~F.col("is_token_count") & ~nested, F.coalesce("_usage", "_flat")).alias("flat"), F.col("_usage").alias("payload_usage"),
+        "own_id", "content", "response_id", "turn_id",
     )
 
 
