@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table of at most so many rows may be broadcast; rows of the tables meant here take some hundred bytes.
 BROADCAST_ROWS = 100_000
+#: Rows that a task gets of a shuffle in `dealt`, about, and how much of what was shuffled Spark may put together for one.
+TASK_ROWS, TASK_BYTES = 200_000, "8m"
 
 _own: list[str] = []
 
@@ -31,8 +35,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+@contextmanager
+def dealt(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, shuffles have partitions in proportion to rows, so that what a task sorts doesn't grow with the input."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {n: spark.conf.get(n, None) for n in names}
+    spark.conf.set(names[0], str(max(int(before[names[0]]), -(-rows // TASK_ROWS))))
+    spark.conf.set(names[1], TASK_BYTES)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

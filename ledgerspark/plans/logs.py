@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.store import dealt, stored
 from ..operators import duplicates, flow, older, payloads
 from ..sources.tables import COUNTERS_SQL, counter_events
 from .accounting import FORK_MS, _sessions, _SESSIONS_SQL
@@ -38,11 +39,11 @@ def _log(spark, d):
     )
 
 
-def _flow(spark, d):
+def _flow(spark, d, log=None):
     files = _sessions(spark, d).selectExpr(
         "concat('f', substr(session, 2)) as path", "session", "parent", "fork_ms", "false as archived", "0L as session_conflicts", "0L as parent_conflicts"
     )
-    rows = _log(spark, d)
+    rows = stored(_log(spark, d)) if log is None else log
     return flow.run(files, rows.withColumns({"parent": F.lit(None).cast("string"), "fork_ms": F.lit(None).cast("long")}))
 
 
@@ -76,8 +77,15 @@ def _twice(spark, d):
     )
 
 
+def _resolved(spark, d):
+    rows = _twice(spark, d)
+    with dealt(spark, rows.count()):
+        gone, told = duplicates.resolved(duplicates.evidence(stored(rows)))
+        return gone, stored(told)
+
+
 def _evidence(spark, d):
-    _, told = duplicates.resolved(duplicates.evidence(_twice(spark, d)))
+    _, told = _resolved(spark, d)
     return told.select(
         "session", F.col("primary_event_index").alias("primary_index"), F.col("candidate_event_index").alias("candidate_index"), "kind", "confidence", "transition", "state",
         "primary_tokens", "candidate_tokens",
@@ -85,7 +93,7 @@ def _evidence(spark, d):
 
 
 def _suppressions(spark, d):
-    gone, _ = duplicates.resolved(duplicates.evidence(_twice(spark, d)))
+    gone, _ = _resolved(spark, d)
     return gone.select("session", F.col("name.event_index").alias("event_index"), F.col("representative.event_index").alias("representative_index"), "kind", "confidence", "tokens")
 
 
