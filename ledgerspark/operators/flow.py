@@ -9,11 +9,12 @@ decoders.codex_files; status: what jsonl.status gives.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.store import stored
+from ..functions.store import dealt, small, stored
 from ..functions.usage import url_component
 from . import contributions, counters, duplicates, lineage, payloads
 
@@ -70,9 +71,24 @@ class Flow:
     suppressed: DataFrame
     payloads: DataFrame
     canonical: DataFrame
-    diagnostics: DataFrame  # name (step and count), n
-    gates: DataFrame  # gate, n_broken, holds
+    counts: list[DataFrame]  # name (step and count), n: of each step
     steps: dict[str, DataFrame]  # own (events of kept files), tokens, counted, canonical (before replays), replays, statuses
+    n_events: int
+
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        """name (step and count), n: counted once it is asked for."""
+        counts = self.counts[0]
+        for one in self.counts[1:]:
+            counts = counts.unionByName(one)
+        with dealt(counts.sparkSession, self.n_events):
+            counts = stored(counts)
+            return stored(counts.unionByName(invariants(counts)))
+
+    @cached_property
+    def gates(self) -> DataFrame:
+        """gate, n_broken, holds."""
+        return gates(self.diagnostics)
 
     def safe(self) -> bool:
         return self.gates.agg(F.bool_and("holds")).first()[0] is not False
@@ -159,14 +175,20 @@ def project(kept: DataFrame) -> DataFrame:
 
 def run(files: DataFrame, events: DataFrame, status: DataFrame | None = None) -> Flow:
     """All steps over the events of files."""
+    n_events = events.count()
+    with dealt(events.sparkSession, n_events):
+        return _run(files, events, status, n_events)
+
+
+def _run(files: DataFrame, events: DataFrame, status: DataFrame | None, n_events: int) -> Flow:
     verdict = stored(lineage.reconcile(files, events.select("path", "event_index", F.col("raw_identity").alias("identity"))))
     kept_files = verdict.filter("status = 'kept'").select("path", "session")
     sessions = stored(files.drop("session").join(kept_files, "path").select("session", "path", "parent", "fork_ms"))
-    own = stored(events.drop("session", "parent", "fork_ms").join(kept_files, "path"))
+    own = stored(events.drop("session", "parent", "fork_ms").join(small(kept_files), "path"))
 
     statuses = stored(fork_statuses(sessions.select("session", "parent", "fork_ms"), own))
-    observed = stored(own.filter("is_token_count and (last is not null or total is not null)"))
-    tokens = duplicates.raw_unique(observed)
+    observed = own.filter("is_token_count and (last is not null or total is not null)")
+    tokens = stored(duplicates.raw_unique(observed.select(*_EVENT, "raw_fingerprint", "semantic_fingerprint", "last", "total")))
     evidence = stored(duplicates.evidence(tokens))
     suppressed, told = duplicates.resolved(evidence)
     told = stored(told)
@@ -241,13 +263,8 @@ def run(files: DataFrame, events: DataFrame, status: DataFrame | None = None) ->
         found.append(tally(status, "source", {
             "files": F.count("*"), "files_with_errors": _n("n_malformed > 0"), "parse_errors": F.sum("n_malformed"), "files_with_pending_text": _n("has_pending or pending_overflow"),
         }))
-    counts = found[0]
-    for one in found[1:]:
-        counts = counts.unionByName(one)
-    counts = stored(counts)
-    diagnostics = stored(counts.unionByName(invariants(counts)))
     steps = {"own": own, "tokens": tokens, "counted": counted, "canonical": canonical, "replays": replayed, "statuses": statuses}
-    return Flow(records, of_session, told, suppressed, resolved, kept, diagnostics, gates(diagnostics), steps)
+    return Flow(records, of_session, told, suppressed, resolved, kept, found, steps, n_events)
 
 
 #: What must be equal: a count and those that it is the sum of.

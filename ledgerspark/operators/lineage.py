@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.store import stored
+from ..functions.store import small, stored
 from .counters import first_by
 
 
@@ -211,7 +211,6 @@ def reconcile(files: DataFrame, events: DataFrame) -> DataFrame:
 
     Files of one session must agree on the parent, and on when it forked where they tell. If all have the same events, the first that isn't archived stays;
     if all are prefixes of the longest, that stays; else the session is in conflict."""
-    numbered = events.withColumn("at", F.row_number().over(Window.partitionBy("path").orderBy("event_index", "identity")))
     each = files.join(events.groupBy("path").agg(F.count("*").alias("n")), "path", "left").fillna(0, ["n"])
     if "fork_ms" not in files.columns:
         each = each.withColumn("fork_ms", F.lit(None).cast("long"))
@@ -223,13 +222,18 @@ def reconcile(files: DataFrame, events: DataFrame) -> DataFrame:
         (F.count_distinct(F.coalesce("parent", F.lit(""))) > 1).alias("parents_differ"),
         F.min("n").alias("least"),
         F.max("n").alias("most"),
+        F.count("*").alias("n_files"),
     )
-    rows = each.join(own, "session", "left")
-    # events meet those of the longest file by number, so no file's events are gathered in one row
+    rows = stored(each.join(own, "session", "left"))
+    # only files of sessions that have several are set beside each other; there events meet those of the longest file by number, so no
+    # file's events are gathered in one row
+    shared = rows.filter(F.col("n_files") > 1).select("path", "longest")
+    numbered = events.join(small(shared.select("path")), "path", "left_semi")
+    numbered = numbered.withColumn("at", F.row_number().over(Window.partitionBy("path").orderBy("event_index", "identity")))
     theirs = numbered.select(F.col("path").alias("longest"), "at", F.col("identity").alias("theirs"))
-    asked = rows.select("path", "longest").join(numbered, "path").join(theirs, ["longest", "at"])
+    asked = shared.join(numbered, "path").join(theirs, ["longest", "at"])
     equal = asked.groupBy("path").agg(F.count_if(F.col("identity").eqNullSafe(F.col("theirs"))).alias("n_equal"))
-    verdict = rows.join(equal, "path", "left").withColumn("prefix", F.coalesce("n_equal", F.lit(0)) == F.col("n"))
+    verdict = rows.join(equal, "path", "left").withColumn("prefix", (F.col("n_files") == 1) | (F.coalesce("n_equal", F.lit(0)) == F.col("n")))
     agreed = verdict.groupBy("session").agg(F.bool_and("prefix").alias("all_prefixes"))
     rows = verdict.join(agreed, "session", "left")
     status = (

@@ -7,7 +7,7 @@ candidate; so a response or a usage that very many events share costs a row each
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.store import stored
@@ -73,8 +73,10 @@ def payload_resolution(payloads: DataFrame, tokens: DataFrame) -> DataFrame:
     exact = (F.col("p_precision") == "components-exact") & (F.col("t_precision") == "components-exact")
     figures = F.when(exact, F.col("p_usage") == F.col("t_usage")).otherwise(F.col("p_tokens") == F.col("t_tokens"))
     met = sides[0].filter("p_tokens > 0 and p_precision <> 'partial'").join(sides[1].filter("t_precision <> 'partial'"), ["session", "raw_identity"]).filter(models & figures)
-    once = met.groupBy("p_id").agg(F.count("*").alias("n_p")), met.groupBy("t_id").agg(F.count("*").alias("n_t"))
-    same_event = met.join(once[0], "p_id").join(once[1], "t_id").filter("n_p = 1 and n_t = 1")
+    # all pairs of an id are of one event, so these windows need no shuffle after the join
+    for side in "pt":
+        met = met.withColumn(f"n_{side}", F.count("*").over(Window.partitionBy("session", "raw_identity", f"{side}_id")))
+    same_event = met.filter("n_p = 1 and n_t = 1")
     same_event = stored(same_event.select(F.col("p_id").alias("id"), F.col("t_id").alias("matched_id"), F.when(exact, "same-raw-event-components").otherwise("same-raw-event-aggregate").alias("evidence")))
 
     def whole(rows: DataFrame) -> DataFrame:
