@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.store import stored
+from ..functions.store import small, stored
 from . import contributions, flow, older
 from .contributions import USAGE
 
@@ -39,8 +39,11 @@ def _one(name: str) -> Column:
     return F.min(name).eqNullSafe(F.max(name)) & F.count(name).isin(0, F.count("*"))
 
 
-def candidates(events: DataFrame, older_rows: DataFrame) -> DataFrame:
-    """Candidates: events as decoders.codex_events gives them, with the ids that older.carried_events lead to."""
+def candidates(events: DataFrame | None, older_rows: DataFrame) -> DataFrame:
+    """Candidates: events as decoders.codex_events gives them, with the ids that older.carried_events lead to. Without events the older rows have
+    their columns themselves, their session as own_session."""
+    if events is None:
+        return older_rows.select(older.record_id().alias("id"), F.col("own_session").alias("session"), "raw_identity", "path", "event_index", "ts_ms", "source_kind", "semantic_type", "raw_fingerprint", "semantic_fingerprint")
     ids = older_rows.select("path", "event_index", older.record_id().alias("id"), "source_kind")
     named = events.select("path", "event_index", *KEY, "ts_ms", "semantic_type", "raw_fingerprint", "semantic_fingerprint")
     return ids.join(named, ["path", "event_index"])
@@ -52,8 +55,15 @@ def mapped(records: DataFrame, found: DataFrame, kept: DataFrame, gone: DataFram
 
     kept: session, raw_identity and the usage that the present accounting keeps of an event; gone: the same of duplicates left out. n_candidates
     counts what an id has for the first two kinds, else what narrowing left."""
+    mapping, collisions = _mapped(records, found, kept, gone)
+    return mapping.drop("r"), collisions
+
+
+def _mapped(records: DataFrame, found: DataFrame, kept: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As mapped, the mapping with the record itself, r."""
     rest = ["path", "event_index", "ts_ms", "source_kind", "semantic_type", "raw_fingerprint", "semantic_fingerprint"]
-    single = found.groupBy("id", *KEY).agg(F.min_by(F.struct(*rest), F.struct("path", "event_index")).alias("e")).select("id", *KEY, "e.*")
+    # dealt by id, which serves the grouping and the join with records
+    single = found.repartition("id").groupBy("id", *KEY).agg(F.min_by(F.struct(*rest), F.struct("path", "event_index")).alias("e")).select("id", *KEY, "e.*")
     record = records.select("id", F.struct("session_id", "ts_ms", "source_kind", "usage").alias("r"))
     rows = single.join(record, "id")
     rows = rows.join(kept.select(*KEY, F.col("usage").alias("kept_usage")), KEY, "left").join(gone.select(*KEY, F.col("usage").alias("gone_usage")), KEY, "left")
@@ -82,16 +92,16 @@ def mapped(records: DataFrame, found: DataFrame, kept: DataFrame, gone: DataFram
         .when(F.col("b.n_gone") == 1, "resolved-semantic-suppression")
         .otherwise("ambiguous")
     )
-    told = records.select("id").join(best, "id", "left").withColumn("kind", kind)
+    told = record.join(best, "id", "left").withColumn("kind", kind)
     chosen = F.when(F.col("kind") == "resolved-usage", F.col("b.match")).when(F.col("kind") == "resolved-semantic-suppression", F.col("b.gone")).when(~F.col("kind").isin("ambiguous", "unmapped"), F.col("b.first"))
     told = stored(told.select(
         "id", "kind", F.coalesce(F.when(n == 1, F.col("n_all")).otherwise(n), F.lit(0)).alias("n_candidates"), F.coalesce(n_match, F.lit(0)).alias("n_usage_matches"),
-        F.col("b.fit").alias("fit"), chosen.alias("chosen"),
+        F.col("b.fit").alias("fit"), chosen.alias("chosen"), "r",
     ))
     others = rows.join(told.filter(F.col("kind").isin(*COLLIDING)).select("id", "fit", "kind", "chosen"), ["id", "fit"])
     others = others.filter((F.col("raw_identity") != F.col("chosen.raw_identity")) | (F.col("session") != F.col("chosen.session")))
     others = others.groupBy(*KEY).agg(F.max_by(F.struct("id", "kind", F.col("chosen.raw_identity").alias("chosen")), "id").alias("c"))
-    mapping = told.select("id", "kind", "n_candidates", "n_usage_matches", "chosen.session", "chosen.raw_identity")
+    mapping = told.select("id", "kind", "n_candidates", "n_usage_matches", "chosen.session", "chosen.raw_identity", "r")
     return mapping, others.select(*KEY, "c.*")
 
 
@@ -127,11 +137,10 @@ def compared(found: flow.Flow, records: DataFrame, of_records: DataFrame) -> tup
     ))
     lost = found.suppressed.select("session", "name.*", F.col("representative.raw_identity").alias("stays"))
     raw = tokens.select("session", "event_index", "path", "raw_identity", contributions.normalized(F.coalesce("last", "total")).alias("usage"))
-    gone = stored(lost.join(raw, ["session", "event_index", "path", "raw_identity"]).dropDuplicates(KEY).select(*KEY, "usage", "stays"))
-    mapping, collisions = mapped(records, of_records, kept, gone)
-    mapping = stored(mapping)
-
-    mine = mapping.join(records.select("id", "session_id", "source_kind", F.col("usage").alias("u")), "id")
+    gone = stored(small(lost).join(raw, ["session", "event_index", "path", "raw_identity"]).dropDuplicates(KEY).select(*KEY, "usage", "stays"))
+    mapping, collisions = _mapped(records, of_records, kept, gone)
+    mine = mapping.select("id", "kind", "session", "raw_identity", "r.session_id", "r.source_kind", F.col("r.usage").alias("u"))
+    mapping = mapping.drop("r")
     alone = F.when(F.col("raw_identity").isNull(), F.col("id"))
     old = mine.groupBy(F.coalesce("session", "session_id", F.lit("unknown")).alias("session"), "raw_identity", alone.alias("_alone")).agg(
         F.array_sort(F.collect_set("id")).alias("record_ids"), F.count("*").alias("n_records"), F.min("source_kind").alias("source_kind"), F.max("kind").alias("kind"), _summed("u").alias("older_usage"))
@@ -140,13 +149,22 @@ def compared(found: flow.Flow, records: DataFrame, of_records: DataFrame) -> tup
     replays = before.join(found.steps["replays"].filter("suppressed").select("session", "place"), ["session", "place"]).select(*KEY).distinct()
     payloads = found.payloads.filter("disposition = 'suppress-confirmed'").select(*KEY).distinct()
     flags = {"replayed": replays, "unpaid": payloads, "based": _moved_by_baseline(found)}
-    names = before.select(*KEY).unionByName(methods.select(*KEY)).unionByName(found.payloads.filter("disposition like 'fallback%'").select(*KEY)).unionByName(gone.select(*KEY)).unionByName(payloads)
-    new = names.distinct().join(kept, KEY, "left").join(methods, KEY, "left").join(gone.select(*KEY, F.lit(True).alias("left_out")), KEY, "left")
-    for name, rows in flags.items():
-        new = new.join(rows.withColumn(name, F.lit(True)), KEY, "left")
+    flags |= {"left_out": gone, "paid": found.payloads.filter("disposition like 'fallback%'")}
+    sides = methods.withColumn("known", F.lit(True))
+    more = [kept.select(*KEY, F.struct(*[c for c in kept.columns if c not in KEY]).alias("k"), F.lit(True).alias("known"))]
+    # what only a fork's baseline names is no event of the accounting
+    more += [rows.select(*KEY, F.lit(name).alias("flag"), F.lit(name != "based").alias("known")) for name, rows in flags.items()]
+    for one in more:
+        sides = sides.unionByName(one, allowMissingColumns=True)
+    # one grouping, and so one shuffle, where a join for each would be two
+    new = sides.groupBy(*KEY).agg(
+        F.max("method").alias("method"), F.bool_or("bare").alias("bare"), F.first("k", ignorenulls=True).alias("k"), *[F.bool_or(F.col("flag") == n).alias(n) for n in flags], F.bool_or("known").alias("known")
+    )
+    new = new.filter("known").select(*KEY, "method", "bare", *flags, "k.*")
     other = collisions.withColumnRenamed("kind", "collision").select(*KEY, "collision", "chosen")
     by_chosen = gone.select("session", F.col("raw_identity").alias("chosen"), F.lit(True).alias("chosen_gone"))
-    new = new.join(other, KEY, "left").join(by_chosen, ["session", "chosen"], "left")
+    other = stored(other.join(small(by_chosen), ["session", "chosen"], "left"))
+    new = new.join(small(other), KEY, "left")
 
     rows = old.join(new, KEY, "full")
     zero = F.struct(*[F.lit(0).cast("long").alias(f) for f in USAGE])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.store import stored
+from ..functions.store import small, stored
 from .contributions import USAGE, normalized, usage_total
 from .counters import last_by
 
@@ -58,11 +58,12 @@ def fork_baselines(rows: DataFrame) -> DataFrame:
     return found.groupBy("path").agg(F.min_by(F.struct("forked_from", "baseline", "known_after"), "known_after").alias("b")).select("path", "b.*")
 
 
-def contributions(events: DataFrame) -> DataFrame:
-    """Events with usage: what each adds, with the state carried to it and its baseline (null where it has none)."""
-    rows = stored(carried_events(events))
+def contributions(events: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """Events with usage: what each adds, with the state carried to it and its baseline (null where it has none). carried: their
+    carried_events, where these are at hand."""
+    rows = stored(carried_events(events)) if carried is None else carried
     baselines = fork_baselines(rows).select("path", F.col("baseline").alias("_baseline"), "known_after")
-    rows = rows.join(baselines, "path", "left").withColumn("baseline", F.when(F.col("event_index") > F.col("known_after"), F.col("_baseline")))
+    rows = rows.join(small(stored(baselines)), "path", "left").withColumn("baseline", F.when(F.col("event_index") > F.col("known_after"), F.col("_baseline")))
     first = F.col("_total").isNotNull() & F.col("baseline").isNotNull() & F.col("total_before").isNull()
     usage = (
         F.when(F.col("last").isNotNull(), F.when(first, _difference(F.col("_total"), F.col("baseline"))).otherwise(normalized(F.col("last"))))

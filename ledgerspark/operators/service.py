@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.store import stored
+from ..functions.store import dealt, stored
 from ..functions.usage import COUNTERS
 from ..sources import decoders, incremental
 from . import audits, comparator, flow, older, sync
@@ -95,9 +95,11 @@ def codex_comparison(found: DataFrame, lines: DataFrame) -> Comparison:
     events = stored(decoders.codex_events(good))
     whole = sync.codex_flow(found, lines, events)
     old = stored(decoders.older_events(good))
-    records = stored(older.records(older.contributions(old)))
-    entries, mapping = comparator.compared(whole, records, comparator.candidates(events, older.carried_events(old)))
-    return Comparison(whole, records, entries, mapping, stored(comparator.gates(whole, entries, mapping, records)))
+    with dealt(lines.sparkSession, whole.n_events):
+        carried = stored(older.carried_events(old))
+        records = stored(older.records(older.contributions(old, carried)))
+        entries, mapping = comparator.compared(whole, records, comparator.candidates(events, carried))
+        return Comparison(whole, records, entries, mapping, stored(comparator.gates(whole, entries, mapping, records)))
 
 
 @dataclass
