@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import re
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -39,16 +38,11 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 END = 50256
 
 ROUNDS = 8
-#: Words that a Python worker remembers the ids of; about 200 bytes each. The first to come are mostly the common ones.
-CACHED_PIECES = 400_000
-#: A space before a character that is none starts a new piece for the vocabulary's pattern in any context.
-_cut = re.compile(r" (?=\S)").split
-_has_other_space = re.compile(r" (?:\s|$)").search
 _encoders: dict[str, Encoder] = {}
 
 
-class Encoder(dict):
-    """Token ids in 16 bits by piece; a piece is a word with the space before it."""
+class Encoder:
+    """Token ids in 16 bits."""
 
     def __init__(self, ranks: bytes):
         import tiktoken
@@ -59,23 +53,12 @@ class Encoder(dict):
 
         self.core = self.model._core_bpe.encode_ordinary
 
-    def ids(self, text: str) -> bytes:
-        return array("H", self.core(text)).tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        word = piece.rstrip(".,;:!?")
-        # signs after a letter or digit are split off by the vocabulary's pattern too
-        if word != piece and word[-1:].isalnum():
-            found = self[word] + self.ids(piece[len(word) :])
-        else:
-            found = self.ids(" " + piece)
-        if len(self) < CACHED_PIECES:
-            self[piece] = found
-        return found
+    def count(self, text: str) -> int:
+        return len(self.core(text))
 
     def encode(self, text: str) -> bytes:
-        first, *rest = _cut(text) if _has_other_space(text) else text.split(" ")
-        return (self.ids(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+        # whole, as most words of a large corpus are too rare for a table of them to pay
+        return array("H", self.core(text)).tobytes()
 
 
 def _encoder(ranks: bytes) -> Encoder:
@@ -109,9 +92,9 @@ def permuted(numbers: np.ndarray, n: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _n_sequences(n_bytes: int, seq_len: int) -> int:
-    """n_bytes of ids and the end token."""
-    return n_bytes // 2 // seq_len + 1
+def _n_sequences(n_ids: int, seq_len: int) -> int:
+    """n_ids and the end token."""
+    return n_ids // seq_len + 1
 
 
 def materialise(
@@ -132,7 +115,7 @@ def materialise(
         encoder, n = _encoder(ranks.value), 0
         for batch in batches:
             for text in batch.column("text"):
-                n += _n_sequences(len(encoder.encode(text.as_py())), seq_len)
+                n += _n_sequences(encoder.count(text.as_py()), seq_len)
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n]})
 
     counts = dict(map(tuple, texts.mapInArrow(count, "part long, n long").collect()))  # a row a partition
