@@ -306,7 +306,8 @@ def audit(files: DataFrame, events: DataFrame) -> RawAudit:
     found = stored(canonical_files(files, events))
     rows = stored(classified(found, events))
     held = stored(sessions(found, rows))
-    return RawAudit(found, events, stored(accounted(rows, held)), held)
+    # not stored once more: a report needs few of its columns, and Spark leaves the others out
+    return RawAudit(found, events, accounted(rows, held), held)
 
 
 def audit_logs(spark: SparkSession, roots: list[str]) -> RawAudit:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.store import stored
 from ..operators import raw_audit
 from ..sources.tables import COUNTERS_SQL, counter_events
 from .accounting import _SESSIONS_SQL, FORK_MS, _sessions
@@ -39,7 +40,8 @@ def _audit(spark, d):
     rows = rows.selectExpr("*", *[f"{_counters(c)} as {name}" for c, name in (("l", "last"), ("tt", "total"), ("f", "flat"))])
     live = rows.withColumn("path", F.expr("concat('f', cast(u as string))"))
     copies = rows.filter(f"u % 4 = 0 and n < {_ARCHIVED}").withColumn("path", F.expr("concat('a', cast(u as string))"))
-    events = live.unionByName(copies)
+    # read three times: as files, for their heads and for their state
+    events = stored(live.unionByName(copies))
     files = events.groupBy("path").agg(
         (F.count("*") * 100).alias("size"), F.max(F.expr(f"if(u % 12 = 0, null, {FORK_MS}L + u)")).alias("modified_ms"), F.max(F.col("path").startswith("a")).alias("archived")
     )
