@@ -40,7 +40,8 @@ def dealt(spark: SparkSession, rows: int) -> Iterator[None]:
     """While it lasts, shuffles have partitions in proportion to rows, so that what a task sorts doesn't grow with the input."""
     names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
     before = {n: spark.conf.get(n, None) for n in names}
-    spark.conf.set(names[0], str(max(int(before[names[0]]), -(-rows // TASK_ROWS))))
+    # None where nobody has set it; what holds then is Spark's default, which get gives without one of ours
+    spark.conf.set(names[0], str(max(int(spark.conf.get(names[0])), -(-rows // TASK_ROWS))))
     spark.conf.set(names[1], TASK_BYTES)
     try:
         yield
